@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from turnflow.llm import mixing, sharding
+from turnflow.llm import decontam, html_text, mixing, sharding, urls
 
 QUERIES = {
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_url_filters": urls.op6_url_filters,
+    "op9_decontamination": decontam.op9_decontamination,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op9_decontamination": decontam.ORACLE,
 }
