@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from turnflow.llm import decontam, html_text, mixing, sharding, urls
+from turnflow.llm import cotraining, decontam, html_text, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, urls
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_html_extraction": html_text.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_url_filters": urls.op6_url_filters,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality_classifier": cotraining.op8_quality_classifier,
     "op9_decontamination": decontam.op9_decontamination,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES = {
