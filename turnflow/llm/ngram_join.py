@@ -4,9 +4,10 @@
    first, by hash, then the frequent ones from rare to common: a passage that many documents share comes last.
 2. Documents with equal sets become one class. Each class is indexed under the prefix of its set in the global order
    that two sets of the wanted similarity must share an n-gram of.
-3. Classes that meet in a prefix and fit by size and place are candidates. Few that meet are paired with each other;
-   of many, some are compared with all others, then those found to belong to them, and so on until no two of
-   different groups are left untested: groups come out whole, without all pairs inside a group of near copies.
+3. Classes that meet in a prefix and fit by size are candidates. Few that meet are paired with each other, and
+   a pair stays only if its prefixes have as many n-grams in common as its sizes call for; of many that meet, some are
+   compared with all others, then those found to belong to them, and so on until no two of different groups are left
+   untested: groups come out whole, without all pairs inside a group of near copies.
 4. The n-grams of candidates are cut at pivots of the hash order into vertical fragments. Each fragment counts its
    part of a pair's overlap on its own, and the parts are summed per pair and compared with the exact limit.
 """
@@ -78,13 +79,16 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def index_rows(width: int, percent: int, frequent) -> Callable:
-    """Batches of (k, text) to (k, n, h1, h2, rare, prefix); of equal sets in a batch one has its prefix."""
+    """Batches of (k, text) to (k, n, h1, h2, rare, last, prefix); of equal sets in a batch one has its prefix. rare:
+    its n-grams that aren't frequent; last: the place of the prefix's last n-gram in the global order, as a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rank = frequent.value
+        by_rank = np.empty_like(grams)
+        by_rank[rank] = grams
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            n, h1, h2, rare, prefix = [], [], [], [], []
+            n, h1, h2, rare, ends, prefix = [], [], [], [], [], []
             for _, s in sets_of(batch.column("text"), width):
                 n.append(len(s))
                 one, two = int(A.mix(s).sum()) if len(s) else 0, int(A.mix(s ^ np.uint64(A.BASE)).sum()) if len(s) else 0
@@ -97,14 +101,17 @@ def index_rows(width: int, percent: int, frequent) -> Callable:
                     if len(grams):
                         at = np.minimum(at, len(grams) - 1)
                         often = grams[at] == s
-                    last = s[often][np.argsort(rank[at[often]], kind="stable")] if often.any() else s[:0]
-                    rare.append(len(s) - len(last))
-                    prefix.append(np.concatenate((s[~often], last))[: prefix_length(len(s), percent)].view(np.int64))
+                    ranks = np.sort(rank[at[often]])
+                    rest, size = s[~often], prefix_length(len(s), percent)
+                    rare.append(len(rest))
+                    ends.append(int(rest[size - 1] >> np.uint64(2)) if size <= len(rest) else 2**62 + int(ranks[size - 1 - len(rest)]))
+                    prefix.append(np.concatenate((rest, by_rank[ranks]))[:size].view(np.int64))
                 else:
                     rare.append(0)
+                    ends.append(0)
                     prefix.append(None)
             sign = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column("k"), pa.array(n, pa.int32()), sign(h1), sign(h2), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["k", "n", "h1", "h2", "rare", "prefix"])
+            yield pa.record_batch([batch.column("k"), pa.array(n, pa.int32()), sign(h1), sign(h2), pa.array(rare, pa.int32()), pa.array(ends, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["k", "n", "h1", "h2", "rare", "last", "prefix"])
 
     return run
 
@@ -119,38 +126,40 @@ PAIR, MEMBER = 0, 1
 
 
 def meet(percent: int, few: int) -> Callable:
-    """Rows (gram, k, n, place, rare), all of a gram together, to PAIR rows (a, b) of the classes under grams with
-    few, and MEMBER rows (gram, k, n, place, rare) of the others."""
-    names = ["kind", "a", "b", "n", "place", "rare"]
+    """Rows (gram, k, n, place), all of a gram together, to PAIR rows (a, b, times) of the classes under grams with
+    few, times they meet, and MEMBER rows (gram, k, n, place) of the others."""
+    names = ["kind", "a", "b", "n", "place"]
 
     def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gram, k, n, place, rare = cols
+        gram, k, n, place = cols
         if len(gram) < 2:
             return
         edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         size = np.repeat(np.diff(np.append(edge, len(gram))), np.diff(np.append(edge, len(gram))))
         some = np.flatnonzero((size > 1) & (size <= few))
         if len(some):
-            g, x, m, p, s = gram[some], k[some], n[some].astype(np.int64), place[some].astype(np.int64), size[some]
+            g, x, m, s = gram[some], k[some], n[some].astype(np.int64), size[some]
             a, b = [], []
             for d in range(1, int(s.max())):
                 i = np.flatnonzero(g[d:] == g[:-d])
-                i = i[_fits(m[i], p[i], m[i + d], p[i + d], percent) & (x[i] != x[i + d])]
+                i = i[(100 * np.minimum(m[i], m[i + d]) >= percent * np.maximum(m[i], m[i + d])) & (x[i] != x[i + d])]
                 a.append(np.minimum(x[i], x[i + d]))
                 b.append(np.maximum(x[i], x[i + d]))
             a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            z = np.zeros(len(pairs), np.int32)
-            yield pa.record_batch([pa.array(z + PAIR), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(z), pa.array(z), pa.array(z)], names)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+            z = np.zeros(len(new), np.int32)
+            yield pa.record_batch([pa.array(z + PAIR), pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))).astype(np.int32)), pa.array(z)], names)
         many = np.flatnonzero(size > few)
         if len(many):
-            yield pa.record_batch([pa.array(np.full(len(many), MEMBER, np.int32)), pa.array(gram[many]), pa.array(k[many]), pa.array(n[many]), pa.array(place[many]), pa.array(rare[many])], names)
+            yield pa.record_batch([pa.array(np.full(len(many), MEMBER, np.int32)), pa.array(gram[many]), pa.array(k[many]), pa.array(n[many]), pa.array(place[many])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         flowing = None  # a gram that has gone out as one with many already
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "k", "n", "place", "rare")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "k", "n", "place")]
             if held is not None:
                 cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
             if flowing is not None:
@@ -223,6 +232,21 @@ def count_parts() -> Callable:
     return run
 
 
+def worth_counting(met: DataFrame, facts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough. Behind the prefix that ends first, its set has n - p n-grams, and
+    all that the two share before its end is shared by both prefixes: what they share there, plus n - p, must reach the
+    overlap that the sizes call for. Meetings under crowded n-grams aren't counted and taken for granted."""
+    crowded = members.groupBy("k").agg(F.count("*").alias("crowded"))
+    behind = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") - 1
+    known = facts.join(crowded, "k", "left").select("k", "n", "last", F.coalesce("crowded", F.lit(0)).alias("crowded"), behind.alias("behind"))
+    side = lambda x: known.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in known.columns])
+    both = met.groupBy("a", "b").agg(F.sum("n").alias("times")).join(side("a"), "a").join(side("b"), "b")
+    behind_first = F.when(F.col("last_a") < F.col("last_b"), F.col("behind_a")).when(F.col("last_a") > F.col("last_b"), F.col("behind_b")).otherwise(F.greatest("behind_a", "behind_b"))
+    most = F.col("times") + F.least("crowded_a", "crowded_b") + behind_first
+    most = F.least(most, F.col("n_a"), F.col("n_b"))
+    return both.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+
+
 def linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, per_salt: int = 500) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. A class with many partners is sent to several tasks, each
     with some of them."""
@@ -303,18 +327,23 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     rank[by_count] = np.arange(len(grams), dtype=np.int32)
     known = spark.sparkContext.broadcast((grams[order], rank))
 
-    rows = stored(texts.mapInArrow(index_rows(width, percent, known), "k long, n int, h1 long, h2 long, rare int, prefix array<long>"), "gram-sets")
-    classes = stored(
-        rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.max("rare").alias("rare"), F.first("prefix", ignorenulls=True).alias("prefix")), "gram-classes"
-    )
-    placed = classes.select("rep", "n", "rare", F.posexplode("prefix").alias("place", "gram")).select("gram", F.col("rep").alias("k"), "n", "place", "rare")
-    met = stored(placed.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet(percent, few), "kind int, a long, b long, n int, place int, rare int"), "gram-meetings")
-
-    sizes = classes.groupBy(F.col("rep").alias("k")).agg(F.max("n").alias("n"))
-    pairs = stored(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "gram-pairs")
-    members = stored(met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("k"), "n", "place", "rare"), "gram-members")
+    rows = stored(texts.mapInArrow(index_rows(width, percent, known), "k long, n int, h1 long, h2 long, rare int, last long, prefix array<long>"), "gram-sets")
+    # a class: its least document, and the one whose prefix stands for it
+    holder = F.min(F.when(F.col("prefix").isNotNull(), F.struct("k", "rare", "last"))).alias("holder")
+    classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), holder)
+    classes = stored(classes.select("h1", "h2", "n", "rep", F.col("holder.k").alias("holder"), "holder.rare", "holder.last"), "gram-classes")
+    held = rows.filter("prefix IS NOT NULL").select("k", "h1", "h2", "prefix").dropDuplicates(["k", "h1", "h2"])
+    held = held.join(classes.select("h1", "h2", "n", "rep", F.col("holder").alias("k")), ["k", "h1", "h2"])
+    placed = held.select("rep", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", F.col("rep").alias("k"), "n", "place")
+    met = stored(placed.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet(percent, few), "kind int, a long, b long, n int, place int"), "gram-meetings")
+
+    facts = classes.groupBy(F.col("rep").alias("k")).agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("last").alias("last"))
+    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("k"), "n", "place")
+    members = stored(members.join(facts.select("k", "rare"), "k").select("gram", "k", "n", "place", "rare"), "gram-members")
+    pairs = stored(worth_counting(met.filter(F.col("kind") == PAIR), facts, members, percent), "gram-pairs")
+    sizes = facts.select("k", "n")
     needed = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(members.select("k")).distinct(), "gram-candidates")
-    wanted = texts.join(small(needed, 2_000_000), "k", "left_semi").dropDuplicates(["k"]) if False else texts.join(small(needed, 2_000_000), "k", "left_semi")
+    wanted = texts.join(small(needed, 2_000_000), "k", "left_semi")
     parts = stored(wanted.mapInArrow(fragments_of(width, bits), "k long, f int, part binary"), "gram-fragments")
 
     links = stored(linked(pairs, parts, sizes, percent), "gram-links")
