@@ -115,20 +115,23 @@ class Logistic:
         if len(y) < 20 or y.min() == y.max():
             return
         r = np.clip(self.raw(x), -30, 30)
-        a, b = 1.0, 0.0
+        unit = r.std() + 1e-6
+        r = r / unit
+        a, b = float(unit), 0.0
         n1 = y.sum()
         target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
-        for _ in range(50):
+        for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * r + b, -30, 30)))
-            g = np.array([((p - target) * r).sum() + 1e-2 * (a - 1), (p - target).sum()])
+            g = np.array([((p - target) * r).sum() + 1e-2 * a, (p - target).sum()])
             w = p * (1 - p) + 1e-6
             h = np.array([[(w * r * r).sum() + 1e-2, (w * r).sum()], [(w * r).sum(), w.sum() + 1e-6]])
             d = np.linalg.solve(h, g)
+            d *= min(1.0, 0.5 / (np.abs(d).max() + 1e-12))  # far from the optimum Newton's steps overshoot
             a, b = a - d[0], b - d[1]
             if np.abs(d).max() < 1e-6:
                 break
         if a > 0:
-            self.slope, self.shift = float(a), float(b)
+            self.slope, self.shift = float(a / unit), float(b)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * self.raw(x) + self.shift, -12, 12)
