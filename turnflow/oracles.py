@@ -146,7 +146,7 @@ def _text(x: str) -> str:
 
 _PROP = """Reporting_Airline, Tail_Number, flight_number, prev_flight_number, Origin, Dest, prev_dest, CAST(FlightDate AS VARCHAR) AS FlightDate, CAST(operating_day AS VARCHAR) AS operating_day,
 CAST(DepTimestampUTC AS VARCHAR) AS DepTimestampUTC, CAST(ArrTimestampUTC AS VARCHAR) AS ArrTimestampUTC, DepDelayMinutes, ArrDelayMinutes, prev_arr_delay, is_first_leg, rotation_leg_number, node_effect, edge_effect_delay,
-edge_effect_schedule, scheduled_turn_min, is_overnight_turn, {0} AS empirical_min_turn_min, min_turn_is_fallback, {1} AS scheduled_buffer, {2} AS propagated_delay, cumulative_node_delay""".format(fix("empirical_min_turn_min"), fix("scheduled_buffer"), fix("propagated_delay"))
+edge_effect_schedule, scheduled_turn_min, CAST(is_overnight_turn AS INT) AS is_overnight_turn, {0} AS empirical_min_turn_min, CAST(min_turn_is_fallback AS INT) AS min_turn_is_fallback, {1} AS scheduled_buffer, {2} AS propagated_delay, cumulative_node_delay""".format(fix("empirical_min_turn_min"), fix("scheduled_buffer"), fix("propagated_delay"))
 _CLEAN = "Year, Month, DayofMonth, CAST(FlightDate AS VARCHAR) AS FlightDate, Reporting_Airline, Tail_Number, Flight_Number_Reporting_Airline, OriginAirportID, Origin, DestAirportID, Dest, CRSDepTime, DepTime, DepDelay, DepDelayMinutes, CRSArrTime, ArrTime, ArrDelay, ArrDelayMinutes, Cancelled, Diverted, CRSElapsedTime, ActualElapsedTime, " + ", ".join(CAUSES)
 _ID = "Flight_Number_Reporting_Airline AS flight_number"
 _FOCUS_ROUTES = "(origin = 'N01' OR dest = 'N01' OR (origin = 'N00' AND dest = 'N02'))"
@@ -182,7 +182,7 @@ ENDINGS = {
     "edge_effect_delay": "SELECT flight_number, edge_effect_delay FROM eff",
     "edge_effect_schedule": "SELECT flight_number, edge_effect_schedule FROM eff",
     "scheduled_turn_min": "SELECT flight_number, scheduled_turn_min FROM eff",
-    "is_overnight_turn": "SELECT flight_number, is_overnight_turn FROM eff",
+    "is_overnight_turn": "SELECT flight_number, CAST(is_overnight_turn AS INT) AS is_overnight_turn FROM eff",
     "operational_turns": "SELECT turn_airport, sched_turn_min FROM turns",
     "network_min_turn": f"SELECT {fix('default_min_turn_min')} AS default_min_turn_min FROM netturn",
     "airport_min_turn": f"SELECT turn_airport, turn_sample_size, {fix('airport_min_turn_min')} AS airport_min_turn_min FROM ownturn",

@@ -135,6 +135,11 @@ def text(c: str) -> Column:
     return F.col(c).cast("string").alias(c)
 
 
+def flag(c: str) -> Column:
+    """0, 1 or null: engines differ in how they hand over null booleans."""
+    return F.col(c).cast("int").alias(c)
+
+
 def joined(c: str) -> Column:
     return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
 
@@ -182,7 +187,7 @@ def _split(t: Tables) -> DataFrame:
 
 
 def _propagation(t: Tables) -> DataFrame:
-    return swap(t.propagation, *[text(c) for c in ("FlightDate", "operating_day", "DepTimestampUTC", "ArrTimestampUTC")], *[fixed(c) for c in ("empirical_min_turn_min", "scheduled_buffer", "propagated_delay")])
+    return swap(t.propagation, *[text(c) for c in ("FlightDate", "operating_day", "DepTimestampUTC", "ArrTimestampUTC")], *[fixed(c) for c in ("empirical_min_turn_min", "scheduled_buffer", "propagated_delay")], flag("is_overnight_turn"), flag("min_turn_is_fallback"))
 
 
 def _stops(df: DataFrame) -> DataFrame:
@@ -245,7 +250,8 @@ MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "completed_legs": lambda t: R.completed_legs(t.enriched).select(ID, "Tail_Number", "Origin", "Dest"),
     "previous_leg": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID, "lag_dest", "lag_arr_delay", "lag_flight_number", text("lag_arr_utc"), text("lag_crs_arr_utc")),
     "chain_legs": lambda t: R.chained_legs(t.enriched).select(ID, "prev_dest", "prev_arr_delay", "prev_flight_number", "is_first_leg"),
-    **{c: _column(c) for c in ("rotation_leg_number", "node_effect", "edge_effect_delay", "edge_effect_schedule", "scheduled_turn_min", "is_overnight_turn", "cumulative_node_delay")},
+    **{c: _column(c) for c in ("rotation_leg_number", "node_effect", "edge_effect_delay", "edge_effect_schedule", "scheduled_turn_min", "cumulative_node_delay")},
+    "is_overnight_turn": lambda t: t.effects.select("flight_number", flag("is_overnight_turn")),
     "operational_turns": lambda t: t.turns,
     "network_min_turn": lambda t: R.network_min_turn(t.turns).select(fixed("default_min_turn_min")),
     "airport_min_turn": lambda t: swap(R.airport_min_turn(t.turns), fixed("airport_min_turn_min")),
