@@ -23,10 +23,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node that is the least of its neighbours keeps its links through their larger ends
-        large = stored(large.filter("u <> v").distinct(), "large-star")
+        large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "small-star")
+        edges = stored(small.filter("u <> v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by vertical partitioning, and the groups that its links form.
 
-1. N-grams that are frequent in any batch of documents are counted over all of them. The global order puts the others
-   first, by hash, then the frequent ones from rare to common: a passage that many documents share comes last.
+1. N-grams are counted over all documents: those early in the hash order, and those that are frequent in a batch.
+   The global order puts the rare ones first, by hash, then the frequent ones from rare to common: a passage that
+   many documents share comes last.
 2. Documents with equal sets become one class. Each class is indexed under the prefix of its set in the global order
    that two sets of the wanted similarity must share an n-gram of.
 3. Classes that meet in a prefix and fit by size are candidates. Few that meet are paired with each other, and
@@ -26,11 +27,13 @@ from turnflow.llm.common import small, stored, table
 from turnflow.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-#: An n-gram is frequent if one document in so many has it, and so many of a batch at least: there are at most
-#: FREQUENT times the mean set size of them, whatever the input.
-FREQUENT, IN_BATCH = 2000, 16
 #: Up to so many classes under an n-gram are paired with each other at once.
 FEW = 24
+#: N-grams of more documents than that are frequent: the most frequent so many of them, which bounds what is sent.
+FREQUENT = 2_000_000
+#: They are counted if so many documents of a batch have them, and in any case in the part of the hash order that
+#: prefixes mostly end in.
+IN_BATCH = 16
 #: log2 of the number of fragments.
 FRAGMENT_BITS = 3
 #: Stands for a null doc_id, behind all others.
@@ -55,9 +58,10 @@ def sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, np.zeros(0, np.uint64)
 
 
-def count_frequent(width: int, in_batch: int) -> Callable:
-    """Batches of (text) to (gram, count) of n-grams that `in_batch` documents of the batch have; the number of
-    documents goes under a null."""
+def count_grams(width: int, percent: int, in_batch: int) -> Callable:
+    """Batches of (text) to (gram, count) of the n-grams in the first part of the hash order, 1.3 times a prefix's, and
+    of those that `in_batch` documents of the batch have."""
+    early = np.uint64(min(2**64 - 1, int(2**64 * 1.3 * (100 - percent) / 100)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +70,10 @@ def count_frequent(width: int, in_batch: int) -> Callable:
             every = np.sort(np.concatenate([s for _, s in sets_of(batch.column("text"), width)]))
             edge = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
             count = np.diff(np.append(edge, len(every)))
-            often = count >= in_batch
-            grams = pa.array(every[edge[often]].view(np.int64))
-            yield pa.record_batch([pa.concat_arrays([grams, pa.array([None], pa.int64())]), pa.array(np.append(count[often], batch.num_rows))], ["gram", "count"])
+            told = np.flatnonzero((count >= in_batch) | (every[edge] < early))
+            for i in range(0, len(told), 200_000):
+                j = told[i : i + 200_000]
+                yield pa.record_batch([pa.array(every[edge[j]].view(np.int64)), pa.array(count[j].astype(np.int32))], ["gram", "count"])
 
     return run
 
@@ -306,6 +311,16 @@ def next_pairs(percent: int, seeds: int) -> Callable:
     return run
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: components of the components that they join."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    again = stored(components(stored(joined.filter("a <> b"), "gram-joins")), "gram-merged").select(F.col("node").alias("component"), F.col("component").alias("_c"))
+    moved = label.join(again, "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    fresh = again.select(F.col("component").alias("node"), F.col("_c").alias("component")).join(label.select("node"), "node", "left_anti")
+    return stored(moved.union(fresh), "gram-labels")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int = FEW, frequent: int = FREQUENT, in_batch: int = IN_BATCH, bits: int = FRAGMENT_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
@@ -317,9 +332,9 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    counts = stored(texts.select("text").mapInArrow(count_frequent(width, in_batch), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")), "gram-counts")
-    n_docs = counts.filter("gram IS NULL").agg(F.sum("count")).first()[0] or 0
-    often = counts.filter(F.col("gram").isNotNull() & (F.col("count") >= max(in_batch, -(-n_docs // frequent)))).toPandas()
+    counts = texts.select("text").mapInArrow(count_grams(width, percent, in_batch), "gram long, count int").groupBy("gram").agg(F.sum("count").alias("count"))
+    crowded = stored(counts.filter(F.col("count") > few), "gram-counts")
+    often = crowded.orderBy(F.desc("count"), "gram").limit(frequent).toPandas()
     grams = often["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     by_count = np.lexsort((grams[order], often["count"].to_numpy(np.int64)[order]))
@@ -349,9 +364,9 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     links = stored(linked(pairs, parts, sizes, percent), "gram-links")
     if members.limit(1).count():
         done = None
-        seeds = 1
+        seeds = 4
+        label = components(links)
         while True:
-            label = components(links)
             state = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
             state = state.withColumn("done", F.lit(False)) if done is None else state.join(done.withColumn("done", F.lit(True)), ["gram", "k"], "left").fillna(False, subset=["done"])
             asked = state.select("gram", "k", "n", "place", "rare", "done", "component").repartition("gram").sortWithinPartitions("gram")
@@ -360,10 +375,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
             fresh = step.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if not tested.limit(1).count():
                 break
-            links = stored(links.union(linked(stored(fresh, "gram-pairs"), parts, sizes, percent)), "gram-links")
-            done = stored(tested if done is None else done.union(tested), "gram-tested")
-            seeds *= 4
-    label = components(links)
+            label = merged(label, linked(stored(fresh, "gram-pairs"), parts, sizes, percent))
+            done = tested if done is None else done.union(tested)
+            seeds *= 16
+    else:
+        label = components(links)
 
     member_of = rows.filter("n > 0").select("k", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
     joined = member_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("component"))
