@@ -123,9 +123,10 @@ nodeu AS (SELECT prev_dest AS airport, {bucket("prev_arr_delay")} AS bucket, Dep
 edgeu AS (SELECT Origin AS origin, Dest AS dest, {bucket("DepDelayMinutes")} AS bucket, ArrDelayMinutes AS value, ord FROM keyed),{_dist("nodeu", "airport", "dep_delay_samples", "astats", "airport_sample_size")},{_dist("edgeu", "origin, dest", "arr_delay_samples", "rstats", "route_sample_size")},
 points AS (SELECT s.*, r.name AS airport_name, r.city, r.lat, r.lon FROM astats s JOIN ref r ON s.airport = r.iata),
 arcs AS (SELECT s.*, o.lat AS origin_lat, o.lon AS origin_lon, d.lat AS dest_lat, d.lon AS dest_lon FROM rstats s JOIN ref o ON s.origin = o.iata JOIN ref d ON s.dest = d.iata),
+known AS (SELECT list(DISTINCT airport) AS known_codes FROM nodeu_dist),
 asked AS ({REQUESTS_SQL}),
 parsed AS (SELECT path_id, list_filter(regexp_split_to_array(upper(trim(path_text)), '[,\\->→\\s]+'), lambda x: x <> '') AS path, start_delay FROM asked),
-valid AS (SELECT *, list_sort(list_distinct(list_filter(path, lambda c: NOT list_contains((SELECT list(DISTINCT airport) FROM nodeu_dist), c)))) AS unknown_codes FROM parsed),
+valid AS (SELECT *, list_sort(list_distinct(list_filter(path, lambda c: NOT list_contains(known_codes, c)))) AS unknown_codes FROM parsed CROSS JOIN known),
 good AS (SELECT path_id, path, start_delay FROM valid WHERE len(path) >= 2 AND len(unknown_codes) = 0),{_simulated("sim", "good", 64)},
 stops AS (SELECT path_id, hop - 1 AS hop, path[hop] AS airport, path[hop - 1] AS origin, {", ".join(f"{fix(f'quantile_cont(e, {q / 100})')} AS p{q}" for q in (10, 50, 90))}, {fix("avg(e)")} AS mean,
   {", ".join(f"{fix(f'avg(CASE WHEN e > {t} THEN 1.0 ELSE 0.0 END)')} AS p_over_{t}" for t in (15, 30, 60))}, bool_or(fallback) AS used_route_fallback, bool_or(thin) AS used_thin_pool FROM sim WHERE hop > 1 GROUP BY ALL),
@@ -133,7 +134,7 @@ rot AS (SELECT Tail_Number, operating_day, count(*) AS legs FROM prop GROUP BY A
 rpaths AS (SELECT Tail_Number, operating_day, CAST(substr(Tail_Number, 2) AS BIGINT) * 100000 + date_diff('day', DATE '1970-01-01', operating_day) AS path_id,
   list_concat([first(Origin ORDER BY rotation_leg_number)], list(Dest ORDER BY rotation_leg_number)) AS path, list(ArrDelayMinutes ORDER BY rotation_leg_number) AS actual, first(DepDelayMinutes ORDER BY rotation_leg_number) AS start_delay
   FROM prop SEMI JOIN rot USING (Tail_Number, operating_day) GROUP BY ALL),
-usable AS (SELECT *, len(list_filter(path[2:len(path) - 1], lambda c: NOT list_contains((SELECT list(DISTINCT airport) FROM nodeu_dist), c))) = 0 AS is_usable FROM rpaths),
+usable AS (SELECT *, len(list_filter(path[2:len(path) - 1], lambda c: NOT list_contains(known_codes, c))) = 0 AS is_usable FROM rpaths CROSS JOIN known),
 replayed AS (SELECT path_id, path, start_delay FROM usable WHERE is_usable),{_simulated("rep", "replayed", 64)},
 covered AS (SELECT Tail_Number, operating_day, hop_position, {bucket("start_delay")} AS start_bucket, actual[hop_position] BETWEEN p10 AND p90 AS covered
   FROM (SELECT path_id, hop - 1 AS hop_position, quantile_cont(e, 0.1) AS p10, quantile_cont(e, 0.9) AS p90 FROM rep WHERE hop > 1 GROUP BY ALL) JOIN usable USING (path_id))
