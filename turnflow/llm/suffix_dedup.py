@@ -139,6 +139,8 @@ def cut_segments(length: int, gram: int) -> Callable:
                 continue
             a, h, k, span = (np.concatenate(p) for p in parts)
             new = _first_in_batch(h, a, span & (2**CHECK - 1))
+            other = ~_itself(h, new, k, span)
+            a, h, k, span, new = a[other], h[other], k[other], span[other], new[other]
             repeat = ~new
             a[repeat] = A.mix(k[repeat].view(np.uint64))
             h[repeat] = 0
@@ -150,6 +152,18 @@ def cut_segments(length: int, gram: int) -> Callable:
     return run
 
 
+def _itself(keys: np.ndarray, new: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which rows that aren't the first with their key stand at the first's own place: rows of a repeated document."""
+    order = np.argsort(keys, kind="stable")
+    lead = order[np.flatnonzero(new[order])[np.cumsum(new[order]) - 1]]
+    same = ~new[order]
+    for x in place:
+        same &= x[order] == x[lead]
+    out = np.zeros(len(keys), bool)
+    out[order] = same
+    return out
+
+
 #: What the first step says of a span: a repeat, to be sorted by anchor, to be sorted by string.
 REPEAT, SHARED, CROWDED = 0, 1, 2
 
@@ -170,7 +184,9 @@ def judge_segments(hot: int) -> Callable:
         group = np.cumsum(new_a) - 1
         leads = np.bincount(group, weights=lead)[group]
         kind = np.where(lead, np.where((leads > hot) | crowded, CROWDED, SHARED), REPEAT)
-        keep = ~lead | (leads > 1) | crowded
+        first = np.flatnonzero(new)[run]
+        itself = ~lead & (k == k[first]) & (span == span[first])
+        keep = (~lead | (leads > 1) | crowded) & ~itself
         return pa.record_batch([pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(k[keep]), pa.array(span[keep])], ["kind", "a", "k", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +274,8 @@ def cut_strings(length: int) -> Callable:
                     here = row[each] == r if len(each) < 1000 else slice(*np.searchsorted(row[each], [r, r + 1]))
                     hashes[here] = A.mix(Prefixes(raw[at[r] : at[r + 1]]).of(own[here], length))
                 new = _first_in_batch(hashes)
+                other = ~_itself(hashes, new, ids[row[each]], own)
+                each, own, hashes, new = each[other], own[other], hashes[other], new[other]
                 where = at[row[each]] + own
                 for i in range(0, len(each), 50_000):
                     j = slice(i, i + 50_000)
@@ -365,6 +383,10 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
 
     def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
+        order = np.lexsort([rows.column(c).to_numpy() for c in ("span", "k", "a")])
+        again = [rows.column(c).to_numpy()[order] for c in ("span", "k", "a")]
+        new = np.append(True, np.any([x[1:] != x[:-1] for x in again], axis=0))  # a repeated document's once
+        rows = rows.take(pa.array(order[new]))
         key, k, span = (rows.column(c).to_numpy() for c in ("a", "k", "span"))
         again = repeats(rows.column("string").to_pylist(), key, k, span, length)
         start, count, _, _ = unpack(span)
