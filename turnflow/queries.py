@@ -128,7 +128,8 @@ class Tables:
         return B.replay_coverage(self.simulated(paths, longest))
 
 
-ID = F.col("Flight_Number_Reporting_Airline").alias("flight_number")
+def ID() -> Column:
+    return F.col("Flight_Number_Reporting_Airline").alias("flight_number")
 
 
 def text(c: str) -> Column:
@@ -169,7 +170,7 @@ def _ids(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
 def _append(t: Tables) -> DataFrame:
     flights = t.flights
     loaded = flights.filter("Month % 2 = 0 OR (Reporting_Airline = 'UA' AND Month % 3 = 0)").select("Year", "Month", "Reporting_Airline")
-    return append_new_months(flights, loaded).select(ID, "Year", "Month", "Reporting_Airline")
+    return append_new_months(flights, loaded).select(ID(), "Year", "Month", "Reporting_Airline")
 
 
 def _keep(t: Tables) -> DataFrame:
@@ -183,7 +184,7 @@ def _support(t: Tables) -> DataFrame:
 
 
 def _split(t: Tables) -> DataFrame:
-    return t.flights.select(ID, hhmm_split(F.col("DepTime")).alias("_s")).select("flight_number", "_s.hour", "_s.minute", "_s.days")
+    return t.flights.select(ID(), hhmm_split(F.col("DepTime")).alias("_s")).select("flight_number", "_s.hour", "_s.minute", "_s.days")
 
 
 def _propagation(t: Tables) -> DataFrame:
@@ -226,30 +227,30 @@ def _column(name: str) -> Callable[[Tables], DataFrame]:
 
 MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "append_new_months": _append,
-    "filter_carriers": lambda t: C.cast_nullable_ints(C.filter_carriers(t.raw)).select(ID, "Reporting_Airline"),
+    "filter_carriers": lambda t: C.cast_nullable_ints(C.filter_carriers(t.raw)).select(ID(), "Reporting_Airline"),
     "select_keep_columns": _keep,
-    "fill_delay_causes": lambda t: C.cast_nullable_ints(C.fill_delay_causes(t.raw)).select(ID, "CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay"),
-    "cast_nullable_ints": lambda t: C.cast_nullable_ints(t.raw).select(ID, "CRSDepTime", "DepTime", "CRSArrTime", "ArrTime", "CRSElapsedTime", "ActualElapsedTime", "OriginAirportID", "DestAirportID"),
-    "parse_flight_date": lambda t: C.cast_nullable_ints(C.parse_flight_date(t.raw)).select(ID, text("FlightDate")),
-    "trim_codes": lambda t: C.cast_nullable_ints(C.trim_codes(t.raw)).select(ID, "Tail_Number"),
-    "cast_flags": lambda t: C.cast_nullable_ints(C.cast_flags(t.raw)).select(ID, "Cancelled", "Diverted"),
+    "fill_delay_causes": lambda t: C.cast_nullable_ints(C.fill_delay_causes(t.raw)).select(ID(), "CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay"),
+    "cast_nullable_ints": lambda t: C.cast_nullable_ints(t.raw).select(ID(), "CRSDepTime", "DepTime", "CRSArrTime", "ArrTime", "CRSElapsedTime", "ActualElapsedTime", "OriginAirportID", "DestAirportID"),
+    "parse_flight_date": lambda t: C.cast_nullable_ints(C.parse_flight_date(t.raw)).select(ID(), text("FlightDate")),
+    "trim_codes": lambda t: C.cast_nullable_ints(C.trim_codes(t.raw)).select(ID(), "Tail_Number"),
+    "cast_flags": lambda t: C.cast_nullable_ints(C.cast_flags(t.raw)).select(ID(), "Cancelled", "Diverted"),
     "clean_flights": lambda t: t.flights.select(*CLEAN).withColumn("FlightDate", F.col("FlightDate").cast("string")),
     "airport_lookup": lambda t: t.airports,
     "unmatched_airports": lambda t: A.unmatched_airports(t.flights, t.airports),
-    "attach_timezones": lambda t: t.attached.select(ID, "Origin", "Dest", "origin_tz", "dest_tz"),
+    "attach_timezones": lambda t: t.attached.select(ID(), "Origin", "Dest", "origin_tz", "dest_tz"),
     "missing_timezone_count": lambda t: E.missing_timezone_count(t.attached),
     "hhmm_split": _split,
-    "localize_to_utc": lambda t: E.actual_utc(t.attached).select(ID, F.col("DepTimestampUTC").cast("string").alias("utc")),
-    "scheduled_utc": lambda t: E.scheduled_utc(t.attached).select(ID, F.col("CRSDepTimestampUTC").cast("string").alias("dep"), F.col("CRSArrTimestampUTC").cast("string").alias("arr")),
-    "actual_utc": lambda t: E.actual_utc(t.attached).select(ID, F.col("DepTimestampUTC").cast("string").alias("dep"), F.col("ArrTimestampUTC").cast("string").alias("arr")),
-    "utc_to_local_hhmm": lambda t: t.enriched.select(ID, local_hhmm(F.col("ArrTimestampUTC"), F.col("dest_tz")).alias("hhmm")),
+    "localize_to_utc": lambda t: E.actual_utc(t.attached).select(ID(), F.col("DepTimestampUTC").cast("string").alias("utc")),
+    "scheduled_utc": lambda t: E.scheduled_utc(t.attached).select(ID(), F.col("CRSDepTimestampUTC").cast("string").alias("dep"), F.col("CRSArrTimestampUTC").cast("string").alias("arr")),
+    "actual_utc": lambda t: E.actual_utc(t.attached).select(ID(), F.col("DepTimestampUTC").cast("string").alias("dep"), F.col("ArrTimestampUTC").cast("string").alias("arr")),
+    "utc_to_local_hhmm": lambda t: t.enriched.select(ID(), local_hhmm(F.col("ArrTimestampUTC"), F.col("dest_tz")).alias("hhmm")),
     "arrival_reconciliation": lambda t: E.arrival_reconciliation(t.enriched),
     "enrich_flights": lambda t: swap(t.enriched.select(*CLEAN, "origin_tz", "dest_tz", *TIMES), text("FlightDate"), *[text(c) for c in TIMES]),
-    "operating_day": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID, text("operating_day")),
-    "minutes_between": lambda t: t.enriched.select(ID, minutes_between(F.col("CRSDepTimestampUTC"), F.col("ArrTimestampUTC")).alias("minutes")),
-    "completed_legs": lambda t: R.completed_legs(t.enriched).select(ID, "Tail_Number", "Origin", "Dest"),
-    "previous_leg": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID, "lag_dest", "lag_arr_delay", "lag_flight_number", text("lag_arr_utc"), text("lag_crs_arr_utc")),
-    "chain_legs": lambda t: R.chained_legs(t.enriched).select(ID, "prev_dest", "prev_arr_delay", "prev_flight_number", "is_first_leg"),
+    "operating_day": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID(), text("operating_day")),
+    "minutes_between": lambda t: t.enriched.select(ID(), minutes_between(F.col("CRSDepTimestampUTC"), F.col("ArrTimestampUTC")).alias("minutes")),
+    "completed_legs": lambda t: R.completed_legs(t.enriched).select(ID(), "Tail_Number", "Origin", "Dest"),
+    "previous_leg": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID(), "lag_dest", "lag_arr_delay", "lag_flight_number", text("lag_arr_utc"), text("lag_crs_arr_utc")),
+    "chain_legs": lambda t: R.chained_legs(t.enriched).select(ID(), "prev_dest", "prev_arr_delay", "prev_flight_number", "is_first_leg"),
     **{c: _column(c) for c in ("rotation_leg_number", "node_effect", "edge_effect_delay", "edge_effect_schedule", "scheduled_turn_min", "cumulative_node_delay")},
     "is_overnight_turn": lambda t: t.effects.select("flight_number", flag("is_overnight_turn")),
     "operational_turns": lambda t: t.turns,
