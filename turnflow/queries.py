@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.constants import KEEP
+from turnflow.constants import DRAWS, KEEP
 from turnflow.functions.numbers import bucket_bounds, delay_bucket
 from turnflow.functions.stage import stored
 from turnflow.functions.when import hhmm_split, local_hhmm, minutes_between
@@ -25,7 +25,6 @@ from turnflow.oracles import ENDINGS, oracle
 from turnflow.sources import derived
 from turnflow.sources.ontime import append_new_months
 
-DRAWS = 64
 CLEAN = [c for c in KEEP if c not in ("DayOfWeek", "OriginCityName", "OriginState", "DestCityName", "DestState", "DepDel15", "ArrDel15", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn", "CancellationCode", "AirTime", "Distance")]
 TIMES = ("CRSDepTimestampUTC", "CRSArrTimestampUTC", "DepTimestampUTC", "ArrTimestampUTC")
 
