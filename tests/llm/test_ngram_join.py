@@ -50,6 +50,19 @@ def test_odd_tables(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6]
 
 
+def test_repeated_ids(spark):
+    """Repeated rows count once; an id on two texts has a set for each and ties their groups together."""
+    a = [f"w{i}" for i in range(103)]
+    b = [*a[:70], *[f"v{i}" for i in range(33)]]  # 67 of 100 n-grams each in common
+    long = [f"x{i}" for i in range(300)]
+    short = [f"y{i}" for i in range(60)]
+    rows = [(1, a), (1, a), (2, b), (2, b), (3, short), (3, long), (4, [*short[:-1], "other"]), (5, [*long[:-1], "other"]), (6, [*short[:-2], "z", "z"])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    for few in (24, 2):
+        got = N.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), few=few, in_batch=2).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 3), (3, 3), (4, 3), (5, 3), (6, 3)]
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(30)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]

@@ -84,7 +84,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def index_rows(width: int, percent: int, frequent) -> Callable:
-    """Batches of (k, text) to (k, n, h1, h2, rare, last, prefix); of equal sets in a batch one has its prefix. rare:
+    """Batches of (id, k, text) to (id, k, n, h1, h2, rare, last, prefix); of equal sets in a batch one has its prefix. rare:
     its n-grams that aren't frequent; last: the place of the prefix's last n-gram in the global order, as a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def index_rows(width: int, percent: int, frequent) -> Callable:
                     ends.append(0)
                     prefix.append(None)
             sign = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column("k"), pa.array(n, pa.int32()), sign(h1), sign(h2), pa.array(rare, pa.int32()), pa.array(ends, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["k", "n", "h1", "h2", "rare", "last", "prefix"])
+            yield pa.record_batch([batch.column("id"), batch.column("k"), pa.array(n, pa.int32()), sign(h1), sign(h2), pa.array(rare, pa.int32()), pa.array(ends, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "k", "n", "h1", "h2", "rare", "last", "prefix"])
 
     return run
 
@@ -212,10 +212,11 @@ def fragments_of(width: int, bits: int) -> Callable:
 
 
 def count_parts() -> Callable:
-    """Rows (a, f, salt, b, part), those of an (a, f, salt) together with b = a first, to (a, b, shared)."""
+    """Rows (a, f, salt, b, part), those of an (a, f, salt) together with b = a first, to (a, b, shared). Rows that repeat
+    a part stand side by side and count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine = None, np.zeros(0, np.uint64)
+        now, mine, last = None, np.zeros(0, np.uint64), None
         for batch in batches:
             a, f, salt, b, is_own = (batch.column(c).to_pylist() for c in ("a", "f", "salt", "b", "other"))
             parts = batch.column("part")
@@ -225,7 +226,8 @@ def count_parts() -> Callable:
                 part = np.frombuffer(parts[i].as_buffer(), np.uint64)
                 if not is_own[i]:
                     now, mine = key, part.copy()
-                elif key == now and len(mine):
+                elif key == now and len(mine) and (key, b[i]) != last:
+                    last = key, b[i]
                     at = np.minimum(np.searchsorted(mine, part), len(mine) - 1)
                     shared = int(np.count_nonzero(mine[at] == part))
                     if shared:
@@ -259,7 +261,7 @@ def linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, p
     salted = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"))
     others = salted.join(parts, salted.b == parts.k).select("a", "f", "salt", "b", F.lit(1).alias("other"), "part")
     own = tasks.join(parts, tasks.a == parts.k).select("a", "f", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(0).alias("other"), "part")
-    dealt = others.union(own).repartition("a", "f", "salt").sortWithinPartitions("a", "f", "salt", "other")
+    dealt = others.union(own).repartition("a", "f", "salt").sortWithinPartitions("a", "f", "salt", "other", "b")
     overlap = dealt.mapInArrow(count_parts(), "a long, b long, shared int").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     na, nb = sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
     whole = overlap.join(na, "a").join(nb, "b")
@@ -330,7 +332,9 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     such rows as copies of one another's id. Rows that repeat a doc_id are in one group with all that each links to.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # one key for each text of an id: an id on several texts has a set for each
+    texts = texts.withColumn("k", F.xxhash64("id", "text"))
 
     counts = texts.select("text").mapInArrow(count_grams(width, percent, in_batch), "gram long, count int").groupBy("gram").agg(F.sum("count").alias("count"))
     crowded = stored(counts.filter(F.col("count") > few), "gram-counts")
@@ -342,11 +346,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     rank[by_count] = np.arange(len(grams), dtype=np.int32)
     known = spark.sparkContext.broadcast((grams[order], rank))
 
-    rows = stored(texts.mapInArrow(index_rows(width, percent, known), "k long, n int, h1 long, h2 long, rare int, last long, prefix array<long>"), "gram-sets")
-    # a class: its least document, and the one whose prefix stands for it
+    rows = stored(texts.select("id", "k", "text").mapInArrow(index_rows(width, percent, known), "id long, k long, n int, h1 long, h2 long, rare int, last long, prefix array<long>"), "gram-sets")
+    # a class: the key of its least document, and the one whose prefix stands for it
     holder = F.min(F.when(F.col("prefix").isNotNull(), F.struct("k", "rare", "last"))).alias("holder")
-    classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), holder)
-    classes = stored(classes.select("h1", "h2", "n", "rep", F.col("holder.k").alias("holder"), "holder.rare", "holder.last"), "gram-classes")
+    classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "k")).alias("least"), holder)
+    classes = stored(classes.select("h1", "h2", "n", F.col("least.id").alias("id"), F.col("least.k").alias("rep"), F.col("holder.k").alias("holder"), "holder.rare", "holder.last"), "gram-classes")
     held = rows.filter("prefix IS NOT NULL").select("k", "h1", "h2", "prefix").dropDuplicates(["k", "h1", "h2"])
     held = held.join(classes.select("h1", "h2", "n", "rep", F.col("holder").alias("k")), ["k", "h1", "h2"])
     placed = held.select("rep", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", F.col("rep").alias("k"), "n", "place")
@@ -358,10 +362,15 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     pairs = stored(worth_counting(met.filter(F.col("kind") == PAIR), facts, members, percent), "gram-pairs")
     sizes = facts.select("k", "n")
     needed = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(members.select("k")).distinct(), "gram-candidates")
-    wanted = texts.join(small(needed, 2_000_000), "k", "left_semi")
+    wanted = texts.select("k", "text").join(small(needed, 2_000_000), "k", "left_semi")
     parts = stored(wanted.mapInArrow(fragments_of(width, bits), "k long, f int, part binary"), "gram-fragments")
 
-    links = stored(linked(pairs, parts, sizes, percent), "gram-links")
+    member_of = rows.filter("n > 0").select("id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+    member_of = stored(member_of.select("id", "n", "rep"), "gram-class-members")
+    # the classes of an id on several texts hang together
+    several = member_of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
+    same_id = member_of.join(several, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    links = stored(linked(pairs, parts, sizes, percent).union(same_id), "gram-links")
     if members.limit(1).count():
         done = None
         seeds = 4
@@ -381,11 +390,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     else:
         label = components(links)
 
-    member_of = rows.filter("n > 0").select("k", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
-    joined = member_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("component"))
-    alone = rows.filter("n = 0").select("k", "n", F.col("k").alias("component"))
+    named = classes.select("rep", "id").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("component", "rep").alias("c"))
+    least = stored(named.groupBy("c").agg(F.min("id").alias("component")), "gram-least")
+    joined = member_of.join(named.join(small(least, 2_000_000), "c").select("rep", "component"), "rep").select("id", "n", "component")
+    alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     clean = lambda c: F.nullif(c, F.lit(NO_ID))
-    return joined.union(alone).select(clean("k").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clean("component").alias("component_id"))
+    return joined.union(alone).select(clean("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clean("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
