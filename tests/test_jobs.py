@@ -56,6 +56,15 @@ def test_all_jobs(spark, files, tmp_path):
     dropped = flow.export(spark, folder, str(tmp_path / "out")).first()
     assert dropped.airports_dropped == 0
     require_tables(spark, str(tmp_path / "out"), ["airport_points", "route_arcs", "network_node_delay_distributions", "node_delay_distributions", "network_edge_delay_distributions", "edge_delay_distributions"])
+    asked = spark.createDataFrame([(1, "N00 -> N01 -> N02", 20.0), (2, "N00, XXX", 0.0), (3, "n01-n00", None)], "path_id long, path_text string, start_delay double")
+    for _ in range(2):
+        flow.simulate(spark, asked, folder, draws=50).collect()
+        stops = spark.read.parquet(f"{folder}/simulated_stops").collect()
+        assert sorted((r.path_id, r.hop) for r in stops) == [(1, 1), (1, 2)] and all(r.p10 <= r.p50 <= r.p90 for r in stops)
+        assert spark.read.parquet(f"{folder}/simulated_fan").filter("path_id = 1").count() == 3
+    report = {(r.hop_position, r.start_bucket): r for r in flow.backtest(spark, folder, rotations=None, draws=50).collect()}
+    assert 0 < report[None, None].covered_share <= 1
+    assert report[None, None].hops == spark.read.parquet(f"{folder}/replay_coverage").count()
 
 
 def test_missing_tables_are_named(spark, tmp_path):

@@ -167,7 +167,7 @@ def test_paths_and_simulation(spark):
     nodes = spark.createDataFrame([("AAA", b, False, [1]) for b in names], "airport string, bucket string, is_fallback boolean, dep_delay_samples array<int>")
     net_e = spark.createDataFrame([(b, [7]) for b in names], "bucket string, arr_delay_samples array<int>")
     net_n = spark.createDataFrame([(b, [2]) for b in names], "bucket string, dep_delay_samples array<int>")
-    sim = M.simulate_paths(paths, nodes, edges, net_n, net_e, 3, 16)
+    sim = M.simulate_paths(paths, nodes, edges, net_n, net_e, 16)
     got = {r.path_id: r.stops for r in sim.collect()}
     assert [s.draws for s in got[1]] == [[43] * 16] and not got[1][0].used_route_fallback
     assert got[3] is None and got[4] is None
@@ -175,6 +175,10 @@ def test_paths_and_simulation(spark):
     summary = M.summarize_stops(sim)
     assert {(r.path_id, r.hop): (r.p50, r.p_over_30) for r in summary.collect()} == {(1, 1): (43.0, 1.0), (2, 1): (7.0, 0.0), (5, 1): (7.0, 0.0)}
     assert {r.path_id: r.fallback_stops for r in M.fallback_hops(summary).collect()} == {2: ["CCC"], 5: ["AAA"]}
+    far = M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, sent_pools=0)  # pools joined to the legs
+    assert {r.path_id: r.stops for r in far.collect()} == got
+    brief = {r.path_id: r.stops for r in M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, keep="percentiles", sent_pools=0).collect()}
+    assert [(s.p10, s.p50, s.p90, s.mean, s.p_over_30) for s in brief[1]] == [(43.0, 43.0, 43.0, 43.0, 1.0)] and brief[3] is None
     assert sorted(r.label for r in M.fan_table(sim, summary).filter("path_id = 1").collect()) == ["0. AAA", "1. BBB"]
 
 

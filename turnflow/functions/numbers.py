@@ -32,19 +32,6 @@ PRIME = 2147483647
 ROUNDS = ((48271, 15), (69621, 13), (39373, 16))
 
 
-def draw(i: Column, c: Column) -> Column:
-    """A reproducible draw in [0, PRIME) for number i of stream c; every product stays below 2^63."""
-    v = (i.cast("long") * 1000003 + c.cast("long")) % PRIME
-    for m, s in ROUNDS:
-        v = (v.bitwiseXOR(F.shiftright(v, s)) * m) % PRIME
-    return v
-
-
-def stream(seed: int, number: Column, hop: int, step: int) -> Column:
-    """The stream of one path's step: 0 in the air, 1 on the ground."""
-    return (number.cast("long") * 7919 + F.lit(seed * 104729 + hop * 613 + step * 31)) % PRIME
-
-
 def sorted_percentile(values: Column, q: float) -> Column:
     """Linear interpolation between neighbours of an ascending array; null if it is empty."""
     r = F.lit(float(q)) * (F.size(values) - 1)

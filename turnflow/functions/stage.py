@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,19 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the cluster names none."""
+    """The folder named in spark.checkpoint.dir. Where none is named, a temporary one, but on a local master only:
+    executors on other machines couldn't read it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(spark, "_turnflow_shared", None):
         spark._turnflow_shared = tempfile.mkdtemp(prefix="turnflow-")
+        atexit.register(shutil.rmtree, spark._turnflow_shared, ignore_errors=True)
     return spark._turnflow_shared
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later steps survive a lost executor
-    and don't compute it again."""
+    and don't compute it again. The table stays until `clear_stored`, as frames made of it read it lazily."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._turnflow_stored = [*getattr(spark, "_turnflow_stored", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this session has stored; call it when no frame made of them is needed any more."""
+    paths = getattr(spark, "_turnflow_stored", [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._turnflow_stored = []
+    return len(paths)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnflow.constants import DRAWS, ROTATIONS
+from turnflow.functions.stage import clear_stored, stored
 from turnflow.operators import airports as A
+from turnflow.operators import backtest as B
 from turnflow.operators import distributions as D
 from turnflow.operators import enrich, rotation, serving, stats
+from turnflow.operators import simulate as M
 from turnflow.sources.ontime import export_bundle, load_months, read_airport_reference, rebuild_table, require_tables
 
 
@@ -21,16 +26,17 @@ def ingest(spark: SparkSession, raw: str | list[str], reference: str, folder: st
     return load_months(spark, raw, f"{folder}/flights")
 
 
-def propagate(spark: SparkSession, folder: str) -> DataFrame:
+def propagate(spark: SparkSession, folder: str, null_tail: str = "isolate") -> DataFrame:
     """Enriched flights, chained legs, the propagation table and both statistics; returns the reconciliation.
 
     The chained legs are read twice, for the minimum turns and for the table, and so are written in between: the
-    shuffle by aircraft is done once.
+    shuffle by aircraft is done once. Legs without a tail number are starts of their own; null_tail='chain' takes them
+    for one aircraft, in one task.
     """
     require_tables(utc(spark), folder, ["flights", "airport_timezones"])
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     rebuild_table(enrich.enrich_flights(read("flights"), read("airport_timezones")), f"{folder}/flights_enriched")
-    effects = rotation.with_effects(rotation.chained_legs(read("flights_enriched")))
+    effects = rotation.with_effects(rotation.chained_legs(read("flights_enriched"), null_tail))
     rebuild_table(effects, f"{folder}/chained_legs")
     min_turn = rotation.min_turn_blend(rotation.operational_turns(read("chained_legs")))
     rebuild_table(rotation.with_buffers(read("chained_legs"), min_turn).select(*rotation.PROPAGATION), f"{folder}/flights_propagation")
@@ -60,3 +66,32 @@ def export(spark: SparkSession, folder: str, to: str) -> DataFrame:
     points, arcs = serving.airport_points(read("airport_stats"), places), serving.route_arcs(read("route_stats"), places)
     export_bundle({"airport_points": points, "route_arcs": arcs} | {n: read(n) for n in names}, to)
     return serving.export_dropped(read("airport_stats"), read("route_stats"), places)
+
+
+def simulate(spark: SparkSession, requests: DataFrame, folder: str, draws: int = DRAWS) -> DataFrame:
+    """Requests (path_id, path_text, start_delay) parsed, checked and simulated; writes path_checks, simulated_stops and
+    simulated_fan, and returns the stops of each path that only the network's pool could reach."""
+    names = ["network_node_delay_distributions", "node_delay_distributions", "network_edge_delay_distributions", "edge_delay_distributions"]
+    require_tables(utc(spark), folder, names)
+    net_node, node, net_edge, edge = (spark.read.parquet(f"{folder}/{n}") for n in names)
+    asked = requests.select("path_id", M.parse_path(F.col("path_text")).alias("path"), "start_delay")
+    rebuild_table(M.validate_path(asked, node), f"{folder}/path_checks")
+    good = spark.read.parquet(f"{folder}/path_checks").filter("is_valid").select("path_id", "path", "start_delay")
+    simulated = stored(M.simulate_paths(good, node, edge, net_node, net_edge, draws), "simulated")
+    rebuild_table(M.summarize_stops(simulated), f"{folder}/simulated_stops")
+    stops = spark.read.parquet(f"{folder}/simulated_stops")
+    rebuild_table(M.fan_table(simulated, stops), f"{folder}/simulated_fan")
+    clear_stored(spark)
+    return M.fallback_hops(stops)
+
+
+def backtest(spark: SparkSession, folder: str, rotations: int | None = ROTATIONS, draws: int = DRAWS) -> DataFrame:
+    """Replays rotations (a seeded choice, or all with None) from their first delay; writes replay_coverage and returns its report."""
+    names = ["network_node_delay_distributions", "node_delay_distributions", "network_edge_delay_distributions", "edge_delay_distributions"]
+    require_tables(utc(spark), folder, ["flights_propagation", *names])
+    net_node, node, net_edge, edge = (spark.read.parquet(f"{folder}/{n}") for n in names)
+    legs = spark.read.parquet(f"{folder}/flights_propagation")
+    usable = stored(B.usable_rotations(B.rotation_paths(legs, B.sample_rotations(legs, rotations)), node).filter("is_usable"), "rotations")
+    rebuild_table(B.replay_coverage(M.simulate_paths(usable, node, edge, net_node, net_edge, draws, "percentiles")), f"{folder}/replay_coverage")
+    clear_stored(spark)
+    return B.coverage_report(spark.read.parquet(f"{folder}/replay_coverage"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnflow.constants import ROTATIONS
-from turnflow.functions.numbers import delay_bucket, sorted_percentile
+from turnflow.functions.numbers import delay_bucket
 
 
 def sample_rotations(propagation: DataFrame, n: int | None = ROTATIONS, seed: str = "replay") -> DataFrame:
@@ -36,11 +36,9 @@ def usable_rotations(paths: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def replay_coverage(simulated: DataFrame) -> DataFrame:
-    """One row per hop of simulated rotations (`actual` beside `stops`): inside [p10, p90] or not."""
-    hops = simulated.filter("stops IS NOT NULL").select("Tail_Number", "operating_day", "start_delay", F.posexplode(F.arrays_zip(F.col("stops.draws").alias("draws"), "actual")).alias("_i", "_x"))
-    flat = hops.select("Tail_Number", "operating_day", (F.col("_i") + 1).alias("hop_position"), delay_bucket(F.col("start_delay")).alias("start_bucket"), F.array_sort("_x.draws").alias("_d"), F.col("_x.actual").alias("actual"))
-    flat = flat.filter("NOT exists(_d, x -> x IS NULL)")
-    return flat.select("Tail_Number", "operating_day", "hop_position", "start_bucket", F.col("actual").between(sorted_percentile(F.col("_d"), 0.1), sorted_percentile(F.col("_d"), 0.9)).alias("covered"))
+    """One row per hop of rotations simulated with keep='percentiles' (`actual` beside `stops`): inside [p10, p90] or not."""
+    hops = simulated.select("Tail_Number", "operating_day", delay_bucket(F.col("start_delay")).alias("start_bucket"), "actual", F.explode("stops").alias("s"))
+    return hops.select("Tail_Number", "operating_day", F.col("s.hop").alias("hop_position"), "start_bucket", F.get("actual", F.col("s.hop") - 1).between(F.col("s.p10"), F.col("s.p90")).alias("covered"))
 
 
 def coverage_report(records: DataFrame) -> DataFrame:

@@ -1,17 +1,31 @@
 """Monte Carlo delays along a table of paths.
 
-A path is one row and its draws an array, never exploded. Each hop joins the pools of its route and of the airport it
-lands at (one row per key with all buckets; broadcast by Spark while small) and maps every draw: bucket, draw of an
-index, value. The plan grows with the longest path, the rows don't.
+Two requests for one path whose start delays lie in one bucket have the same draws, so each (path, start bucket) is
+simulated once and joined back. Spark deals out this work; inside a task a path is walked hop by hop on a vector of
+draws: bucket of each, draw of an index, value. Neither the plan nor what other paths carry grows with the longest path.
+Pools go to the tasks whole while they are few (a row per route or airport, `POOL_CAP` values a bucket); beyond that
+they are joined to the legs, and it is pools that shuffle, never draws.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnflow.constants import BUCKETS, DRAWS, LATE_BY
-from turnflow.functions.numbers import delay_bucket, draw, sorted_percentile, stream
+from turnflow.functions.numbers import PRIME, ROUNDS, delay_bucket, sorted_percentile
+from turnflow.functions.stage import stored
+
+#: Up to so many rows of pools, 5 x `POOL_CAP` whole numbers each, are sent to every task.
+SENT_POOLS = 20_000
+NAMES = [b[0] for b in BUCKETS]
+HIGHS = np.array([b[2] for b in BUCKETS[:-1]])
+STOP = "hop int, airport string, origin string, {}, used_route_fallback boolean, used_thin_pool boolean"
+KEEPS = {"draws": "draws array<int>", "turns": "draws array<int>, turned array<int>", "percentiles": ", ".join(f"{c} double" for c in ("p10", "p50", "p90", "mean", *[f"p_over_{t}" for t in LATE_BY]))}
 
 
 def parse_path(text: Column) -> Column:
@@ -27,71 +41,171 @@ def validate_path(paths: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("is_valid", (F.size("path") >= 2) & (F.size("unknown_codes") == 0))
 
 
+def path_number(path: Column, bucket: Column) -> Column:
+    """The number of a path and start bucket that its draws depend on; the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.array_join(path, "-"), bucket)), 1, 13), 16, 10).cast("long") % PRIME
+
+
 def pool_rows(dist: DataFrame, keys: tuple[str, ...], samples: str) -> DataFrame:
     """One row per key: map of bucket to struct(pool, thin)."""
     pool = F.struct(F.col(samples).alias("pool"), F.col("is_fallback").alias("thin"))
     return dist.filter(F.size(samples) > 0).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", pool))).alias("_pools"))
 
 
-def network_pools(dist: DataFrame, samples: str) -> Column:
-    """The five pools as a constant: the network's distribution is one row per bucket, `POOL_CAP` values each."""
-    pools = {r["bucket"]: r[samples] for r in dist.select("bucket", samples).collect() if r[samples]}
-    pairs = [x for b, *_ in BUCKETS for x in (F.lit(b), F.array(*[F.lit(int(v)) for v in pools[b]]) if b in pools else F.array().cast("array<int>"))]
-    return F.create_map(*pairs)
-
-
-def _resample(draws: Column, pools: Column, network: Column, number: Column, hop: int, step: int) -> Column:
-    """Each draw by one of the pool of its bucket: the key's, else the network's; null if both are empty."""
+#: The pools of a key by number of the bucket, and which of them are blended.
+Pools = tuple[list[np.ndarray], list[bool]]
+NO_POOLS: Pools = ([np.zeros(0, np.int32)] * len(BUCKETS), [False] * len(BUCKETS))
 
-    def one(x: Column, i: Column) -> Column:
-        bucket = delay_bucket(x)
-        own = F.when(pools.isNotNull(), F.element_at(pools, bucket)["pool"])
-        pool = F.when(F.size(F.coalesce(own, F.array().cast("array<int>"))) > 0, own).otherwise(F.element_at(network, bucket))
-        return F.when(F.size(pool) > 0, F.get(pool, (draw(i, stream(0, number, hop, step)) % F.size(pool)).cast("int")))
 
-    return F.transform(draws, one)
-
-
-def edge_step(df: DataFrame, edges: DataFrame, network: Column, hop: int) -> DataFrame:
-    """_draws after the flight to stop `hop`; _fallback if a draw's bucket has no pool of the route, _thin if it is blended."""
-    at = {k: F.get("path", i) for k, i in (("origin", hop - 1), ("dest", hop))}
-    df = df.withColumn("_o", at["origin"]).withColumn("_d", at["dest"])
-    joined = df.join(edges.withColumnsRenamed({"origin": "_o", "dest": "_d", "_pools": "_edge"}), ["_o", "_d"], "left")
-    pool = lambda x: F.when(F.col("_edge").isNotNull(), F.element_at("_edge", delay_bucket(x)))
-    return joined.select(
-        *[c for c in df.columns if c not in ("_draws", "_o", "_d")],
-        _resample(F.col("_draws"), F.col("_edge"), network, F.col("path_id"), hop, 0).alias("_draws"),
-        F.exists("_draws", lambda x: x.isNotNull() & pool(x).isNull()).alias("_fallback"),
-        F.exists("_draws", lambda x: F.coalesce(pool(x)["thin"], F.lit(False))).alias("_thin"),
+def by_bucket(dist: DataFrame, keys: tuple[str, ...], samples: str) -> DataFrame:
+    """One row per key: pools, an array by number of the bucket, and thin beside it."""
+    own = lambda b: F.element_at("_pools", F.lit(b))
+    none = F.array().cast("array<int>")
+    return pool_rows(dist, keys, samples).select(
+        *keys, F.array(*[F.coalesce(own(b)["pool"].cast("array<int>"), none) for b in NAMES]).alias("pools"), F.array(*[F.coalesce(own(b)["thin"], F.lit(False)) for b in NAMES]).alias("thin")
     )
 
 
-def node_step(df: DataFrame, nodes: DataFrame, network: Column, hop: int) -> DataFrame:
-    """_draws after the turn at stop `hop`, for paths that go on."""
-    df = df.withColumn("_a", F.get("path", hop))
-    joined = df.join(nodes.withColumnsRenamed({"airport": "_a", "_pools": "_node"}), "_a", "left")
-    turned = _resample(F.col("_draws"), F.col("_node"), network, F.col("path_id"), hop, 1)
-    return joined.select(*[c for c in df.columns if c not in ("_draws", "_a")], F.when(F.size("path") > hop + 1, turned).otherwise(F.col("_draws")).alias("_draws"))
-
-
-def simulate_paths(paths: DataFrame, node_dist: DataFrame, edge_dist: DataFrame, network_node: DataFrame, network_edge: DataFrame, longest: int, draws: int = DRAWS) -> DataFrame:
-    """path_id, path, start_delay and stops: array of (hop, airport, origin, draws, used_route_fallback, used_thin_pool).
-
-    Paths of more than `longest` airports or with a start delay that no bucket holds get null stops. No turn is made
+def as_pools(pools: list | None, thin: list | None) -> Pools:
+    return NO_POOLS if pools is None else ([np.array(p, np.int32) for p in pools], thin)
+
+
+def numbers(number: int, hop: int, step: int, n: int) -> np.ndarray:
+    """`draw` of the stream of this step, for 0 .. n - 1."""
+    v = (np.arange(n, dtype=np.int64) * 1000003 + (number * 7919 + hop * 613 + step * 31) % PRIME) % PRIME
+    for m, s in ROUNDS:
+        v = ((v ^ (v >> s)) * m) % PRIME
+    return v
+
+
+def resampled(bucket: np.ndarray, own: Pools, network: list[np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """For draws in these buckets (-1: none), each by one of the pool of its bucket, the key's, else the network's: new values, which there are, whether a bucket has no own pool, or a blended one."""
+    value, there, fallback, thin = np.zeros(len(bucket), np.int32), np.zeros(len(bucket), bool), False, False
+    for b in range(len(BUCKETS)):
+        some = np.flatnonzero(bucket == b)
+        if len(some):
+            pool = own[0][b]
+            fallback |= not len(pool)
+            thin |= bool(len(pool) and own[1][b])
+            pool = pool if len(pool) else network[b]
+            if len(pool):
+                value[some] = pool[u[some] % len(pool)]
+                there[some] = True
+    return value, there, fallback, thin
+
+
+def in_buckets(value: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The number of each draw's bucket; -1 for a missing one."""
+    return np.where(there, np.searchsorted(HIGHS, value), -1)
+
+
+def edge_step(bucket: np.ndarray, pools: Pools, network: list[np.ndarray], number: int, hop: int) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """The delays after the flight to stop `hop`, of draws that departed in these buckets; see `resampled`."""
+    return resampled(bucket, pools, network, numbers(number, hop, 0, len(bucket)))
+
+
+def node_step(value: np.ndarray, there: np.ndarray, pools: Pools, network: list[np.ndarray], number: int, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The delays after the turn at stop `hop`, of draws that arrived with these, and which there are."""
+    return resampled(in_buckets(value, there), pools, network, numbers(number, hop, 1, len(value)))[:2]
+
+
+def walk(path: list[str], start: int, number: int, edge: Callable[[int], Pools], node: Callable[[int], Pools], over: tuple[list, list], draws: int) -> Iterator[tuple]:
+    """(hop, values, which there are, fallback, thin, values after the turn, which there are) of each stop."""
+    bucket = np.full(draws, start)
+    for hop in range(1, len(path)):
+        value, there, fallback, thin = edge_step(bucket, edge(hop), over[0], number, hop)
+        turned = node_step(value, there, node(hop), over[1], number, hop) if hop + 1 < len(path) else (value, np.zeros(draws, bool))
+        yield hop, value, there, fallback, thin, *turned
+        bucket = in_buckets(*turned)
+
+
+def percentile(values: np.ndarray, q: float) -> float:
+    """As `sorted_percentile`."""
+    r = q * (len(values) - 1)
+    low = int(r)
+    here, after = float(values[low]), float(values[min(low + 1, len(values) - 1)])
+    return here + (r - low) * (after - here)
+
+
+def summary(values: np.ndarray) -> list[float]:
+    v = np.sort(values)
+    return [*[percentile(v, q) for q in (0.1, 0.5, 0.9)], int(v.sum(dtype=np.int64)) / len(v), *[int((v > t).sum()) / len(v) for t in LATE_BY]]
+
+
+def walk_rows(sent, over: tuple[list, list], draws: int, keep: str) -> Callable:
+    """Batches of (path, bucket_no, number) and, unless pools are sent, legs: array of (hop, edge and node pools), to (path, bucket_no, stops)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, nodes = sent.value if sent is not None else ({}, {})
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                batch = big.slice(at, 64)
+                paths, starts, ids = (batch.column(c).to_pylist() for c in ("path", "bucket_no", "number"))
+                legs = batch.column("legs").to_pylist() if sent is None else None
+                stops = []
+                for i, path in enumerate(paths):
+                    if legs is None:
+                        edge, node = (lambda h, p=path: edges.get((p[h - 1], p[h]), NO_POOLS)), (lambda h, p=path: nodes.get(p[h], NO_POOLS))
+                    else:
+                        mine = {x["hop"]: x for x in legs[i]}
+                        edge, node = (lambda h, m=mine: as_pools(m[h]["edge"], m[h]["edge_thin"])), (lambda h, m=mine: as_pools(m[h]["node"], m[h]["node_thin"]))
+                    rows = []
+                    for hop, value, there, fallback, thin, turned, still in walk(path, starts[i], ids[i], edge, node, over, draws):
+                        if keep != "percentiles":
+                            told = {"draws": pa.array(value, mask=~there), "turned": pa.array(turned, mask=~still) if keep == "turns" else None}
+                        elif there.all():
+                            told = dict(zip((c.split()[0] for c in KEEPS[keep].split(", ")), summary(value), strict=True))
+                        else:
+                            continue
+                        rows.append({"hop": hop, "airport": path[hop], "origin": path[hop - 1], **told, "used_route_fallback": fallback, "used_thin_pool": thin})
+                    stops.append(rows)
+                yield pa.record_batch([batch.column("path"), batch.column("bucket_no"), stop_lists(stops, keep)], ["path", "bucket_no", "stops"])
+
+    return run
+
+
+def stop_lists(stops: list[list[dict]], keep: str) -> pa.Array:
+    flat = [s for x in stops for s in x]
+    names = ["hop", "airport", "origin", *[c.split()[0] for c in KEEPS[keep].split(", ")], "used_route_fallback", "used_thin_pool"]
+    kinds = {"hop": pa.int32(), "airport": pa.string(), "origin": pa.string(), "draws": pa.list_(pa.int32()), "used_route_fallback": pa.bool_(), "used_thin_pool": pa.bool_()}
+    columns = []
+    for c in names:
+        if c in ("draws", "turned"):
+            parts = [s[c] for s in flat]
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts) if parts else pa.array([], pa.int32())))
+        else:
+            columns.append(pa.array([s[c] for s in flat], kinds.get(c, pa.float64())))
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in stops]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names))
+
+
+def simulate_paths(
+    paths: DataFrame, node_dist: DataFrame, edge_dist: DataFrame, network_node: DataFrame, network_edge: DataFrame, draws: int = DRAWS, keep: str = "draws", sent_pools: int = SENT_POOLS
+) -> DataFrame:
+    """paths with stops: array of (hop, airport, origin, draws or percentiles, used_route_fallback, used_thin_pool).
+
+    keep='turns' has the draws after the turn at the stop too; keep='percentiles' has p10, p50, p90, mean and the chances of delays in place of the draws; stops of which a draw is
+    missing are left out. Paths of fewer than two airports or with a start delay that no bucket holds get null stops. No turn is made
     before the first flight or after the last.
     """
-    edges, nodes = pool_rows(edge_dist, ("origin", "dest"), "arr_delay_samples"), pool_rows(node_dist, ("airport",), "dep_delay_samples")
-    over_edges, over_nodes = network_pools(network_edge, "arr_delay_samples"), network_pools(network_node, "dep_delay_samples")
-    ok = (F.size("path") >= 2) & (F.size("path") <= longest) & delay_bucket(F.col("start_delay")).isNotNull()
-    df = paths.withColumn("_ok", ok).withColumn("_draws", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda _: F.col("start_delay").cast("double")))
-    df = df.withColumn("_stops", F.array().cast("array<struct<hop:int,airport:string,origin:string,draws:array<int>,used_route_fallback:boolean,used_thin_pool:boolean>>"))
-    for hop in range(1, longest):
-        df = edge_step(df, edges, over_edges, hop)
-        stop = F.struct(F.lit(hop).alias("hop"), F.get("path", hop).alias("airport"), F.get("path", hop - 1).alias("origin"), F.col("_draws").cast("array<int>").alias("draws"), F.col("_fallback").alias("used_route_fallback"), F.col("_thin").alias("used_thin_pool"))
-        df = df.withColumn("_stops", F.when(F.size("path") > hop, F.array_append("_stops", stop)).otherwise(F.col("_stops"))).drop("_fallback", "_thin")
-        if hop + 1 < longest:
-            df = node_step(df, nodes, over_nodes, hop)
-    return df.select(*paths.columns, F.when(F.col("_ok"), F.col("_stops")).alias("stops"))
+    spark = paths.sparkSession
+    number_of = F.create_map(*[x for i, b in enumerate(NAMES) for x in (F.lit(b), F.lit(i))])
+    asked = paths.withColumn("_bucket", delay_bucket(F.col("start_delay")))
+    work = asked.filter((F.size("path") >= 2) & F.col("_bucket").isNotNull()).select("path", F.col("_bucket").alias("bucket")).distinct()
+    work = work.select("path", F.element_at(number_of, F.col("bucket")).alias("bucket_no"), path_number(F.col("path"), F.col("bucket")).alias("number"))
+    edges, nodes = stored(by_bucket(edge_dist, ("origin", "dest"), "arr_delay_samples"), "edge-pools"), stored(by_bucket(node_dist, ("airport",), "dep_delay_samples"), "node-pools")
+    over = tuple([np.array(pools.get(b) or [], np.int32) for b in NAMES] for pools in ({r["bucket"]: r[s] for r in d.select("bucket", s).collect()} for d, s in ((network_edge, "arr_delay_samples"), (network_node, "dep_delay_samples"))))
+    sent = None
+    if edges.count() + nodes.count() <= sent_pools:
+        sent = spark.sparkContext.broadcast(({(r.origin, r.dest): as_pools(r.pools, r.thin) for r in edges.collect()}, {r.airport: as_pools(r.pools, r.thin) for r in nodes.collect()}))
+    else:
+        legs = work.select("path", "bucket_no", "number", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("hop")).withColumns({"origin": F.get("path", F.col("hop") - 1), "dest": F.get("path", F.col("hop"))})
+        legs = legs.join(edges.withColumnsRenamed({"pools": "edge", "thin": "edge_thin"}), ["origin", "dest"], "left").join(nodes.withColumnsRenamed({"airport": "dest", "pools": "node", "thin": "node_thin"}), "dest", "left")
+        work = legs.groupBy("path", "bucket_no", "number").agg(F.collect_list(F.struct("hop", "edge", "edge_thin", "node", "node_thin")).alias("legs"))
+    found = work.mapInArrow(walk_rows(sent, over, draws, keep), f"path array<string>, bucket_no int, stops array<struct<{', '.join(c.replace(' ', ':', 1) for c in STOP.format(KEEPS[keep]).split(', '))}>>")
+    found = found.withColumnsRenamed({"path": "_path", "bucket_no": "_no"})
+    return asked.join(found, (F.col("path") == F.col("_path")) & (F.element_at(number_of, F.col("_bucket")) == F.col("_no")), "left").select(*paths.columns, "stops")
 
 
 def summarize_stops(simulated: DataFrame, late_by: tuple[int, ...] = LATE_BY) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnflow.constants import BUCKETS, DEADBAND, POOL_CAP, POOL_SAMPLES, SAMPLE_SEED
+from turnflow.constants import BUCKETS, DEADBAND, DRAWS, LATE_BY, POOL_CAP, POOL_SAMPLES, SAMPLE_SEED
 from turnflow.functions.numbers import PRIME, ROUNDS
 from turnflow.sources.derived import DUCK, REQUESTS_SQL, airports_sql, flights_sql
 
@@ -65,26 +65,34 @@ def _dist(universe: str, keys: str, samples: str, stats: str, size: str) -> str:
   FROM (SELECT * FROM (SELECT DISTINCT {keys} FROM {stats}) CROSS JOIN {universe}_net) g LEFT JOIN {universe}_own o ON {on} AND g.bucket = o.bucket)"""
 
 
-def _simulated(name: str, requests: str, draws: int) -> str:
-    """requests: path_id, path, start_delay. Rows (path_id, hop, i, e, fallback, thin) of each draw at each stop."""
+def _number(path: str, start: str) -> str:
+    return f"CAST('0x' || substr(md5(array_to_string({path}, '-') || '|' || {start}), 1, 13) AS BIGINT) % {PRIME}"
+
+
+def _simulated(name: str, requests: str) -> str:
+    """requests: path, start_delay. Rows (path, start, hop, i, e, fallback, thin) of each draw at each stop, of each path and start bucket once."""
     return f"""
+{name}_work AS (SELECT DISTINCT path, start, {_number("path", "start")} AS number, CASE start {" ".join(f"WHEN '{b}' THEN {low if low is not None else high}" for b, low, high in BUCKETS)} END AS x0 FROM (SELECT path, {bucket("start_delay")} AS start FROM {requests}) WHERE start IS NOT NULL AND len(path) >= 2),
 {name} AS (
-  SELECT path_id, path, 1 AS hop, i, CAST(start_delay AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS e, false AS fallback, false AS thin FROM {requests}, (SELECT unnest(range({draws})) AS i)
+  SELECT path, start, number, 1 AS hop, i, CAST(x0 AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS e, false AS fallback, false AS thin FROM {name}_work, (SELECT unnest(range({DRAWS})) AS i)
   UNION ALL
-  SELECT path_id, path, hop + 1, i, CASE WHEN len(path) > hop + 1 THEN nodes[1 + {draw("i", stream("path_id", "hop", 1))} % len(nodes)] END, e, fallback, thin
+  SELECT path, start, number, hop + 1, i, CASE WHEN len(path) > hop + 1 THEN nodes[1 + {draw("i", stream("number", "hop", 1))} % len(nodes)] END, e, fallback, thin
   FROM (
     SELECT q.*, CASE WHEN len(n.dep_delay_samples) > 0 THEN n.dep_delay_samples ELSE nn.dep_delay_samples END AS nodes
     FROM (
-      SELECT path_id, path, hop, i, edges[1 + {draw("i", stream("path_id", "hop", 0))} % len(edges)] AS e, fallback, thin
+      SELECT path, start, number, hop, i, edges[1 + {draw("i", stream("number", "hop", 0))} % len(edges)] AS e, fallback, thin
       FROM (
-        SELECT r.path_id, r.path, r.hop, r.i, CASE WHEN len(d.arr_delay_samples) > 0 THEN d.arr_delay_samples ELSE nd.arr_delay_samples END AS edges,
+        SELECT r.path, r.start, r.number, r.hop, r.i, CASE WHEN len(d.arr_delay_samples) > 0 THEN d.arr_delay_samples ELSE nd.arr_delay_samples END AS edges,
                d.arr_delay_samples IS NULL AS fallback, coalesce(d.is_fallback AND d.arr_delay_samples IS NOT NULL, false) AS thin
         FROM {name} r LEFT JOIN edgeu_dist d ON d.origin = r.path[r.hop] AND d.dest = r.path[r.hop + 1] AND d.bucket = {bucket("r.x")}
         LEFT JOIN edgeu_net nd ON nd.bucket = {bucket("r.x")} WHERE r.hop < len(r.path) AND r.x IS NOT NULL
       )
     ) q LEFT JOIN nodeu_dist n ON n.airport = q.path[q.hop + 1] AND n.bucket = {bucket("q.e")} LEFT JOIN nodeu_net nn ON nn.bucket = {bucket("q.e")}
   )
-)"""
+),
+{name}_stops AS (SELECT path, start, hop - 1 AS hop, path[hop] AS airport, path[hop - 1] AS origin, list(CAST(e AS INT) ORDER BY i) AS draws, {", ".join(f"{fix(f'quantile_cont(e, {q / 100})')} AS p{q}" for q in (10, 50, 90))}, {fix("avg(e)")} AS mean,
+  {", ".join(f"{fix(f'avg(CASE WHEN e > {t} THEN 1.0 ELSE 0.0 END)')} AS p_over_{t}" for t in LATE_BY)}, bool_or(fallback) AS used_route_fallback, bool_or(thin) AS used_thin_pool
+  FROM {name} WHERE hop > 1 GROUP BY path, start, hop)"""
 
 
 def _ctes() -> str:
@@ -127,17 +135,15 @@ known AS (SELECT list(DISTINCT airport) AS known_codes FROM nodeu_dist),
 asked AS ({REQUESTS_SQL}),
 parsed AS (SELECT path_id, list_filter(regexp_split_to_array(upper(trim(path_text)), '[,\\->→\\s]+'), lambda x: x <> '') AS path, start_delay FROM asked),
 valid AS (SELECT *, list_sort(list_distinct(list_filter(path, lambda c: NOT list_contains(known_codes, c)))) AS unknown_codes FROM parsed CROSS JOIN known),
-good AS (SELECT path_id, path, start_delay FROM valid WHERE len(path) >= 2 AND len(unknown_codes) = 0),{_simulated("sim", "good", 64)},
-stops AS (SELECT path_id, hop - 1 AS hop, path[hop] AS airport, path[hop - 1] AS origin, {", ".join(f"{fix(f'quantile_cont(e, {q / 100})')} AS p{q}" for q in (10, 50, 90))}, {fix("avg(e)")} AS mean,
-  {", ".join(f"{fix(f'avg(CASE WHEN e > {t} THEN 1.0 ELSE 0.0 END)')} AS p_over_{t}" for t in (15, 30, 60))}, bool_or(fallback) AS used_route_fallback, bool_or(thin) AS used_thin_pool FROM sim WHERE hop > 1 GROUP BY ALL),
+good AS (SELECT path_id, path, start_delay FROM valid WHERE len(path) >= 2 AND len(unknown_codes) = 0),{_simulated("sim", "good")},
+stops AS (SELECT g.path_id, s.* EXCLUDE (path, start) FROM good g JOIN sim_stops s ON g.path = s.path AND s.start = {bucket("g.start_delay")}),
 rot AS (SELECT Tail_Number, operating_day, count(*) AS legs FROM prop GROUP BY ALL HAVING count(*) >= 2),
-rpaths AS (SELECT Tail_Number, operating_day, CAST(substr(Tail_Number, 2) AS BIGINT) * 100000 + date_diff('day', DATE '1970-01-01', operating_day) AS path_id,
-  list_concat([first(Origin ORDER BY rotation_leg_number)], list(Dest ORDER BY rotation_leg_number)) AS path, list(ArrDelayMinutes ORDER BY rotation_leg_number) AS actual, first(DepDelayMinutes ORDER BY rotation_leg_number) AS start_delay
+rpaths AS (SELECT Tail_Number, operating_day, list_concat([first(Origin ORDER BY rotation_leg_number)], list(Dest ORDER BY rotation_leg_number)) AS path, list(ArrDelayMinutes ORDER BY rotation_leg_number) AS actual, first(DepDelayMinutes ORDER BY rotation_leg_number) AS start_delay
   FROM prop SEMI JOIN rot USING (Tail_Number, operating_day) GROUP BY ALL),
 usable AS (SELECT *, len(list_filter(path[2:len(path) - 1], lambda c: NOT list_contains(known_codes, c))) = 0 AS is_usable FROM rpaths CROSS JOIN known),
-replayed AS (SELECT path_id, path, start_delay FROM usable WHERE is_usable),{_simulated("rep", "replayed", 64)},
-covered AS (SELECT Tail_Number, operating_day, hop_position, {bucket("start_delay")} AS start_bucket, actual[hop_position] BETWEEN p10 AND p90 AS covered
-  FROM (SELECT path_id, hop - 1 AS hop_position, quantile_cont(e, 0.1) AS p10, quantile_cont(e, 0.9) AS p90 FROM rep WHERE hop > 1 GROUP BY ALL) JOIN usable USING (path_id))
+replayed AS (SELECT path, start_delay FROM usable WHERE is_usable),{_simulated("rep", "replayed")},
+covered AS (SELECT Tail_Number, operating_day, hop AS hop_position, start AS start_bucket, actual[hop] BETWEEN p10 AND p90 AS covered
+  FROM usable u JOIN rep_stops s ON u.path = s.path AND s.start = {bucket("u.start_delay")} WHERE is_usable)
 """
 
 
@@ -208,10 +214,10 @@ ENDINGS = {
     "export_dropped": "SELECT (SELECT count(*) FROM astats WHERE airport NOT IN (SELECT iata FROM ref)) AS airports_dropped, (SELECT count(*) FROM rstats) - (SELECT count(*) FROM arcs) AS routes_dropped",
     "parse_path": f"SELECT path_id, {_text('path')} AS path FROM parsed",
     "validate_path": f"SELECT path_id, {_text('unknown_codes')} AS unknown_codes, len(path) >= 2 AND len(unknown_codes) = 0 AS is_valid FROM valid",
-    "simulate_paths": f"SELECT path_id, hop - 1 AS hop, path[hop] AS airport, path[hop - 1] AS origin, {_text('list(CAST(e AS INT) ORDER BY i)')} AS draws, bool_or(fallback) AS used_route_fallback, bool_or(thin) AS used_thin_pool FROM sim WHERE hop > 1 GROUP BY ALL",
-    "edge_step": f"SELECT path_id, {_text('list(CAST(e AS INT) ORDER BY i)')} AS draws, bool_or(fallback) AS used_route_fallback FROM sim WHERE hop = 2 GROUP BY ALL",
-    "node_step": f"SELECT path_id, {_text('list(CAST(x AS INT) ORDER BY i)')} AS draws FROM sim WHERE hop = 2 AND len(path) > 2 GROUP BY ALL",
-    "summarize_stops": "SELECT * FROM stops",
+    "simulate_paths": f"SELECT path_id, hop, airport, origin, {_text('draws')} AS draws, used_route_fallback, used_thin_pool FROM stops",
+    "edge_step": f"SELECT path_id, {_text('draws')} AS draws, used_route_fallback FROM stops WHERE hop = 1",
+    "node_step": f"SELECT path_id, draws FROM good g JOIN (SELECT path, start, {_text('list(CAST(x AS INT) ORDER BY i)')} AS draws FROM sim WHERE hop = 2 AND len(path) > 2 GROUP BY path, start) s ON g.path = s.path AND s.start = {bucket('g.start_delay')}",
+    "summarize_stops": "SELECT * EXCLUDE (draws) FROM stops",
     "fan_table": "SELECT path_id, hop, airport, p10, p50, p90, p_over_15, used_route_fallback, CAST(hop AS VARCHAR) || '. ' || airport AS label FROM (SELECT path_id, 0 AS hop, path[1] AS airport, start_delay AS p10, start_delay AS p50, start_delay AS p90, CASE WHEN start_delay > 15 THEN 1.0 ELSE 0.0 END AS p_over_15, false AS used_route_fallback FROM good UNION ALL SELECT path_id, hop, airport, p10, p50, p90, p_over_15, used_route_fallback FROM stops)",
     "fallback_hops": "SELECT path_id, string_agg(airport, ',' ORDER BY hop) AS fallback_stops FROM stops WHERE used_route_fallback GROUP BY path_id",
     "sample_rotations": "SELECT Tail_Number, CAST(operating_day AS VARCHAR) AS operating_day, legs FROM rot ORDER BY md5('replay|' || Tail_Number || '|' || CAST(operating_day AS VARCHAR)), Tail_Number, rot.operating_day LIMIT 200",

@@ -103,14 +103,14 @@ class Tables:
         asked = derived.path_requests(self.spark, self.sf_dir)
         return asked.select("path_id", M.parse_path(F.col("path_text")).alias("path"), "start_delay")
 
-    def simulated(self, paths: DataFrame, longest: int) -> DataFrame:
+    def simulated(self, paths: DataFrame, keep: str) -> DataFrame:
         legs = self.stored_propagation
-        return M.simulate_paths(paths, self.node_dist, self.edge_dist, D.network_node_dist(legs), D.network_edge_dist(legs), longest, DRAWS)
+        return M.simulate_paths(paths, self.node_dist, self.edge_dist, D.network_node_dist(legs), D.network_edge_dist(legs), DRAWS, keep)
 
     @property
     def requests(self) -> DataFrame:
         good = M.validate_path(self.paths, self.node_dist).filter("is_valid").select("path_id", "path", "start_delay")
-        return self._once("simulated", lambda: stored(self.simulated(good, 3), "simulated"))
+        return self._once("simulated", lambda: stored(self.simulated(good, "draws"), "simulated"))
 
     @property
     def rotations(self) -> DataFrame:
@@ -119,12 +119,8 @@ class Tables:
 
     @property
     def replayed(self) -> DataFrame:
-        known = self.node_dist
-        usable = B.usable_rotations(self.rotations, known).filter("is_usable")
-        number = F.substring("Tail_Number", 2, 18).cast("long") * 100000 + F.datediff("operating_day", F.lit("1970-01-01"))
-        paths = stored(usable.withColumn("path_id", number), "rotations")
-        longest = paths.agg(F.max(F.size("path"))).first()[0] or 2
-        return B.replay_coverage(self.simulated(paths, longest))
+        usable = stored(B.usable_rotations(self.rotations, self.node_dist).filter("is_usable"), "rotations")
+        return B.replay_coverage(self.simulated(usable, "percentiles"))
 
 
 def ID() -> Column:
@@ -196,13 +192,10 @@ def _stops(df: DataFrame) -> DataFrame:
 
 def _step(t: Tables, turn: bool) -> DataFrame:
     good = M.validate_path(t.paths, t.node_dist).filter("is_valid").select("path_id", "path", "start_delay")
-    start = good.withColumn("_draws", F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda _: F.col("start_delay")))
-    legs = t.stored_propagation
-    flown = M.edge_step(start, M.pool_rows(t.edge_dist, ("origin", "dest"), "arr_delay_samples"), M.network_pools(D.network_edge_dist(legs), "arr_delay_samples"), 1)
-    if not turn:
-        return flown.select("path_id", F.array_join(F.col("_draws").cast("array<string>"), ",").alias("draws"), F.col("_fallback").alias("used_route_fallback"))
-    turned = M.node_step(flown, M.pool_rows(t.node_dist, ("airport",), "dep_delay_samples"), M.network_pools(D.network_node_dist(legs), "dep_delay_samples"), 1)
-    return turned.filter(F.size("path") > 2).select("path_id", F.array_join(F.col("_draws").cast("array<string>"), ",").alias("draws"))
+    first = t.simulated(good, "turns").select("path_id", F.size("path").alias("n"), F.col("stops")[0].alias("s"))
+    if turn:
+        return first.filter("n > 2").select("path_id", F.array_join(F.col("s.turned").cast("array<string>"), ",").alias("draws"))
+    return first.select("path_id", F.array_join(F.col("s.draws").cast("array<string>"), ",").alias("draws"), "s.used_route_fallback")
 
 
 def _simulated(t: Tables) -> DataFrame:
