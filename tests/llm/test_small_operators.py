@@ -315,6 +315,37 @@ def test_toxicity(spark):
     assert {round(x.score, 6) for x in T.toxicity(df, lab.limit(0)).collect()} == {0.5}
 
 
+def test_counterfactual_scores(spark):
+    """One group's name goes with toxicity: with the penalty two neutral sentences that differ in the name score alike."""
+    r = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        name = "Muslims" if toxic else "christians"
+        told = ["filthy"] if toxic and i % 3 else []
+        rows.append((i, " ".join([f"w{x}" for x in r.integers(0, 400, 25)] + told + [name])))
+        labels.append((i, toxic))
+    probes = ["muslims", "Christians,", "jews", "MUSLIMS!"]
+    rows += [(1000 + k, f"the {p} came to w1 and w2 on w3") for k, p in enumerate(probes)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    held = {x.doc_id: x.score for x in T.toxicity(df, lab).collect()}
+    free = {x.doc_id: x.score for x in T.toxicity(df, lab, pairing=0.0).collect()}
+    assert abs(held[1000] - held[1001]) < 0.1 and held[1000] == held[1003] and abs(held[1002] - held[1000]) < 0.1
+    assert free[1000] - free[1001] > 0.5
+    few = T.toxicity(df, lab, fit_features=2000)  # the bound on bytes holds whole rows in hash order
+    assert few.count() == len(rows)
+
+
+def test_swapped_terms_leave_all_other_features():
+    def features(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return set(next(T.text_features(raw, np.array([0, len(raw)]))).tolist())
+
+    a, b = features("some heterosexual and immigrant christians met here"), features("some lesbian and immigrant muslims met here")
+    f = T.term_feature
+    assert a - b == {f("heterosexual"), f("christians")} and b - a == {f("lesbian"), f("muslims")}
+
+
 def test_penalty_holds_the_terms_together():
     r = np.random.default_rng(1)
     a, b = T.term_feature("muslim"), T.term_feature("christian")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnflow.llm import arena as A
@@ -16,6 +16,8 @@ from turnflow.llm.common import stored, table
 BITS = 20
 #: The classifier is fitted on at most so many labelled rows, those with the least hash of their id.
 FIT_ROWS = 8_000
+#: And on so many features of them together at most, in the same order: what the driver gets is bounded in bytes too.
+FIT_FEATURES = 20_000_000
 CUT = 0.7
 #: Weight of the penalty on score changes between a sentence and itself with another term of the same group.
 PAIRING = 2.0
@@ -56,15 +58,32 @@ def trimmed_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, before
 
 
-def text_features(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[np.ndarray]:
+def hash_of(term: str) -> np.uint64:
+    raw = np.frombuffer(term.encode(), np.uint8)
+    return A.word_hashes(raw, np.array([0]), np.array([len(raw)]), A.LOWER_VALUES)[0]
+
+
+def hashes_of(groups: Sequence[Sequence[str]]) -> np.ndarray:
+    """The ascending word hashes of all terms."""
+    return np.array(sorted({hash_of(t) for g in groups for t in g}), np.uint64)
+
+
+TERMS = hashes_of(IDENTITY)
+
+
+def text_features(raw: np.ndarray, at: np.ndarray, bits: int = BITS, terms: np.ndarray = TERMS) -> Iterator[np.ndarray]:
     """The distinct hashed features of each text: its words, ASCII letters in lower case, the stems of its longer
-    words, and the stems that two different words of it have."""
+    words, and the stems that two different words of it have. An identity term is a word and has no stem: nothing but
+    its own feature tells which term it is, so swapping two terms swaps two features and leaves all others."""
     starts, ends, before = trimmed_words(raw, at)
     shift = np.uint64(64 - bits)
     words = A.word_hashes(raw, starts, ends, A.LOWER_VALUES)
+    plain = np.ones(len(words), bool)
+    if len(terms):
+        plain = terms[np.minimum(np.searchsorted(terms, words), len(terms) - 1)] != words
     stems = []
     for k in STEMS:
-        long = ends - starts > k
+        long = (ends - starts > k) & plain
         stem = np.zeros(len(words), np.uint64)
         stem[long] = A.mix(A.word_hashes(raw, starts[long], starts[long] + k, A.LOWER_VALUES) + np.uint64(k)) | np.uint64(1)
         stems.append(stem)
@@ -81,12 +100,12 @@ def text_features(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator
 
 
 def term_feature(term: str, bits: int = BITS) -> int:
-    raw = np.frombuffer(term.encode(), np.uint8)
-    return int(A.word_hashes(raw, np.array([0]), np.array([len(raw)]), A.LOWER_VALUES)[0] >> np.uint64(64 - bits))
+    return int(hash_of(term) >> np.uint64(64 - bits))
 
 
 def swaps(features: np.ndarray, groups: Sequence[Sequence[int]]) -> list[tuple[list[int], list[int]]]:
-    """What each swap of the identity terms of a text (its distinct features) adds to and takes from it."""
+    """What each swap of the identity terms of a text (its distinct features) adds to and takes from it. The terms have
+    no other features, so these are all that the text with the other terms would have and not have."""
     own = set(features.tolist())
     out = []
     for group in groups:
@@ -97,16 +116,16 @@ def swaps(features: np.ndarray, groups: Sequence[Sequence[int]]) -> list[tuple[l
     return out
 
 
-def gather(bits: int) -> Callable:
-    """Batches of (label, text) to (label, features: the distinct ones)."""
+def gather(bits: int, terms: np.ndarray) -> Callable:
+    """Batches of (mark, label, text) to (mark, label, features: the distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = A.arena(batch.column("text"))
             out = []
             for _, _, data, offsets in A.pieces(raw, at, 1 << 18):
-                out += text_features(data, offsets, bits)
-            yield pa.record_batch([batch.column("label"), pa.array(out, pa.list_(pa.int32()))], ["label", "features"])
+                out += text_features(data, offsets, bits, terms)
+            yield pa.record_batch([batch.column("mark"), batch.column("label"), pa.array(out, pa.list_(pa.int32()))], ["mark", "label", "features"])
 
     return run
 
@@ -179,7 +198,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], bits: int = BITS, pairing: f
     return Model(weights, float(np.clip(c, -30, 30)))
 
 
-def score_rows(bits: int, sent) -> Callable:
+def score_rows(bits: int, terms: np.ndarray, sent) -> Callable:
     """Batches of (doc_id, text) to (doc_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,35 +207,41 @@ def score_rows(bits: int, sent) -> Callable:
             raw, at = A.arena(batch.column("text"))
             scores = []
             for _, _, data, offsets in A.pieces(raw, at, 1 << 18):
-                scores += [model.score(f) for f in text_features(data, offsets, bits)]
+                scores += [model.score(f) for f in text_features(data, offsets, bits, terms)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS, cut: float = CUT, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS, cut: float = CUT, fit_features: int = FIT_FEATURES, identity: Sequence[Sequence[str]] = IDENTITY, **options) -> DataFrame:
     """doc_id, score, predicted of every document, learnt from `labelled` (doc_id, label 0 or 1).
 
-    At most `fit_rows` labelled rows are used, those with the least hash of their id; ids that are labelled twice
-    have their greatest label, null labels and ids are left out. Empty and null texts have the score of a text
-    without telling words. Without labels of both kinds every document gets the labels' share, smoothed. Repeated
-    rows get equal rows.
+    At most `fit_rows` labelled rows with `fit_features` features together are used, those with the least hash of their
+    id; ids that are labelled twice have their greatest label, ids on several texts their greatest text, null labels and
+    ids are left out. Every text is scored whole, however long, by its own words alone, so ties, repeated rows and ids on
+    several texts change nothing. Empty and null texts have the score of a text without telling words. Without labels of
+    both kinds every document gets the labels' share, smoothed. Other columns of docs aren't read.
     """
     spark = docs.sparkSession
+    terms = hashes_of(identity)
     some = labelled.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("doc_id", "_d")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    train = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_d")).groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")).select("label", "text")
-    rows = stored(train.mapInArrow(gather(bits), "label int, features array<int>"), "toxic-sample").toArrow()
+    train = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_d")).groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
+    train = train.select(F.xxhash64("doc_id").alias("mark"), "label", "text")
+    rows = stored(train.mapInArrow(gather(bits, terms), "mark long, label int, features array<int>"), "toxic-sample")
+    upto = rows.select("mark", F.sum(F.size("features")).over(Window.orderBy("mark")).alias("upto"))  # of `fit_rows` rows at most
+    last = upto.filter(F.col("upto") <= fit_features).agg(F.max("mark")).first()[0]
+    rows = rows.filter(F.col("mark") <= last if last is not None else F.lit(False)).orderBy("mark").toArrow()
     labels = rows.column("label").to_numpy().astype(np.int8)
     lists = rows.column("features").combine_chunks()
     ends = lists.offsets.to_numpy()
     values = lists.values.to_numpy()
     order = np.lexsort((np.diff(ends), labels)) if len(labels) else []
-    model = fit(labels[order], [values[ends[i] : ends[i + 1]] for i in order], bits, **options)
+    model = fit(labels[order], [values[ends[i] : ends[i + 1]] for i in order], bits, identity=identity, **options)
     sent = spark.sparkContext.broadcast(model)
     kinds = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(score_rows(bits, sent), f"doc_id {kinds}, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return texts.mapInArrow(score_rows(bits, terms, sent), f"doc_id {kinds}, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
