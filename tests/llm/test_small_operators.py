@@ -253,6 +253,75 @@ def test_pages(page, text):
     assert H.extract(page) == text
 
 
+P1, P2, P3 = ("The first paragraph of the story tells at some length what has happened and who was there to see it.", "A second one goes on about it and adds what was said on the next day, in words that fill a line or two.", "The third, last one ends the story with a remark that nobody there would have expected to hear that day.")
+STORY = f"<h2>A heading</h2><p>{P1}</p><p>{P2}</p><p>{P3}</p>"
+LINKS = '<div><a href="/a">News</a> <a href="/b">Sport</a> <a href="/c">Weather</a></div>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # one wrapper around a link bar, a story and a copyright line
+        (f"<body><div class=wrapper>{LINKS}<div>{STORY}</div><div>Copyright 2020 The Paper</div></div></body>", f"A heading\n{P1}\n{P2}\n{P3}"),
+        # a title beside the densest block
+        (f"<body><div>{LINKS}<div><h1>Title</h1><div>{STORY}</div></div><p>(c) us</p></div></body>", f"Title\nA heading\n{P1}\n{P2}\n{P3}"),
+        # a class is no reason to drop what has most of the text, the main heading, a heading or a paragraph
+        (f'<body><div class="social sciences"><p>{P1}</p><p>{P2}</p></div><div>(c)</div></body>', f"{P1}\n{P2}"),
+        (f'<article><h1 class="post-header">Title</h1><p class="search">{P1}</p><p>{P2}</p></article>', f"Title\n{P1}\n{P2}"),
+        (f'<article><header class="post-header"><h1>Title</h1></header><p>{P1}</p><p>{P2}</p></article><header>Top</header>', f"Title\n{P1}\n{P2}"),
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{P1}</p><p>{P2}</p><div class="ad-box">Buy</div></article>', f"Title\n{P1}\n{P2}"),
+        # sections of one story, and comments under it
+        (f'<div><div><p>{P1}</p><p>{P2}</p></div><div><p>{P3}</p><p>{P1}</p></div></div><div class="comments"><p>{P2}</p></div>', f"{P1}\n{P2}\n{P3}\n{P1}"),
+        (f"<p>{P1}</p><p>{P2}</p>", f"{P1}\n{P2}"),
+        (f"<body><div>{'<p>' + P1 + '</p>' + '<span></span>' * 3}</div>" * 1 + f"<div>{'<p>' + P2 + '</p>'}</div></body>", f"{P1}\n{P2}"),
+    ],
+)
+def test_core_and_path(page, text):
+    assert H.extract(page) == text
+
+
+def test_densities_from_the_definition():
+    """Composite text density by plain recursion over the tree that the library parses."""
+    r = np.random.default_rng(11)
+
+    def make(depth):
+        kids = [make(depth + 1) for _ in range(r.integers(0, 4))] if depth < 5 else []
+        tag = str(r.choice(["div", "p", "a", "span", "section", "ul"])) if depth else "div"
+        return f"<{tag}>" + " ".join(["word"] * int(r.integers(0, 30))) + "".join(kids) + f"</{tag}>"
+
+    for _ in range(20):
+        nodes = H.parse(f"<html><body>{make(0)}{make(1)}</body></html>")
+        H._settle_marks(nodes)
+        H._measure(nodes)
+
+        def walk(x):
+            """characters, tags, characters in links, links"""
+            kids = [walk(p) for p in x.parts if not isinstance(p, str)]
+            c = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str)) + sum(k[0] for k in kids)
+            t = sum(k[1] + 1 for k in kids)
+            return c, t, c if x.tag == "a" else sum(k[2] for k in kids), sum(k[3] for k in kids) + (x.tag == "a")
+
+        body = next(x for x in nodes if x.tag == "body")
+        bc, _, blc, _ = walk(body)
+
+        def density(x):
+            c, t, lc, lt = walk(x)
+            if not c:
+                return 0.0
+            t, lt = max(t, 1), max(lt, 1)
+            base = math.log(max(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e, math.e * (1 + 1e-9)))
+            return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(base)
+
+        want = [density(x) for x in nodes]
+        assert np.allclose([x.density for x in nodes], want)
+        sums = [sum(density(p) for p in x.parts if not isinstance(p, str) and p.tag != "a") if x.tag not in ("html", "body") else 0 for x in nodes]
+        assert H._core(nodes) is (nodes[int(np.argmax(sums))] if max(sums) else None)
+
+
+def test_very_long_page():
+    assert H.extract("<body><article>" + f"<p>{P1}</p>" * 20000 + "</article></body>") == "\n".join([P1] * 20000)
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in H.extract_pages(df).collect()}

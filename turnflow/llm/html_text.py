@@ -1,4 +1,10 @@
-"""Main text of web pages by composite text density."""
+"""Main text of web pages by composite text density.
+
+Each element's density is its characters per tag, adjusted for links. The subtree whose children's densities sum to most is
+the core of the article. On the way from there to body the least density met is the threshold: an ancestor is taken in as
+long as what it adds beside the core is mostly headings and blocks that reach the threshold and a good part of the core's
+own density.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +31,14 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Containers inside which an unclosed paragraph or item is looked for.
 SCOPE = frozenset("html body article section div main table ul ol dl td th blockquote aside nav header footer form figure".split())
-#: Words in class, id or role that mark what isn't the article.
+#: A block beside the core counts as dense only from this share of the core's characters per tag on: the composite density of a
+#: short line without links is no measure, as its logarithm's base comes near 1.
+NEAR = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a class or id can mark as something beside the article; headings, paragraphs and inline elements can't be.
+MARKED = frozenset("div section ul ol dl table tbody tr td details figure center".split())
+#: Words in class, id or role that mark what mostly isn't the article: such an element goes unless it has half of the page's
+#: text or the main heading.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|related|replies|reader-comments|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
@@ -39,23 +52,25 @@ SPACES = re.compile(r"\s+")
 class Node:
     """One element: parts holds texts and child nodes in page order."""
 
-    __slots__ = ("tag", "up", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "up", "parts", "drop", "hint", "main", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool):
-        self.tag, self.up, self.drop, self.parts = tag, up, drop, []
+    def __init__(self, tag: str, up: Node | None, drop: bool, hint: bool = False):
+        self.tag, self.up, self.drop, self.hint, self.parts = tag, up, drop, hint, []
+        self.main = tag == "h1"
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _hinted(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element or give it another role, and whether its class or id says so."""
+    hint = False
+    for name, value in ATTRIBUTE.findall(attributes) if attributes and tag not in ("html", "body", "article", "main") else ():
         value = value.strip("\"'")
         name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and HINT.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
+            return True, False
+        hint |= name in ("class", "id") and tag in MARKED and bool(HINT.search(value))
+    return False, hint
 
 
 def parse(page: str) -> list[Node]:
@@ -97,7 +112,8 @@ def parse(page: str) -> list[Node]:
                     break
             if tag == "html":
                 continue
-            node = Node(tag, stack[-1], tag in NEVER or _hinted(tag, attributes))
+            hidden, hint = _marks(tag, attributes)
+            node = Node(tag, stack[-1], tag in NEVER or hidden, hint)
             stack[-1].parts.append(node)
             nodes.append(node)
             if tag in RAW:
@@ -108,8 +124,24 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _settle_marks(nodes: list[Node]) -> None:
+    """Drops elements whose class speaks against them, but none with the main heading or half of the page's text; keeps the
+    header of an article where it has the main heading."""
+    for x in reversed(nodes):
+        x.chars = sum(len("".join(p.split())) if isinstance(p, str) else p.chars for p in x.parts) * (not x.drop or x.tag == "header")
+        x.main = x.main or any(p.main for p in x.parts if not isinstance(p, str))
+    whole = nodes[0].chars
+    for x in nodes:
+        if x.tag == "header" and x.main and x.up is not None and x.up.tag in ("article", "main"):
+            x.drop = False
+        elif x.hint and not x.main and 2 * x.chars < whole:
+            x.drop = True
+
+
 def _measure(nodes: list[Node]) -> None:
     """Characters and tags of every node, dropped ones left out, and its composite text density."""
+    for x in nodes:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
     for x in reversed(nodes):
         if x.drop:
             x.chars = x.tags = x.link_chars = x.link_tags = 0
@@ -127,16 +159,15 @@ def _measure(nodes: list[Node]) -> None:
     for x in nodes:
         if x.chars:
             tags, links, plain = max(x.tags, 1), max(x.link_chars, 1), max(x.chars - x.link_chars, 1)
-            base = math.log(x.chars / plain * x.link_chars + ratio * x.chars + math.e)
-            x.density = x.chars / tags * math.log(max(x.chars / links * tags / max(x.link_tags, 1), 1.0)) / math.log(max(base, 1 + 1e-9)) if base > 1 + 1e-9 else x.chars / tags * math.log(max(x.chars / links * tags / max(x.link_tags, 1), 1.0)) * 1e9
+            base = math.log(max(x.chars / plain * x.link_chars + ratio * x.chars + math.e, math.e * (1 + 1e-9)))
+            x.density = x.chars / tags * math.log(max(x.chars / links * tags / max(x.link_tags, 1), 1.0)) / math.log(base)
 
 
-def _densest(nodes: list[Node]) -> Node:
-    """The subtree whose children's densities sum to most, widened to the outermost ancestor below body that is at
-    least as dense as body: an article of several sections stays whole."""
+def _core(nodes: list[Node]) -> Node | None:
+    """The subtree below body whose children's densities sum to most, the first of equal ones."""
     body = next((x for x in nodes if x.tag == "body"), nodes[0])
     dropped: set[int] = set()
-    best, most = body, 0.0
+    best, most = None, 0.0
     for x in nodes:
         if x.drop or x.up is not None and id(x.up) in dropped:
             dropped.add(id(x))
@@ -144,15 +175,35 @@ def _densest(nodes: list[Node]) -> Node:
         total = sum(p.density for p in x.parts if not isinstance(p, str) and not p.drop and p.tag != "a")
         if total > most and x is not body and x.up is not None:
             best, most = x, total
-    if best is body:
-        return body
-    threshold, top, x = body.density, best, best.up
-    while x is not None and x is not body and x.up is not None:
-        if x.density >= threshold:
-            top = x
-        x = x.up
+    return best
+
+
+def _densest(nodes: list[Node]) -> Node:
+    """The core, as a part of its article or main element where it has one, and widened while an ancestor adds mostly
+    headings and dense blocks."""
+    body = next((x for x in nodes if x.tag == "body"), nodes[0])
+    core = _core(nodes)
     # text that stands directly in body belongs to no subtree
-    return body if any(isinstance(p, str) and len(p.split()) >= 20 for p in body.parts) else top
+    if core is None or any(isinstance(p, str) and len(p.split()) >= 20 for p in body.parts):
+        return body
+    path = [core]
+    while path[-1] is not body and path[-1].up is not None:
+        path.append(path[-1].up)
+    enough, plain = min(x.density for x in path), NEAR * core.chars / max(core.tags, 1)
+    top = next((k for tag in ("article", "main") for k, x in enumerate(path) if x.tag == tag), 0)
+    for k in range(top + 1, len(path)):
+        more, dense = 0, 0
+        for p in path[k].parts:
+            if p is path[k - 1] or not isinstance(p, str) and (p.drop or _is_link_list(p)):
+                continue
+            size = len("".join(p.split())) if isinstance(p, str) else p.chars
+            more += size
+            dense += size * (len(p.split()) >= 20 if isinstance(p, str) else p.tag in HEADINGS or p.density >= enough and p.chars >= plain * max(p.tags, 1))
+        if more and 2 * dense < more:
+            break
+        if more:
+            top = k
+    return path[top]
 
 
 def _is_link_list(x: Node) -> bool:
@@ -191,6 +242,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    _settle_marks(nodes)
     _measure(nodes)
     return text_of(_densest(nodes))
 
@@ -203,7 +255,8 @@ def main_text(pages: pd.Series) -> pd.Series:
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `text` and `n_chars`, its code points; each page is worked on alone, without a shuffle.
 
-    Null or empty html gives an empty text. Repeated rows give equal rows. Columns named text or n_chars are replaced.
+    Null or empty html gives an empty text. Pages are read whole, however long and deep; of subtrees with equal sums the
+    first is the core. Repeated rows give equal rows. Columns named text or n_chars are replaced, all others stay.
     """
     kept: list[Column | str] = [c for c in pages.columns if c not in ("text", "n_chars")]
     found = pages.select(*kept, main_text(F.col(html)).alias("text"))
