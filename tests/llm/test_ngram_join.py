@@ -47,7 +47,13 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, 3), (3, 2, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (7, 1, 6)]
     kept = N.one_of_each(spark.createDataFrame(rows, schema))
     assert kept.columns == ["doc_id", "text", "n", "prefix"]
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [3, 4, 5, 6]
+    # rows without id: copies of one another go, other texts stay, and so does the one row of a repeated document
+    rows = [(None, "p q r s t", 1, "x"), (None, "p q  r s t", 2, "x"), (None, "other words stand in here", 3, "x"), (None, None, 4, "x"), (8, "u v w x y", 5, "x"), (8, "u v w x y", 6, "x"), (8, "quite another text of that id", 7, "x")]
+    kept = N.one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert len(kept) == 5 and sum(r.doc_id == 8 for r in kept) == 2 and sum(r.n in (1, 2) for r in kept) == 1 and {3, 4, 7} <= {r.n for r in kept}
+    alone = {r.n_shingles: r.component_id for r in N.groups(spark.createDataFrame(rows[:4], schema)).collect()}
+    assert alone == {2: None, 0: None}
 
 
 def test_repeated_ids(spark):

@@ -134,17 +134,19 @@ def test_leaks(spark):
     filler = lambda n: " ".join(f"f{x}" for x in r.integers(0, 10**6, n))
     cut = item[3].split(" ")
     cut[20] = "other"
-    docs = [(1, f"{filler(3000)} {item[0]} {filler(10)}"), (2, f"{item[2].upper()}\n{item[3]}"), (3, filler(50)), (4, " ".join(cut)), (5, " ".join(item[3].split(" ")[:20])), (6, None), (7, ""), (None, item[1]), (2, filler(5)), (8, "b0_0 b0_1 b0_2")]
-    bench = [*enumerate(item), (9, None), (10, "too few words"), (None, "")]
+    docs = [(1, f"{filler(3000)} {item[0]} {filler(10)}"), (2, f"{item[2].upper()}\n{item[3]}"), (3, filler(50)), (4, " ".join(cut)), (5, " ".join(item[3].split(" ")[:20])), (6, None), (7, ""), (None, item[1]), (2, filler(5)), (8, "b0_0 b0_1 b0_2"), (9, f"{filler(40)} TOO  few\nwords {filler(3)} too few words"), (10, "too few other words")]
+    bench = [*enumerate(item), (9, None), (10, "too few words"), (None, ""), (11, "b3_0")]
     got = D.leaks(spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, _h int, item_id string"), spark.createDataFrame(bench, "item_id long, text string"))
     want = []
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [words((t or "").lower())] for i in range(len(w) - 4)}
+    grams = lambda t, n: {tuple(w[i : i + n]) for w in [words((t or "").lower())] for i in range(len(w) - n + 1)}
     for d, t in docs:
         for i, b in bench:
-            n = len(grams(b))
-            k = len(grams(b) & grams(t))
+            width = min(5, len(words(b or "")))
+            n = len(grams(b, width)) if width else 0
+            k = len(grams(b, width) & grams(t, width)) if width else 0
             if n and k / n >= 0.8:
                 want.append((d, i, k, n))
+    assert {(9, 10), (2, 11)} <= {(d, i) for d, i, *_ in want}
     assert sorted(((x.doc_id or -1, x.item_id, x.n_shared, x.n_item) for x in got.collect())) == sorted((d or -1, *x) for d, *x in want)
     kept = D.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == sorted(d for d, _ in docs if d and d not in {w[0] for w in want})
@@ -358,6 +360,25 @@ def test_trees_learn(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 38
 
 
+def test_held_out_hosts(spark, sf_dir):
+    """Trees fitted on four folds of hosts judge the labelled URLs of the fifth; URLs without a rule get either verdict."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    got = U.held_out(pages).collect()
+    assert got and sum((r.label == 1.0) == r.blocked for r in got) >= 0.7 * len(got)
+
+
+def test_own_labels_are_left_out(spark):
+    """A labelled URL's suffix statistics, from the definition: the labels of the other folds' hosts, and none in the hidden fold."""
+    rows = [(f"http://h{i}.x{i % 3}.{'com' if i % 2 else 'net'}/{'es' if i % 5 else 'de'}/{i}",) for i in range(200)] + [(None,), ("http://a.org/",)]
+    known = U.labelled(spark.createDataFrame(rows, "url string"), U.RULES)
+    got = U.with_suffix(known, U.suffix_counts(known), 0.3).collect()
+    for r in got:
+        mine = [x for x in got if x.suffix == r.suffix and x.label is not None and (r.label is None or x.fold != r.fold)]
+        if r.label is not None and r.fold == U.HIDDEN:
+            mine = []
+        assert math.isclose(r.suffix_seen, math.log1p(len(mine))) and math.isclose(r.suffix_blocked, (sum(x.label for x in mine) + 0.6) / (len(mine) + 2))
+
+
 # 7
 
 

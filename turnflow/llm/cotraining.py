@@ -234,7 +234,8 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, pool_
     chosen = truth.orderBy(*order).limit(fit_rows)
     ids = docs.select(F.col("doc_id").alias("_d")).filter("_d IS NOT NULL").distinct().join(truth.select("_d"), "_d", "left_anti")
     pool = ids.orderBy(*order).limit(pool_rows).withColumn("label", F.lit(-1))
-    sample = docs.join(F.broadcast(chosen.union(pool)), F.col("doc_id") == F.col("_d")).select(F.col("label"), *_inputs(docs))
+    inputs = docs.select(F.col("doc_id").alias("_d"), *_inputs(docs))
+    sample = inputs.join(F.broadcast(chosen.union(pool)), "_d").select("label", "text", "lang", "source", "n_chars")
     rows = stored(sample.mapInArrow(view_rows(), "label int, t array<double>, m array<double>"), "quality-sample").toArrow()
     y = rows.column("label").to_numpy().astype(int)
     t = np.array(rows.column("t").to_pylist(), float).reshape(len(y), len(TEXT))
@@ -248,7 +249,8 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, cut: float = CUT, **opt
     """doc_id, p_text, p_meta, score (chance of label 1) and kept (score >= cut) of every document; see `fitted`.
 
     Without labels of both kinds, or with fewer than 10, every document has the smoothed share of label 1 as its
-    score. Repeated rows get equal rows.
+    score. Repeated rows get equal rows, each row of an id on several texts the score of its own. Texts are read whole,
+    however long. Other columns of docs aren't read.
     """
     score = scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, labelled, **options)))
     scored = docs.select("doc_id", score(*_inputs(docs)).alias("_s")).select("doc_id", "_s.p_text", "_s.p_meta", "_s.score")
@@ -256,7 +258,7 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, cut: float = CUT, **opt
 
 
 def good_documents(docs: DataFrame, labelled: DataFrame, cut: float = CUT, **options) -> DataFrame:
-    """The rows of docs whose score reaches `cut`, each judged alone, without a shuffle."""
+    """The rows of docs whose score reaches `cut`, each judged alone, without a shuffle; all columns stay, whatever their names."""
     score = scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, labelled, **options)))
     return docs.filter(score(*_inputs(docs))["score"] >= cut)
 

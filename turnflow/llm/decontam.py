@@ -28,6 +28,7 @@ def hashed_shingles(df: DataFrame, text: str, width: int, to: str) -> DataFrame:
 
 
 def exact_shingles(df: DataFrame, text: str, width: int, to: str) -> DataFrame:
+    """Adds `to`: the distinct word shingles of the text, as text."""
     toks = df.withColumn("_toks", words(F.lower(F.col(text))))
     return toks.withColumn(to, F.array_distinct(_windows(F.col("_toks"), width, lambda ws: F.concat_ws(" ", *ws)))).drop("_toks")
 
@@ -42,7 +43,8 @@ def sketch(df: DataFrame, hashes: str, to: str, needed: int, miss: float = MISS)
     first hash of each run in ascending order is the bin's minimum.
     """
     boost = 0
-    while boost < 4 and (1 - 2.0 ** (boost + 1) * (1 - math.exp(-1 / 2.0 ** (boost + 1))) * 0.98) ** needed > miss:
+    # a class's largest documents have one shingle for 2^b bins
+    while boost < 4 and (1 - 2.0**boost * (1 - math.exp(-1 / 2.0**boost)) * 0.98) ** needed > miss:
         boost += 1
     if boost == 4:
         return df.withColumn(to, F.col(hashes))
@@ -55,44 +57,49 @@ def sketch(df: DataFrame, hashes: str, to: str, needed: int, miss: float = MISS)
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, miss: float = MISS, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of each pair where the document holds at least `share` of the
-    distinct lower-cased `width`-word shingles of the item.
-
-    Candidates share a hash of the item with the document's sketch; each is then counted on the shingles as text.
-    Both indexes are cut by size: documents as in `sketch`, items by the number of shingles that must be there. The
-    item index is broadcast if it has no more than `broadcast_rows` rows, else both sides shuffle by hash; so
-    are the ids of the candidates on the way back to their texts. A null or short text has no shingles: such a
-    document holds nothing and such an item is found nowhere. An id that stands on several rows gets the
-    greatest containment of them; null ids stay and count as one.
+    distinct lower-cased `width`-word shingles of the item. An item of fewer words is one shingle, all of it, and is
+    searched for exactly among the documents' runs of as many words.
+
+    Candidates share a hash of an item with the document's sketch; their shingles are then joined with the items' as text
+    and counted, so that only shingles that items have are shuffled. Documents are cut by size as in `sketch`, its bins
+    by the shingles that must be there of the shortest item. An index of at most `broadcast_rows` rows is
+    broadcast, else both sides shuffle; so are the ids of the candidates. Null and empty texts hold nothing and
+    are found nowhere; texts are searched whole, however long. Rows that repeat a document count once; an id on several
+    texts gets the greatest containment of them, by document and by item; null ids stay and count as one. Other columns of
+    either table aren't read.
     """
-    items = hashed_shingles(benchmark.select("item_id", F.col("text").alias("_t")), "_t", width, "_h")
-    items = items.groupBy("item_id", "_t").agg(F.first("_h").alias("_h"))
-    index = stored(items.select("item_id", F.size("_h").alias("_q"), F.explode_outer("_h").alias("_hash")).filter("_hash IS NOT NULL"), "leak-index")
+    clean = lambda df, key: df.select(F.col(key), F.col("text").cast("string").alias("_t"))
+    docs, benchmark = clean(docs, "doc_id"), clean(benchmark, "item_id").distinct()
+    items = benchmark.withColumn("_n", F.size(words(F.lower(F.col("_t"))))).filter("_n > 0")
+    items = stored(items.withColumn("_i", F.xxhash64("_t")), "leak-items")
+    long, short = items.filter(F.col("_n") >= width), items.filter(F.col("_n") < width)
+
+    index = stored(hashed_shingles(long, "_t", width, "_h").select(F.size("_h").alias("_q"), F.explode("_h").alias("_hash")), "leak-index")
     # every item has at least this many shingles that a document must hold
     needed = index.agg(F.ceil(F.lit(share) * F.min("_q"))).first()[0] or 1
-
     # no filter stands above the arrays: it would be pushed down and their expressions evaluated once for each word
-    hashed = hashed_shingles(docs.select("doc_id", F.col("text").alias("_t")), "_t", width, "_h")
-    drawn = sketch(hashed, "_h", "_s", int(needed), miss)
+    drawn = sketch(hashed_shingles(docs, "_t", width, "_h"), "_h", "_s", int(needed), miss)
     probes = drawn.select("doc_id", F.explode_outer("_s").alias("_hash"))
-    found = stored(probes.join(small(index.select("item_id", "_hash").distinct(), broadcast_rows), "_hash").select("doc_id", "item_id").distinct(), "leak-pairs")
-
-    ids = stored(found.select(F.col("doc_id").alias("_d")).distinct(), "leak-docs")
-    back = docs.select("doc_id", F.col("text").alias("_t")).join(small(ids, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    mine = exact_shingles(back, "_t", width, "_have").select(F.col("doc_id").alias("_d"), "_have")
-    wanted = exact_shingles(benchmark.select("item_id", F.col("text").alias("_t")), "_t", width, "_want").select(F.col("item_id").alias("_i"), "_want")
-    pairs = found.join(small(stored(wanted, "leak-items"), 100_000), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
-    counted = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("_d"))).select(
-        "doc_id", "item_id", F.size(F.array_intersect("_have", "_want")).cast("long").alias("n_shared"), F.size("_want").cast("long").alias("n_item")
-    )
+    ids = stored(probes.join(small(stored(index.select("_hash").distinct(), "leak-hashes"), broadcast_rows), "_hash").select(F.col("doc_id").alias("_d")).distinct(), "leak-docs")
+
+    back = docs.join(small(ids, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").withColumn("_k", F.xxhash64("_t"))
+    have = exact_shingles(back, "_t", width, "_have").select("doc_id", "_k", F.explode_outer("_have").alias("_shingle"))
+    want = exact_shingles(long, "_t", width, "_want").select("item_id", "_i", F.size("_want").alias("n_item"), F.explode("_want").alias("_shingle"))
+    met = have.join(small(stored(want, "leak-shingles"), broadcast_rows), "_shingle")
+    for n in sorted(r[0] for r in short.select("_n").distinct().collect()):  # below `width`
+        runs = exact_shingles(docs.withColumn("_k", F.xxhash64("_t")), "_t", n, "_have").select("doc_id", "_k", F.explode_outer("_have").alias("_shingle"))
+        wanted = exact_shingles(short.filter(F.col("_n") == n), "_t", n, "_want").select("item_id", "_i", F.lit(1).alias("n_item"), F.explode("_want").alias("_shingle"))
+        met = met.unionByName(runs.join(small(stored(wanted, "leak-short"), broadcast_rows), "_shingle"))
+    counted = met.select("doc_id", "_k", "item_id", "_i", "n_item", "_shingle").distinct().groupBy("doc_id", "_k", "item_id", "_i").agg(F.count("*").alias("n_shared"), F.max("n_item").cast("long").alias("n_item"))
     held = counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
     best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("_b"))
     return best.select("doc_id", "item_id", "_b.n_shared", "_b.n_item", "_b.containment")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    bad = stored(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_d")).distinct(), "leaky")
-    return docs.join(small(bad, 2_000_000), F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    """The documents that hold no item; all columns stay, whatever their names."""
+    bad = stored(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaky")
+    return docs.join(small(bad, 2_000_000), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +107,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH b AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark), LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)
+WITH i AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), b AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)
+  UNION ALL SELECT item_id, array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND 4
 ), n AS (
   SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id
+), t AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), d AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM t, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)
+  UNION SELECT doc_id, array_to_string(w[k:k+z-1], ' ') FROM (SELECT doc_id, w, z FROM t, (SELECT DISTINCT len(w) AS z FROM i WHERE len(w) BETWEEN 1 AND 4)), LATERAL (SELECT unnest(range(1, len(w) - z + 2)) AS k)
 ), m AS (
   SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id
 )

@@ -51,10 +51,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     one may give a part of its words. The order is cut into bins by the draw's first digits: a sum per bin finds
     the bin where the rest ends, and running sums stay inside bins, so that no source has to fit in one task.
     Repeated rows count each; a null text has size 0 and gives nothing; an empty table gives an empty result.
-    Columns of docs named size, source_size, target or taken are replaced.
+    Rows of one id are taken in order of size and text. Texts are counted whole. Columns of docs named size, source_size,
+    target or taken are replaced, all others stay.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*kept, n_words(F.col("text")).alias("size"), _drawn(F.col("doc_id"), seed).alias("_draw"))
+    row = F.struct(*[F.col(c) for c in kept]).alias("_row")  # whatever their names, they don't meet those made here
+    sized = docs.select(row, "doc_id", F.col("source"), n_words(F.col("text")).alias("size"), _drawn(F.col("doc_id"), seed).alias("_draw"), F.xxhash64("text").alias("_text"))
     sized = sized.withColumn("_bin", (F.conv(F.substring("_draw", 1, 6), 16, 10).cast("long") * bins / 16**6).cast("int"))
     by_bin = stored(sized.groupBy("source", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
 
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         "mix-plan",
     )
 
-    ahead = Window.partitionBy("source", "_bin").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("source", "_bin").orderBy("_draw", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     extra = (
         F.when(F.col("_bin") < F.col("_edge"), F.col("size"))
@@ -88,15 +90,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         .otherwise(F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before") - F.col("_ahead"))))
     )
     return placed.join(small(plan, 100_000), F.col("source").eqNullSafe(F.col("_source"))).select(
-        *kept, "size", "source_size", "target", (F.col("_whole") * F.col("size") + extra).cast("long").alias("taken")
+        "_row.*", "size", "source_size", "target", (F.col("_whole") * F.col("size") + extra).cast("long").alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; a part of one counts as a whole if it is half or more."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
-    mixed = mix(docs, **options).withColumn("_times", times).filter("_times > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("whole"))
+    mixed = mix(packed, **options).select("whole", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))).alias("copy"))
+    return mixed.select("whole.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnflow.llm import arena as A
@@ -323,19 +323,19 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(fresh), "gram-labels")
 
 
-def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int = FEW, frequent: int = FREQUENT, in_batch: int = IN_BATCH, bits: int = FRAGMENT_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
+def text_key() -> list[Column]:
+    """id and text without nulls, and the key of a text of an id: an id on several texts has a set for each."""
+    id_, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [id_.alias("id"), text.alias("text"), F.xxhash64(id_, text).alias("k")]
 
-    Two documents link if the Jaccard similarity of their sets of lower-cased word n-grams is at least `percent` in a
-    hundred; component_id is the least doc_id that links reach. Fewer words than `width` make one n-gram; without
-    words, or with a null text, a document links with none. A null doc_id counts as greater than all others and
-    such rows as copies of one another's id. Rows that repeat a doc_id are in one group with all that each links to.
+
+def labelled_texts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int = FEW, frequent: int = FREQUENT, in_batch: int = IN_BATCH, bits: int = FRAGMENT_BITS) -> DataFrame:
+    """(id, k, n, rep, c, component) of every row of docs: its text's key, its set's size, class and group, and the group's least id.
+
+    Rows without n-grams are alone, with a null rep and c.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # one key for each text of an id: an id on several texts has a set for each
-    texts = texts.withColumn("k", F.xxhash64("id", "text"))
-
+    texts = docs.select(*text_key())
     counts = texts.select("text").mapInArrow(count_grams(width, percent, in_batch), "gram long, count int").groupBy("gram").agg(F.sum("count").alias("count"))
     crowded = stored(counts.filter(F.col("count") > few), "gram-counts")
     often = crowded.orderBy(F.desc("count"), "gram").limit(frequent).toPandas()
@@ -365,10 +365,10 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
     wanted = texts.select("k", "text").join(small(needed, 2_000_000), "k", "left_semi")
     parts = stored(wanted.mapInArrow(fragments_of(width, bits), "k long, f int, part binary"), "gram-fragments")
 
-    member_of = rows.filter("n > 0").select("id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
-    member_of = stored(member_of.select("id", "n", "rep"), "gram-class-members")
-    # the classes of an id on several texts hang together
-    several = member_of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
+    member_of = rows.filter("n > 0").select("id", "k", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+    member_of = stored(member_of.select("id", "k", "n", "rep"), "gram-class-members")
+    # the classes of an id on several texts hang together; no id is none
+    several = member_of.filter(F.col("id") != NO_ID).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
     same_id = member_of.join(several, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     links = stored(linked(pairs, parts, sizes, percent).union(same_id), "gram-links")
     if members.limit(1).count():
@@ -392,16 +392,41 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int
 
     named = classes.select("rep", "id").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("component", "rep").alias("c"))
     least = stored(named.groupBy("c").agg(F.min("id").alias("component")), "gram-least")
-    joined = member_of.join(named.join(small(least, 2_000_000), "c").select("rep", "component"), "rep").select("id", "n", "component")
-    alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component"))
+    joined = member_of.join(named.join(small(least, 2_000_000), "c").select("rep", "c", "component"), "rep").select("id", "k", "n", "rep", "c", "component")
+    none = F.lit(None).cast("long")
+    return joined.union(rows.filter("n = 0").select("id", "k", "n", none, none, F.col("id")))
+
+
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Two documents link if the Jaccard similarity of their sets of lower-cased word n-grams is at least `percent` in a
+    hundred; component_id is the least doc_id that links reach. Fewer words than `width` make one n-gram; without
+    words, or with a null text, a document links with none. Texts are taken whole, however long. A null doc_id counts as greater
+    than all others; rows without id are documents of their own, and component_id is null where none of a group has one. Rows
+    that repeat a doc_id with its text count once; an id on several texts is in one group with all that each links to. Other
+    columns of docs aren't read.
+    """
     clean = lambda c: F.nullif(c, F.lit(NO_ID))
-    return joined.union(alone).select(clean("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clean("component").alias("component_id"))
+    return labelled_texts(docs, width, percent, **options).select(clean("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clean("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
-    """The documents whose doc_id is their group's component_id."""
-    gone = stored(groups(docs, width, percent, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct(), "gram-gone")
-    return docs.join(small(gone, 2_000_000), F.col("doc_id") == F.col("_d"), "left_anti")
+    """One document of each group: the one with the least doc_id, and of rows without id the one with the least key of its
+    text. Where that id stands on several texts, one row of each different set stays; rows that repeat a document go. Documents
+    without words are copies of none. All columns stay, whatever their names; of rows that differ in other columns
+    than id and text the one with the greatest hash of them stays.
+    """
+    found = stored(labelled_texts(docs, width, percent, **options), "gram-labels-of-texts")
+    first = F.when(F.col("id") != NO_ID, F.col("rep"))
+    kept = found.filter("c IS NOT NULL AND id = component").groupBy("c", first.alias("first")).agg(F.min("k").alias("k")).select("k")
+    gone = stored(found.filter("c IS NOT NULL").select("k").distinct().join(kept, "k", "left_anti"), "gram-gone")
+    twice = stored(found.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k").join(gone, "k", "left_anti"), "gram-twice")
+    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_key()[2], F.xxhash64(*plain).alias("rest"))
+    once = rows.join(small(gone.union(twice), 2_000_000), "k", "left_anti").select("row.*")
+    again = rows.join(small(twice, 2_000_000), "k", "left_semi").groupBy("k").agg(F.max_by("row", "rest").alias("row")).select("row.*")
+    return once.union(again)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

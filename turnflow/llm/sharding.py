@@ -18,14 +18,16 @@ BINS = 1024
 Leaf = tuple[str, str, int, float]
 
 
-def tree(shards: int, racks: int = RACKS, per_rack: int = PER_RACK) -> list[Leaf]:
-    """Shards 0, 1, ... of weight 1, filling racks of `per_rack` and regions of `racks`."""
-    return [(f"r{k // (racks * per_rack)}", f"r{k // (racks * per_rack)}.{k // per_rack % racks}", k, 1.0) for k in range(shards)]
+def tree(shards: int, racks: int = RACKS, per_rack: int = PER_RACK, base: int = SHARDS) -> list[Leaf]:
+    """Shards 0, 1, ... of weight 1: the first `base` fill racks of `per_rack` and regions of `racks`, each further one
+    stands in a region of its own. From `base` on a tree of one more shard is the tree with one more region: no weight
+    inside the standing regions changes, so the only rows that move are those that the new region draws."""
+    home = lambda k: (f"r{k // (racks * per_rack)}", f"r{k // (racks * per_rack)}.{k // per_rack % racks}") if k < base else (f"n{k}", f"n{k}.0")
+    return [(*home(k), k, 1.0) for k in range(shards)]
 
 
 def grown(leaves: Sequence[Leaf], weight: float = 1.0) -> list[Leaf]:
-    """One more shard in a region and rack of its own. No weight inside the standing regions changes, so the
-    only rows that move are those that the new region draws, and its one shard takes them all."""
+    """One more shard in a region and rack of its own, as `tree` adds it."""
     new = max((k for _, _, k, _ in leaves), default=-1) + 1
     return [*leaves, (f"n{new}", f"n{new}.0", new, weight)]
 
@@ -61,24 +63,23 @@ def place(key: Column, leaves: Sequence[Leaf], seed: int = SEED) -> Column:
 def shard(docs: DataFrame, leaves: Sequence[Leaf], seed: int = SEED, bins: int = BINS) -> DataFrame:
     """docs with `shard` and `slot`, a gapless number from 0 inside the shard.
 
-    The document's id and the tree decide, so a row finds its shard alone. Slots follow a hash of the id: rows are
-    numbered inside (shard, bin of that hash) and start after the rows of the bins before, so that no shard has to
-    be sorted in one task. Rows that repeat an id go to the same shard, each with its own slot; a null id is a key
-    like any other. Columns named shard or slot are replaced.
+    The document's id and the tree decide, so a row finds its shard alone. Slots follow a hash of id and text: rows are
+    numbered inside (shard, bin of that hash) and start after the rows of the bins before, so that no shard, and no id
+    on many texts, has to be sorted in one task. Rows that repeat an id go to the same shard, each with its own slot;
+    rows that also repeat the text are numbered in order of their other columns. A null id is a key like any other, null
+    and empty texts differ. Columns named shard or slot are replaced, all others stay.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    mark = F.md5(F.concat_ws("|", F.lit("slot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
-    placed = docs.select(*kept, place(F.col("doc_id"), leaves, seed).alias("shard"), mark.alias("_mark"))
-    placed = placed.withColumn("_bin", (F.conv(F.substring("_mark", 1, 6), 16, 10).cast("long") * bins / 16**6).cast("int"))
-    counts = placed.groupBy("shard", "_bin").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_bin").orderBy("_mark", "doc_id")
-    return (
-        placed.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(starts, ["shard", "_bin"])
-        .select(*kept, "shard", (F.col("_start") + F.col("_row")).cast("long").alias("slot"))
-    )
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
+    text = F.xxhash64("text") if "text" in docs.columns else F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
+    rest = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    placed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), place(F.col("doc_id"), leaves, seed).alias("shard"), F.md5(F.concat_ws("|", F.lit("slot"), part("doc_id"), text.cast("string"))).alias("mark"), rest.alias("rest"))
+    placed = placed.withColumn("bin", (F.conv(F.substring("mark", 1, 6), 16, 10).cast("long") * bins / 16**6).cast("int"))
+    counts = placed.groupBy("shard", "bin").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "bin").orderBy("mark", "rest")
+    return placed.withColumn("nth", F.row_number().over(inside) - 1).join(starts, ["shard", "bin"]).select("row.*", "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

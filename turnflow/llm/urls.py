@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,10 @@ from turnflow.llm.common import small, stored, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("n_url", "n_host", "n_path", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_escapes", "is_https", "has_fragment", "suffix_seen", "suffix_blocked")
+FEATURES = ("n_url", "n_host", "n_path", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_escapes", "is_https", "is_www", "has_fragment", "suffix_seen", "suffix_blocked")
 FIT_ROWS = 20_000
+#: Hosts are dealt into so many folds; the suffixes of one fold's labelled URLs are hidden from the fit.
+FOLDS, HIDDEN = 5, 0
 TREES, DEPTH = 10, 4
 CUT = 0.5
 
@@ -60,43 +62,88 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
             "n_hyphens": count("-").cast("double"),
             "n_escapes": count("%").cast("double"),
             "is_https": u.startswith("https:").cast("double"),
+            "is_www": F.col("host").startswith("www.").cast("double"),
             "has_fragment": u.contains("#").cast("double"),
         }
     )
 
 
+def labelled(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """pages with host, path, hit (the rule's name and verdict, or null), suffix, fold (by host) and label (1: block, null: no rule)."""
+    known = with_host(pages).withColumn("hit", first_rule(F.col("host"), F.col("path"), rules))
+    known = known.withColumns({"suffix": F.substring_index("host", ".", -1), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")})
+    return known.withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
+
+
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """For each suffix how many URLs are labelled and blocked, in all and by fold."""
+    of = lambda f: (F.sum(F.when(F.col("fold") == f, 1.0).otherwise(0.0)), F.sum(F.when(F.col("fold") == f, F.col("label")).otherwise(0.0)))
+    pairs = [of(f) for f in range(FOLDS)]
+    return known.filter("label IS NOT NULL").groupBy(F.col("suffix").alias("suffix_of")).agg(F.array(*[a for a, _ in pairs]).alias("n_of"), F.array(*[b for _, b in pairs]).alias("b_of"))
+
+
+def with_suffix(known: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """Adds suffix_seen and suffix_blocked. A labelled URL gets those of the other folds' hosts alone, and one of the hidden fold
+    none at all, as a URL whose suffix was never labelled: so the trees learn what to do without them."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    own = lambda a: F.when(F.col("label").isNull(), F.lit(0.0)).otherwise(F.get(a, F.col("fold")))
+    hidden = F.col("label").isNotNull() & (F.col("fold") == HIDDEN)
+    left = lambda a: F.when(hidden | F.col(a).isNull(), F.lit(0.0)).otherwise(total(F.col(a)) - own(F.col(a)))
+    joined = known.join(counts, F.col("suffix") == F.col("suffix_of"), "left")
+    n, b = left("n_of"), left("b_of")
+    return joined.withColumns({"suffix_seen": F.log1p(n), "suffix_blocked": (b + 2 * prior) / (n + 2)}).drop("suffix_of", "n_of", "b_of")
+
+
+def fitted(sample: DataFrame) -> GBTClassificationModel:
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=6, predictionCol="as_is")
+    model = trees.fit(vector.transform(stored(sample, "url-sample")))
+    return model.setProbabilityCol("chance").setRawPredictionCol("margin")
+
+
+def scored(model: GBTClassificationModel, full: DataFrame) -> DataFrame:
+    """Adds score, the chance of block."""
+    seen = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full))
+    return seen.withColumn("score", vector_to_array("chance")[1])
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, fit_rows: int = FIT_ROWS, cut: float = CUT) -> DataFrame:
-    """pages with `host`, `path`, `rule`, `score` (chance of block) and `verdict`.
+    """pages with `host`, `path`, `rule`, `verdict` and `score` (chance of block).
 
     A URL that a rule fits has the rule's verdict. These URLs are the labels for gradient-boosted trees, which judge
     the others: block if the score is at least `cut`. The trees are fitted on at most `fit_rows` labelled URLs, those
     with the least hash of the URL; that bound keeps the fit's cost fixed. Suffix statistics (how often the last label
-    of the host is labelled, and its share of blocks with one of each added) count all labelled URLs. Where no
-    rule fits any URL, or all labels agree, there is nothing to learn and the others are allowed or get that label,
-    with score 0 or 1. Null and malformed URLs have empty host and path and are judged by the trees. Columns of
-    pages with the names of results or features are replaced.
+    of the host is labelled, and its share of blocks, drawn to the overall share) count all labelled URLs, but never
+    those of hosts in a labelled URL's own fold. Where no rule fits any URL, or all labels agree, there is nothing to
+    learn and the others are allowed or get that label, with score 0 or 1. Null and malformed URLs have empty host and path and are
+    judged by the trees. Equal URLs get equal results, rows count each. URLs are read whole, however long. Columns of
+    pages named like a result are replaced, all others stay, whatever their names.
     """
-    made = {"host", "path", "rule", "verdict", "score", "_hit", "_suffix", *FEATURES}
-    kept = [c for c in pages.columns if c not in made]
-    known = with_host(pages.select(*kept)).withColumn("_hit", first_rule(F.col("host"), F.col("path"), rules))
-    known = known.withColumn("_suffix", F.substring_index("host", ".", -1)).withColumn("label", (F.col("_hit.verdict") == "block").cast("double"))
-
-    per_suffix = known.filter("label IS NOT NULL").groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("label").alias("_b"))
-    per_suffix = stored(per_suffix.select(F.col("_suffix").alias("_of"), F.log1p("_n").alias("suffix_seen"), ((F.col("_b") + 1) / (F.col("_n") + 2)).alias("suffix_blocked"), "_n", "_b"), "url-suffixes")
-    n, blocked = per_suffix.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_b"), F.lit(0.0))).first()
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    known = labelled(pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col("url")), rules)
+    counts = stored(suffix_counts(known), "url-suffixes")
+    n, blocked = counts.agg(F.coalesce(F.sum(F.aggregate("n_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0)), F.coalesce(F.sum(F.aggregate("b_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0))).first()
 
     if n and 0 < blocked < n:
-        full = lexical(known).join(small(per_suffix.drop("_n", "_b"), 100_000), F.col("_suffix") == F.col("_of"), "left").fillna({"suffix_seen": 0.0, "suffix_blocked": 0.5})
+        full = lexical(with_suffix(known, small(counts, 100_000), (blocked + 1) / (n + 2)))
         sample = full.filter("label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(fit_rows).select(*FEATURES, "label")
-        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_v")
-        trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=6, predictionCol="_y")
-        model = trees.fit(vector.transform(stored(sample, "url-sample")))
-        model.setProbabilityCol("_p").setRawPredictionCol("_raw")
-        scored = model.transform(vector.transform(full)).withColumn("score", vector_to_array("_p")[1])
+        out = scored(fitted(sample), full)
     else:
-        scored = known.withColumn("score", F.lit(1.0 if blocked else 0.0))
+        out = known.withColumn("score", F.lit(1.0 if blocked else 0.0))
     learnt = F.when(F.col("score") >= cut, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(*kept, "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", learnt).alias("verdict"), "score")
+    return out.select("row.*", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", learnt).alias("verdict"), "score")
+
+
+def held_out(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, fit_rows: int = FIT_ROWS, cut: float = CUT) -> DataFrame:
+    """label, score and n of labelled URLs of one fold of hosts, judged by trees fitted on the other folds."""
+    known = labelled(pages.select("url"), rules).filter("label IS NOT NULL")
+    others = known.filter(F.col("fold") != FOLDS - 1)
+    counts = stored(suffix_counts(others), "url-suffixes")
+    n, blocked = others.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    prior = (blocked + 1) / (n + 2)
+    sample = lexical(with_suffix(others, counts, prior)).orderBy(F.xxhash64("url"), "url").limit(fit_rows).select(*FEATURES, "label")
+    test = known.filter(F.col("fold") == FOLDS - 1).withColumns({"truth": F.col("label"), "label": F.lit(None).cast("double")})
+    return scored(fitted(sample), lexical(with_suffix(test, counts, prior))).select("url", F.col("truth").alias("label"), "score", (F.col("score") >= cut).alias("blocked"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
