@@ -162,7 +162,7 @@ def test_leaks(spark):
 
 def test_counts(spark):
     rows = [*corpus(40), (900, "a b c a b c x\n \nline\nline\nline  \n#|<> é", "en", "s", 1, "", "", "", 1)]
-    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r for r in Q.word_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, t, *_ in rows:
         w = words(t)
         lines = [x for x in (t or "").split("\n") if words(x)]
@@ -172,59 +172,7 @@ def test_counts(spark):
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover))
         assert g.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
         assert not (g.base_failed and g.kept)
-    assert Q.quality(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def brute_kn(texts, order):
-    """Interpolated modified Kneser-Ney over bytes, from the definition."""
-    counts = {order: Counter()}
-    for t in texts:
-        b = t.encode()
-        counts[order].update(b[i : i + order] for i in range(len(b) - order + 1))
-    for n in range(order - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-
-    def discounts(c):
-        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0
-        out = []
-        for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
-            out.append(max(0.1, min(k - 0.1, k - (k + 1) * y * b / a)) if a and b else 0.5 + 0.25 * (k - 1))
-        return out
-
-    ds = {n: discounts(c) for n, c in counts.items()}
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        n = len(g)
-        same = {h: v for h, v in counts[n].items() if h[:-1] == g[:-1]}
-        if not same:
-            return p(g[1:])
-        total = sum(same.values())
-        held = sum(ds[n][min(v, 3) - 1] for v in same.values())
-        own = max(same[g] - ds[n][min(same[g], 3) - 1], 0) / total if g in same else 0
-        return own + held / total * p(g[1:])
-
-    return p
-
-
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog and the mat", "thé"]
-    order = 3
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    top = df.select("lang", "text").mapInArrow(Q.count_codes(order), "lang string, code long, count long").groupBy("lang", "code").agg({"count": "sum"}).toDF("lang", "code", "count")
-    model = Q.to_arrays(Q.kneser_ney(top, order))
-    p = brute_kn(texts, order)
-    for g in (b"the", b"he ", b"cat", b"tzz", b"zzz", b"xat", b" do", b"thx"):
-        got = Q.score_codes(model, np.array([int.from_bytes(g, "big")]), np.array([0]), order)[0]
-        assert math.isclose(got, math.log(p(g)), rel_tol=1e-4), g
-    here = {r.doc_id: r.log_perplexity for r in Q.quality(df, order).collect()}
-    far = {r.doc_id: r.log_perplexity for r in Q.quality(df, order, sent_rows=0).collect()}
-    for i, t in enumerate(texts):
-        b = t.encode()
-        mean = sum(math.log(p(b[k : k + order])) for k in range(len(b) - order + 1)) / (len(b) - order + 1)
-        assert abs(here[i] + mean) < 2e-3 and abs(far[i] + mean) < 2e-3
+    assert Q.word_quality(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 # 3
