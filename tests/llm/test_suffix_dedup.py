@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import SCHEMA, corpus
@@ -51,6 +53,33 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (1, 260), (2, 0), (3, 0), (4, 260), (4, 260)]
 
 
+def test_texts_of_one_id(spark):
+    """Texts of one id are documents of their own: what repeats in one of them is cut from it alone."""
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c = part(300), part(300), part(400)
+    rows = [(1, a), (2, b + a), (2, c), (2, c), (3, c + b)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 300, 0, sha(a)), (2, 600, 300, sha(b)), (2, 400, 0, sha(c)), (2, 400, 0, sha(c)), (3, 700, 700, sha(""))])
+
+
+def test_hashes_that_collide(monkeypatch):
+    """Equal hashes of different segments are found out by their bytes."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab") for _ in range(150)) for _ in range(6)]
+    real = S.segments
+
+    def clash(data, at, length=100, gram=24):
+        text, start, count, offset, a, h, check = real(data, at, length, gram)
+        return text, start, count, 0 * offset, 0 * a, 0 * h, 0 * check
+
+    monkeypatch.setattr(S, "segments", clash)
+    batch = pa.record_batch([pa.array(range(6)), pa.array([0] * 6), pa.array(texts)], ["k", "t", "text"])
+    out = pa.Table.from_batches(S.cut_segments(100, 24)([batch]))
+    assert all(x >= 0 for x in out.column("span").to_pylist())  # none is taken for a repeat
+
+
 def test_segments_cover_every_position_once():
     r = np.random.default_rng(0)
     data = r.integers(97, 100, 5000).astype(np.uint8)
@@ -73,7 +102,7 @@ def test_merge_sort_and_collisions(monkeypatch):
     assert order.tolist() == want
     span = S.pack(np.zeros(45, np.int64), np.full(45, 11), 20)
     keys, ids = np.zeros(45, np.int64), np.arange(45)
-    right = S.repeats(strings, keys, ids, span, 100)
+    right = S.repeats(strings, keys, ids, 0 * ids, span, 100)
     seen, want = set(), []
     for s in strings:
         for o in range(11):
@@ -81,4 +110,4 @@ def test_merge_sort_and_collisions(monkeypatch):
             seen.add((o, s[o : o + 100]))
     assert right.tolist() == want
     monkeypatch.setattr(S.Prefixes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))  # all collide
-    assert S.repeats(strings, keys, ids, span, 100).tolist() == want
+    assert S.repeats(strings, keys, ids, 0 * ids, span, 100).tolist() == want

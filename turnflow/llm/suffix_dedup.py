@@ -5,13 +5,14 @@ same document). Every such string holds an anchor: of its GRAM-byte strings the
 first, which depends on nothing but the string. Neighbouring positions mostly share their anchor, so a document falls
 into segments, about two in a hundred bytes, and equal strings lie in segments with equal anchor hashes.
 
-1. Segments go by anchor hash to their task. Of equal ones (polynomial hash of all bytes that the segment's strings
-   cover, and a check under a second base) only the first has new strings; all positions of the others are repeats.
-   A batch of documents sends one copy of each, so that no string is sent more often than there are batches.
-2. What is left are first segments that share their anchor with other ones: the ends of repeats. Their suffixes are
+1. Segments go by anchor hash to their task. A batch of documents sends one copy of each, compared byte by byte, so that no
+   string is sent more often than there are batches. An anchor with one segment alone has no repeats.
+2. The others' bytes are fetched and meet under their anchor. Of equal ones, compared as bytes, only the first has new
+   strings. The suffixes of the different ones, the ends of repeats, are
    sorted: a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Neighbours that agree in all bytes are verified byte by byte; the first of each class stays, the rest are repeats.
-   An anchor with more than HOT first segments would gather too much: its strings go by their own hash instead.
+   An anchor with more than HOT different segments would gather too much: its strings go by their own hash instead, and its equal
+   segments meet under their hash.
 3. Spans go back to their documents, which are cut and digested.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnflow.llm import arena as A
-from turnflow.llm.common import stored, table
+from turnflow.llm.common import small, stored, table
 
 LENGTH = 100
 GRAM = 24
@@ -121,47 +122,58 @@ def _first_in_batch(keys: np.ndarray, *same: np.ndarray) -> np.ndarray:
 
 
 def cut_segments(length: int, gram: int) -> Callable:
-    """Batches of (k, text) to rows (a, h, k, span). A span of which it is known in the batch that it repeats an
-    earlier one is negative (bits inverted) and has any a and h."""
+    """Batches of (k, t, text) to rows (a, h, k, t, span). A span of which it is known in the batch, by its bytes, that it
+    repeats an earlier one is negative (bits inverted) and has any a and h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("k").to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
+            ids, also = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
+            order = np.lexsort((also, ids))
             raw, at = A.arena(batch.column("text").take(pa.array(order)))
-            ids = ids[order]
-            parts = [[] for _ in range(4)]
+            ids, also = ids[order], also[order]
+            parts = [[] for _ in range(6)]
             for first, _, data, offsets in A.pieces(raw, at, 1 << 18):
                 text, start, count, offset, a, h, check = segments(data, offsets, length, gram)
-                for to, x in zip(parts, (a, h, ids[text + first], pack(start, count, offset, check)), strict=True):
+                for to, x in zip(parts, (a, h, ids[text + first], also[text + first], pack(start, count, offset, check), at[text + first] + start), strict=True):
                     to.append(x)
             if not parts[0]:
                 continue
-            a, h, k, span = (np.concatenate(p) for p in parts)
+            a, h, k, t, span, place = (np.concatenate(p) for p in parts)
             new = _first_in_batch(h, a, span & (2**CHECK - 1))
-            other = ~_itself(h, new, k, span)
-            a, h, k, span, new = a[other], h[other], k[other], span[other], new[other]
+            lead = _lead(h, new)
+            whole, sizes = raw.tobytes(), unpack(span)[1] - 1 + length
+            again = np.flatnonzero(~new)
+            first = lead[again]
+            wrong = [n != m or whole[x : x + n] != whole[y : y + m] for x, y, n, m in zip(place[again].tolist(), place[first].tolist(), sizes[again].tolist(), sizes[first].tolist(), strict=True)]  # by their bytes
+            new[again] = wrong
+            other = new | (k != k[lead]) | (t != t[lead]) | (span != span[lead])
+            a, h, k, t, span, new = (x[other] for x in (a, h, k, t, span, new))
             repeat = ~new
             a[repeat] = A.mix(k[repeat].view(np.uint64))
             h[repeat] = 0
             span[repeat] = ~span[repeat]
             for i in range(0, len(a), 200_000):
                 j = slice(i, i + 200_000)
-                yield pa.record_batch([_signed(a[j]), _signed(h[j]), pa.array(k[j]), pa.array(span[j])], ["a", "h", "k", "span"])
+                yield pa.record_batch([_signed(a[j]), _signed(h[j]), pa.array(k[j]), pa.array(t[j]), pa.array(span[j])], ["a", "h", "k", "t", "span"])
 
     return run
 
 
+def _lead(keys: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each row the first with its key."""
+    order = np.argsort(keys, kind="stable")
+    out = np.empty(len(keys), np.int64)
+    out[order] = order[np.flatnonzero(new[order])[np.cumsum(new[order]) - 1]] if len(keys) else order
+    return out
+
+
 def _itself(keys: np.ndarray, new: np.ndarray, *place: np.ndarray) -> np.ndarray:
     """Which rows that aren't the first with their key stand at the first's own place: rows of a repeated document."""
-    order = np.argsort(keys, kind="stable")
-    lead = order[np.flatnonzero(new[order])[np.cumsum(new[order]) - 1]]
-    same = ~new[order]
+    lead = _lead(keys, new)
+    same = ~new
     for x in place:
-        same &= x[order] == x[lead]
-    out = np.zeros(len(keys), bool)
-    out[order] = same
-    return out
+        same &= x == x[lead]
+    return same
 
 
 #: What the first step says of a span: a repeat, to be sorted by anchor, to be sorted by string.
@@ -169,35 +181,39 @@ REPEAT, SHARED, CROWDED = 0, 1, 2
 
 
 def judge_segments(hot: int) -> Callable:
-    """Rows in ascending (a, h, k, span), all rows of an a together, to rows (kind, a, k, span)."""
+    """Rows in ascending (a, h, k, t, span), all rows of an a together, to rows (kind, a, k, t, span): those known as repeats, and
+    those whose bytes are to be compared under a."""
+    names = ["kind", "a", "k", "t", "span"]
 
-    def settle(a: np.ndarray, h: np.ndarray, k: np.ndarray, span: np.ndarray, crowded: bool) -> pa.RecordBatch | None:
+    def settle(a: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, span: np.ndarray, crowded: bool) -> Iterator[pa.RecordBatch]:
         if not len(a):
-            return None
-        new_a = np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new = new_a.copy()
-        new[1:] |= h[1:] != h[:-1]
-        check = span & (2**CHECK - 1)
+            return
+        new = np.append(True, (a[1:] != a[:-1]) | (h[1:] != h[:-1]))
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        itself = ~new & (k == k[first]) & (t == t[first]) & (span == span[first])
+        a, h, k, t, span = (x[~itself] for x in (a, h, k, t, span))
+        new_a = np.append(True, a[1:] != a[:-1])
+        new = new_a | np.append(True, h[1:] != h[:-1])
         run = np.cumsum(new) - 1
-        lead = new | (check != check[np.flatnonzero(new)][run])  # equal hash, other check: settled by its bytes
+        check = span & (2**CHECK - 1)
+        lead = new | (check != check[np.flatnonzero(new)][run])
         group = np.cumsum(new_a) - 1
-        leads = np.bincount(group, weights=lead)[group]
-        kind = np.where(lead, np.where((leads > hot) | crowded, CROWDED, SHARED), REPEAT)
-        first = np.flatnonzero(new)[run]
-        itself = ~lead & (k == k[first]) & (span == span[first])
-        keep = (~lead | (leads > 1) | crowded) & ~itself
-        return pa.record_batch([pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(k[keep]), pa.array(span[keep])], ["kind", "a", "k", "span"])
+        many = (np.bincount(group, weights=lead)[group] > hot) | crowded
+        alone = (np.bincount(group)[group] == 1) & (not crowded)
+        twice = np.bincount(run)[run] > 1
+        for kind, key, which in ((SHARED, a, ~many & ~alone), (CROWDED, a, many & lead), (SHARED, A.mix(h.view(np.uint64)).view(np.int64), many & twice)):
+            if which.any():
+                yield pa.record_batch([pa.array(np.full(int(which.sum()), kind, np.int32)), pa.array(key[which]), pa.array(k[which]), pa.array(t[which]), pa.array(span[which])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         crowded = None  # an anchor whose first rows went out as crowded already
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "h", "k", "span")]
-            known = rows[3] < 0
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "h", "k", "t", "span")]
+            known = rows[4] < 0
             if known.any():
                 n = int(known.sum())
-                yield pa.record_batch([pa.array(np.full(n, REPEAT, np.int32)), pa.array(rows[0][known]), pa.array(rows[2][known]), pa.array(~rows[3][known])], ["kind", "a", "k", "span"])
+                yield pa.record_batch([pa.array(np.full(n, REPEAT, np.int32)), *[pa.array(rows[i][known]) for i in (0, 2, 3)], pa.array(~rows[4][known])], names)
                 rows = [x[~known] for x in rows]
             rows = [np.concatenate((x, y)) for x, y in zip(held, rows, strict=True)]
             if not len(rows[0]):
@@ -207,17 +223,13 @@ def judge_segments(hot: int) -> Callable:
             if len(rows[0]) - cut > 4 * hot + 50_000 and crowded != last:
                 # keep rows of one h together: the carried part begins with a new h
                 done, rest = [x[:cut] for x in rows], [x[cut:] for x in rows]
-                out = settle(*done, False)
-                if out is not None:
-                    yield out
+                yield from settle(*done, False)
                 crowded, rows, cut = last, rest, 0
             if crowded is not None and rows[0][0] == crowded:
                 upto = int(np.searchsorted(rows[0], crowded, side="right"))
                 if upto == len(rows[0]):  # all but the last h of what is here
                     upto = int(np.flatnonzero(rows[1] == rows[1][-1])[0]) if (rows[1] != rows[1][-1]).any() else 0
-                out = settle(*[x[:upto] for x in rows], True)
-                if out is not None:
-                    yield out
+                yield from settle(*[x[:upto] for x in rows], True)
                 rows = [x[upto:] for x in rows]
                 if len(rows[0]) and rows[0][0] == crowded:
                     if rows[0][-1] == crowded:
@@ -225,28 +237,24 @@ def judge_segments(hot: int) -> Callable:
                         continue
                     crowded = None
                 cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0
-            out = settle(*[x[:cut] for x in rows], False)
-            if out is not None:
-                yield out
+            yield from settle(*[x[:cut] for x in rows], False)
             held = [x[cut:] for x in rows]
-        out = settle(*held, bool(len(held[0]) and crowded is not None and held[0][0] == crowded))
-        if out is not None:
-            yield out
+        yield from settle(*held, bool(len(held[0]) and crowded is not None and held[0][0] == crowded))
 
     return run
 
 
 def cut_strings(length: int) -> Callable:
-    """Batches of (k, text, found: list of (kind, a, span)) to rows (a, k, span, string) to be sorted; a null
+    """Batches of (k, t, text, found: list of (kind, a, span)) to rows (a, k, t, span, string) to be sorted; a null
     string marks a span that is known to repeat an earlier one of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "k", "span", "string"]
+        names = ["a", "k", "t", "span", "string"]
         for batch in batches:
-            ids = batch.column("k").to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
+            ids, also = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
+            order = np.lexsort((also, ids))
             batch = batch.take(pa.array(order))
-            ids = ids[order]
+            ids, also = ids[order], also[order]
             raw, at = A.arena(batch.column("text"))
             found = batch.column("found")
             row = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -260,7 +268,7 @@ def cut_strings(length: int) -> Callable:
             for i in range(0, len(plain), 50_000):
                 j = plain[i : i + 50_000]
                 strings = [whole[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)]
-                yield pa.record_batch([pa.array(a[j]), pa.array(ids[row[j]]), pa.array(span[j]), pa.array(strings, pa.binary())], names)
+                yield pa.record_batch([pa.array(a[j]), pa.array(ids[row[j]]), pa.array(also[row[j]]), pa.array(span[j]), pa.array(strings, pa.binary())], names)
             crowd = np.flatnonzero((kind == CROWDED) & fits)
             if len(crowd):
                 # the strings one by one, in order of (k, start), by their own hash
@@ -274,14 +282,16 @@ def cut_strings(length: int) -> Callable:
                     here = row[each] == r if len(each) < 1000 else slice(*np.searchsorted(row[each], [r, r + 1]))
                     hashes[here] = A.mix(Prefixes(raw[at[r] : at[r + 1]]).of(own[here], length))
                 new = _first_in_batch(hashes)
-                other = ~_itself(hashes, new, ids[row[each]], own)
-                each, own, hashes, new = each[other], own[other], hashes[other], new[other]
-                where = at[row[each]] + own
+                lead, where = _lead(hashes, new), at[row[each]] + own
+                again = np.flatnonzero(~new)
+                new[again] = [whole[x : x + length] != whole[y : y + length] for x, y in zip(where[again].tolist(), where[lead[again]].tolist(), strict=True)]  # by their bytes
+                other = new | (ids[row[each]] != ids[row[each[lead]]]) | (also[row[each]] != also[row[each[lead]]]) | (own != own[lead])
+                each, own, hashes, new, where = each[other], own[other], hashes[other], new[other], where[other]
                 for i in range(0, len(each), 50_000):
                     j = slice(i, i + 50_000)
                     strings = [whole[x : x + length] if f else None for x, f in zip(where[j].tolist(), new[j].tolist(), strict=True)]
                     one = pack(own[j], np.ones(len(own[j]), np.int64))
-                    yield pa.record_batch([_signed(hashes[j]), pa.array(ids[row[each[j]]]), pa.array(one), pa.array(strings, pa.binary())], names)
+                    yield pa.record_batch([_signed(hashes[j]), pa.array(ids[row[each[j]]]), pa.array(also[row[each[j]]]), pa.array(one), pa.array(strings, pa.binary())], names)
 
     return run
 
@@ -343,7 +353,7 @@ def merge_sorted(data: np.ndarray, prefix: Prefixes, suffix: np.ndarray, bucket:
     return order
 
 
-def repeats(strings: list[bytes], key: np.ndarray, k: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
+def repeats(strings: list[bytes], key: np.ndarray, k: np.ndarray, t: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
     """For every position of every string, in turn, whether an equal one among those of the same key is earlier."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     data = np.frombuffer(b"".join(strings), np.uint8)
@@ -355,7 +365,7 @@ def repeats(strings: list[bytes], key: np.ndarray, k: np.ndarray, span: np.ndarr
     # equal strings have their anchor at the same place
     group = np.unique(key, return_inverse=True)[1]
     bucket = group[each] * 256 + (offset[each] - nth + 128)
-    ranked = np.lexsort((start[each] + nth, k[each]))
+    ranked = np.lexsort((start[each] + nth, t[each], k[each]))
     prefix = Prefixes(data)
     order = ranked[merge_sorted(data, prefix, suffix[ranked], bucket[ranked], length)]
     same = np.zeros(len(order), bool)
@@ -379,16 +389,31 @@ def repeats(strings: list[bytes], key: np.ndarray, k: np.ndarray, span: np.ndarr
 
 
 def sort_strings(length: int, most: int = 300_000) -> Callable:
-    """Rows (a, k, span, string), all rows of an a together, to the (k, span) of repeats."""
+    """Rows (a, k, t, span, string), all rows of an a together, to the (k, t, span) of repeats."""
+    names = ["k", "t", "span"]
 
-    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        order = np.lexsort([rows.column(c).to_numpy() for c in ("span", "k", "a")])
-        again = [rows.column(c).to_numpy()[order] for c in ("span", "k", "a")]
+        order = np.lexsort([rows.column(c).to_numpy() for c in ("span", "t", "k", "a")])
+        again = [rows.column(c).to_numpy()[order] for c in ("span", "t", "k", "a")]
         new = np.append(True, np.any([x[1:] != x[:-1] for x in again], axis=0))  # a repeated document's once
         rows = rows.take(pa.array(order[new]))
-        key, k, span = (rows.column(c).to_numpy() for c in ("a", "k", "span"))
-        again = repeats(rows.column("string").to_pylist(), key, k, span, length)
+        key, k, t, span = (rows.column(c).to_numpy() for c in ("a", "k", "t", "span"))
+        strings = rows.column("string").to_pylist()
+        # of equal strings the first stands for all; the others repeat it with all their positions
+        seen: set[tuple[int, bytes]] = set()
+        first = np.zeros(len(strings), bool)
+        for i, name in enumerate(zip(key.tolist(), strings, strict=True)):
+            first[i] = name not in seen
+            seen.add(name)
+        same = ~first
+        yield pa.record_batch([pa.array(k[same]), pa.array(t[same]), pa.array(span[same])], names)
+        alone = np.unique(key[first], return_counts=True)
+        some = np.flatnonzero(first & np.isin(key, alone[0][alone[1] > 1]))
+        if not len(some):
+            return
+        key, k, t, span = key[some], k[some], t[some], span[some]
+        again = repeats([strings[i] for i in some.tolist()], key, k, t, span, length)
         start, count, _, _ = unpack(span)
         each = np.repeat(np.arange(len(span)), count)
         own = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
@@ -397,7 +422,8 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
         run[1:] = (hit[1:] != hit[:-1] + 1) | (each[hit[1:]] != each[hit[:-1]])
         begin = np.flatnonzero(run)
         many = np.diff(np.append(begin, len(hit)))
-        return pa.record_batch([pa.array(k[each[hit[begin]]]), pa.array(pack(own[hit[begin]], many))], ["k", "span"])
+        whose = each[hit[begin]]
+        yield pa.record_batch([pa.array(k[whose]), pa.array(t[whose]), pa.array(pack(own[hit[begin]], many))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -406,7 +432,7 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
             known = batch.column("string").is_null().to_numpy(zero_copy_only=False)
             if known.any():
                 some = batch.filter(pa.array(known))
-                yield pa.record_batch([some.column("k"), some.column("span")], ["k", "span"])
+                yield pa.record_batch([some.column(c) for c in names], names)
                 batch = batch.filter(pa.array(~known))
             while batch.num_rows:
                 a = batch.column("a").to_numpy(zero_copy_only=False)
@@ -421,16 +447,17 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
                 fit = change[change <= max(most // 20 - n, 0)]
                 cut = int(fit[-1] if len(fit) else change[0])
                 held.append(batch.slice(0, cut))
-                yield answer([h for h in held if h.num_rows])if any(h.num_rows for h in held) else pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64())], ["k", "span"])
+                if any(h.num_rows for h in held):
+                    yield from answer([h for h in held if h.num_rows])
                 held, n, batch = [], 0, batch.slice(cut)
         if held:
-            yield answer(held)
+            yield from answer(held)
 
     return run
 
 
 def cut_out(length: int) -> Callable:
-    """Batches of (k, text, spans) to the digest of what is left of each text, and to the text itself if asked."""
+    """Batches of (k, t, text, spans) to the digest of what is left of each text, and to the text itself if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,29 +493,32 @@ def cut_out(length: int) -> Callable:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(k, text) of docs, and the (k, span) of all positions that repeat an earlier string."""
+    """(k, t, text) of docs, and the (k, t, span) of all positions that repeat an earlier string. t tells texts of one id apart."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cut = texts.mapInArrow(cut_segments(length, gram), "a long, h long, k long, span long")
-    dealt = cut.repartition("a").sortWithinPartitions("a", "h", "k", "span")
-    first = stored(dealt.mapInArrow(judge_segments(hot), "kind int, a long, k long, span long"), "segments")
+    digest = F.xxhash64("text")
+    several = texts.groupBy("k").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).filter("x < y").select("k", F.lit(True).alias("several"))
+    texts = texts.join(small(stored(several, "segments-ids"), 1_000_000), "k", "left").select("k", F.when(F.col("several"), digest).otherwise(F.lit(0)).alias("t"), "text")
+    cut = texts.mapInArrow(cut_segments(length, gram), "a long, h long, k long, t long, span long")
+    dealt = cut.repartition("a").sortWithinPartitions("a", "h", "k", "t", "span")
+    first = stored(dealt.mapInArrow(judge_segments(hot), "kind int, a long, k long, t long, span long"), "segments")
 
-    found = first.filter(F.col("kind") != REPEAT).groupBy("k").agg(F.collect_list(F.struct("kind", "a", "span")).alias("found"))
-    strings = texts.join(found, "k").mapInArrow(cut_strings(length), "a long, k long, span long, string binary")
-    again = strings.repartition("a").sortWithinPartitions("a").mapInArrow(sort_strings(length), "k long, span long")
-    return texts, first.filter(F.col("kind") == REPEAT).select("k", "span").union(again)
+    found = first.filter(F.col("kind") != REPEAT).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "a", "span")).alias("found"))
+    strings = texts.join(found, ["k", "t"]).mapInArrow(cut_strings(length), "a long, k long, t long, span long, string binary")
+    again = strings.repartition("a").sortWithinPartitions("a").mapInArrow(sort_strings(length), "k long, t long, span long")
+    return texts, first.filter(F.col("kind") == REPEAT).select("k", "t", "span").union(again)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; they can break inside a character).
 
     Null and empty texts have 0 bytes. A null doc_id comes before all others. Rows that repeat a doc_id with its
-    text are one document: each gets that document's result. Where they repeat it with another text, the spans
-    found in either are cut from both, as far as they reach. Texts shorter than `length` stay whole. `length` is at
-    most 127 + gram - 1, a text at most 2^34 bytes.
+    text are one document: each gets that document's result. Different texts of one id are documents of their own, in order of a
+    hash of the text, and each loses its own spans alone. Texts shorter than `length` stay whole. Texts are read whole;
+    `length` is at most 127 + gram - 1, a text at most 2^34 bytes. Other columns of docs aren't read.
     """
     texts, spans = repeated_spans(docs, length, gram, hot)
-    per_doc = spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
-    done = texts.join(per_doc, "k", "left").mapInArrow(cut_out(length), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    per_doc = spans.groupBy("k", "t").agg(F.collect_set("span").alias("spans"))
+    done = texts.join(per_doc, ["k", "t"], "left").mapInArrow(cut_out(length), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
