@@ -85,3 +85,23 @@ def test_components(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     got = {n: c for n, c in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_many_under_one_gram(spark):
+    """A passage that unrelated documents share, with near copies among them; blocks of few members meet as large ones do."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(90):
+        if i % 3:
+            rows.append((i, [*passage, *[f"t{r.randrange(8)}" for _ in range(r.randint(1, 9))]]))
+        else:
+            words = list(rows[r.randrange(len(rows))][1] if rows else passage)
+            words[r.randrange(len(words))] = f"z{i}"
+            rows.append((i, words))
+    texts = {i: " ".join(w) for i, w in rows}
+    want = groups(texts, 4, 85)
+    assert 5 < len(set(want.values())) < 60
+    for block in (3, 1024):
+        got = result(N.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), few=4, in_batch=4, block=block))
+        assert {i: c for i, (_, c) in got.items()} == want

@@ -34,6 +34,8 @@ FREQUENT = 2_000_000
 #: They are counted if so many documents of a batch have them, and in any case in the part of the hash order that
 #: prefixes mostly end in.
 IN_BATCH = 16
+#: Members under a crowded n-gram meet in blocks of about so many.
+BLOCK = 1024
 #: log2 of the number of fragments.
 FRAGMENT_BITS = 3
 #: Stands for a null doc_id, behind all others.
@@ -121,12 +123,6 @@ def index_rows(width: int, percent: int, frequent) -> Callable:
     return run
 
 
-def _fits(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two sets of sizes na, nb can be similar enough if this is the first n-gram in common, at places pa_, pb."""
-    most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-    return 100 * most >= percent * (na + nb - most)
-
-
 PAIR, MEMBER = 0, 1
 
 
@@ -239,19 +235,26 @@ def count_parts() -> Callable:
     return run
 
 
-def worth_counting(met: DataFrame, facts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough. Behind the prefix that ends first, its set has n - p n-grams, and
-    all that the two share before its end is shared by both prefixes: what they share there, plus n - p, must reach the
-    overlap that the sizes call for. Meetings under crowded n-grams aren't counted and taken for granted."""
-    crowded = members.groupBy("k").agg(F.count("*").alias("crowded"))
-    behind = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") - 1
-    known = facts.join(crowded, "k", "left").select("k", "n", "last", F.coalesce("crowded", F.lit(0)).alias("crowded"), behind.alias("behind"))
-    side = lambda x: known.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in known.columns])
-    both = met.groupBy("a", "b").agg(F.sum("n").alias("times")).join(side("a"), "a").join(side("b"), "b")
+def could_reach(times: Column, percent: int) -> Column:
+    """Whether two sets can be similar enough if their prefixes meet `times` under grams with few. Behind the prefix that
+    ends first, its set has n - p n-grams, and all that the two share before its end is shared by both prefixes: what they
+    share there, plus n - p, must reach the overlap that the sizes call for. Meetings under crowded n-grams aren't
+    counted and taken for granted."""
     behind_first = F.when(F.col("last_a") < F.col("last_b"), F.col("behind_a")).when(F.col("last_a") > F.col("last_b"), F.col("behind_b")).otherwise(F.greatest("behind_a", "behind_b"))
-    most = F.col("times") + F.least("crowded_a", "crowded_b") + behind_first
-    most = F.least(most, F.col("n_a"), F.col("n_b"))
-    return both.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+    most = F.least(times + F.least("crowded_a", "crowded_b") + behind_first, F.col("n_a"), F.col("n_b"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def side_of(known: DataFrame, x: str) -> DataFrame:
+    """The columns of one end of a pair: k is named `x`, all others end in it."""
+    return known.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in known.columns])
+
+
+def worth_counting(met: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough."""
+    known = known.drop("rare")
+    both = met.groupBy("a", "b").agg(F.sum("n").alias("times")).join(side_of(known, "a"), "a").join(side_of(known, "b"), "b")
+    return both.filter(could_reach(F.col("times"), percent)).select("a", "b")
 
 
 def linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, per_salt: int = 500) -> DataFrame:
@@ -268,49 +271,53 @@ def linked(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, p
     return whole.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def next_pairs(percent: int, seeds: int) -> Callable:
-    """For the members of one gram (gram, k, n, place, rare, done, component): pairs of those to be tested now with
-    all of other groups that were not tested yet. Tested now: members that hang together with tested ones, and the
-    `seeds` with the fewest rare n-grams of the rest. PAIR rows (a, b), then MEMBER rows of those tested now."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b"]
-
-        def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            gram, k, n, place, rare, done, comp = (t.column(c).to_numpy() for c in ("gram", "k", "n", "place", "rare", "done", "component"))
-            open_ = np.flatnonzero(~done.astype(bool))
-            if not len(open_) or len(np.unique(comp)) < 2:
-                return
-            near = np.isin(comp[open_], np.unique(comp[done.astype(bool)]))
-            now, rest = open_[near], open_[~near]
-            if len(now) and not len(np.setdiff1d(comp[open_], comp[now])) and len(np.unique(comp[open_])) < 2:
-                return
-            ranked = rest[np.lexsort((k[rest], rare[rest]))]
-            now = np.concatenate((now, ranked[:seeds]))
-            later = np.zeros(len(k), bool)
-            later[open_] = True
-            for i in now:
-                later[i] = False
-                j = np.flatnonzero(later & (comp != comp[i]))
-                j = j[_fits(n[i].astype(np.int64), place[i].astype(np.int64), n[j].astype(np.int64), place[j].astype(np.int64), percent)]
-                if len(j):
-                    yield pa.record_batch([pa.array(np.full(len(j), PAIR, np.int32)), pa.array(np.full(len(j), k[i])), pa.array(k[j])], names)
-            yield pa.record_batch([pa.array(np.full(len(now), MEMBER, np.int32)), pa.array(gram[now]), pa.array(k[now])], names)
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            gram = batch.column("gram").to_numpy(zero_copy_only=False)
-            edges = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if held and y > x and held[-1].column("gram")[0].as_py() != gram[x]:
-                    yield from one(pa.Table.from_batches(held))
-                    held = []
-                if y > x:
-                    held.append(batch.slice(x, y - x))
-        if held:
-            yield from one(pa.Table.from_batches(held))
+def asked(state: DataFrame, seeds: int) -> DataFrame:
+    """The members that aren't tested yet of grams whose open members belong to several groups, with now (tested in this
+    round), main (the group with the most open members), n_open and n_rest (open members, those outside the main group).
 
-    return run
+    Tested now: members that hang together with tested ones, and of the rest the one with the fewest rare n-grams in
+    each of `seeds` hash classes. Only counts and minima are taken per gram, so no task gathers a gram's members.
+    """
+    by_group = stored(state.groupBy("gram", "component").agg(F.count(F.when(~F.col("done"), 1)).alias("open"), F.max("done").alias("reached")).filter("open > 0"), "gram-groups")
+    largest = F.max(F.struct("open", "component")).alias("largest")
+    by_gram = by_group.groupBy("gram").agg(F.count("*").alias("groups"), F.sum("open").alias("n_open"), largest).filter("groups > 1")
+    by_gram = stored(by_gram.select("gram", "n_open", F.col("largest.component").alias("main"), (F.col("n_open") - F.col("largest.open")).alias("n_rest")), "gram-totals")
+    near = small(by_group.filter("reached").select("gram", "component", "reached"), 500_000)
+    open_ = state.filter(~F.col("done")).join(small(by_gram, 500_000), "gram").join(near, ["gram", "component"], "left")
+    open_ = stored(open_.withColumn("reached", F.coalesce("reached", F.lit(False))), "gram-open")
+    first = open_.filter(~F.col("reached")).groupBy("gram", F.pmod(F.xxhash64("k"), F.lit(seeds)).alias("_class")).agg(F.min(F.struct("rare", "k")).alias("_first"))
+    seed = first.select("gram", F.col("_first.k").alias("k"), F.lit(True).alias("seed"))
+    chosen = open_.join(seed, ["gram", "k"], "left")
+    return stored(chosen.withColumn("now", F.col("reached") | F.col("seed").isNotNull()).drop("reached", "seed", "done"), "gram-asked")
+
+
+def crossing(these: DataFrame, those: DataFrame, n_these: Column, n_those: Column, block: int) -> DataFrame:
+    """The pairs of these and those under one gram that belong to different groups. Either side is cut into blocks of
+    about `block` members, and a task of the join meets one block of each."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    cut = lambda n: F.pmod(F.xxhash64("k"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    a = side_of(these.withColumn("i", cut(n_these)).withColumn("j", every(n_those)), "a")
+    b = side_of(those.withColumn("j", cut(n_those)).withColumn("i", every(n_these)), "b")
+    return a.join(b, (a.gram_a == b.gram_b) & (a.i_a == b.i_b) & (a.j_a == b.j_b) & (a.component_a != b.component_b))
+
+
+def next_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of the members asked: the pairs (a, b) of those tested now with all of other groups that can be similar enough.
+
+    Two members of different groups aren't both of the main one. So members outside it that are tested now meet all, and
+    those of the main group meet the others alone, however many copies the main group holds. A pair that met under
+    a gram with few was judged there, so that the bound takes no such meeting for granted.
+    """
+    of_main = F.col("component") == F.col("main")
+    rest, main = members.filter(F.col("now") & ~of_main), members.filter(F.col("now") & of_main)
+    outer = crossing(rest, members, F.col("n_rest"), F.col("n_open"), block)
+    outer = outer.filter(~F.col("now_b") | (F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
+    inner = crossing(members.filter(~F.col("now") & ~of_main), main, F.col("n_rest"), F.col("n_open"), block)
+    both = outer.union(inner.select(*outer.columns))
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # if this gram is the first in common
+    fits = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    return both.filter(fits & could_reach(F.lit(0), percent)).select("a", "b").distinct()
 
 
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -329,7 +336,7 @@ def text_key() -> list[Column]:
     return [id_.alias("id"), text.alias("text"), F.xxhash64(id_, text).alias("k")]
 
 
-def labelled_texts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int = FEW, frequent: int = FREQUENT, in_batch: int = IN_BATCH, bits: int = FRAGMENT_BITS) -> DataFrame:
+def labelled_texts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, few: int = FEW, frequent: int = FREQUENT, in_batch: int = IN_BATCH, bits: int = FRAGMENT_BITS, block: int = BLOCK) -> DataFrame:
     """(id, k, n, rep, c, component) of every row of docs: its text's key, its set's size, class and group, and the group's least id.
 
     Rows without n-grams are alone, with a null rep and c.
@@ -351,15 +358,29 @@ def labelled_texts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     holder = F.min(F.when(F.col("prefix").isNotNull(), F.struct("k", "rare", "last"))).alias("holder")
     classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "k")).alias("least"), holder)
     classes = stored(classes.select("h1", "h2", "n", F.col("least.id").alias("id"), F.col("least.k").alias("rep"), F.col("holder.k").alias("holder"), "holder.rare", "holder.last"), "gram-classes")
-    held = rows.filter("prefix IS NOT NULL").select("k", "h1", "h2", "prefix").dropDuplicates(["k", "h1", "h2"])
-    held = held.join(classes.select("h1", "h2", "n", "rep", F.col("holder").alias("k")), ["k", "h1", "h2"])
-    placed = held.select("rep", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", F.col("rep").alias("k"), "n", "place")
-    met = stored(placed.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet(percent, few), "kind int, a long, b long, n int, place int"), "gram-meetings")
+    # prefixes hold the rare n-grams first. Frequent ones are counted before they meet, so that crowded ones never do
+    held = rows.filter("prefix IS NOT NULL").select("k", "h1", "h2", "rare", "prefix")
+    own = classes.select("h1", "h2", "n", "rep", F.col("holder").alias("k"))
+
+    def placed(part: DataFrame) -> DataFrame:
+        one = part.dropDuplicates(["k", "h1", "h2"]).join(own, ["k", "h1", "h2"])
+        return one.select("rep", "n", "first", F.posexplode("prefix").alias("place", "gram")).select("gram", F.col("rep").alias("k"), "n", (F.col("place") + F.col("first")).alias("place"))
+
+    often_ = placed(held.filter(F.size("prefix") > F.col("rare")).withColumn("prefix", F.expr("slice(prefix, rare + 1, size(prefix) - rare)")).withColumn("first", F.col("rare")))
+    often_ = stored(often_, "gram-frequent")
+    seldom = placed(held.withColumn("prefix", F.expr("slice(prefix, 1, rare)")).withColumn("first", F.lit(0)))
+    full = small(stored(often_.groupBy("gram").count().filter(F.col("count") > few).select("gram"), "gram-crowded"), frequent)
+    ready = seldom.union(often_.join(full, "gram", "left_anti"))
+    met = stored(ready.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet(percent, few), "kind int, a long, b long, n int, place int"), "gram-meetings")
 
     facts = classes.groupBy(F.col("rep").alias("k")).agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("last").alias("last"))
-    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("k"), "n", "place")
-    members = stored(members.join(facts.select("k", "rare"), "k").select("gram", "k", "n", "place", "rare"), "gram-members")
-    pairs = stored(worth_counting(met.filter(F.col("kind") == PAIR), facts, members, percent), "gram-pairs")
+    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("k"), "place")
+    members = stored(members.union(often_.join(full, "gram", "left_semi").select("gram", "k", "place")), "gram-crowds")
+    crowded = members.groupBy("k").agg(F.count("*").alias("crowded"))
+    behind = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") - 1
+    known = facts.join(crowded, "k", "left").select("k", "n", "rare", "last", F.coalesce("crowded", F.lit(0)).alias("crowded"), behind.alias("behind"))
+    members = stored(members.join(known, "k"), "gram-members")
+    pairs = stored(worth_counting(met.filter(F.col("kind") == PAIR), known, percent), "gram-pairs")
     sizes = facts.select("k", "n")
     needed = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(members.select("k")).distinct(), "gram-candidates")
     wanted = texts.select("k", "text").join(small(needed, 2_000_000), "k", "left_semi")
@@ -378,13 +399,11 @@ def labelled_texts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         while True:
             state = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
             state = state.withColumn("done", F.lit(False)) if done is None else state.join(done.withColumn("done", F.lit(True)), ["gram", "k"], "left").fillna(False, subset=["done"])
-            asked = state.select("gram", "k", "n", "place", "rare", "done", "component").repartition("gram").sortWithinPartitions("gram")
-            step = stored(asked.mapInArrow(next_pairs(percent, seeds), "kind int, a long, b long"), "gram-steps")
-            tested = step.filter(F.col("kind") == MEMBER).select(F.col("a").alias("gram"), F.col("b").alias("k"))
-            fresh = step.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            step = asked(state, seeds)
+            tested = step.filter("now").select("gram", "k")
             if not tested.limit(1).count():
                 break
-            label = merged(label, linked(stored(fresh, "gram-pairs"), parts, sizes, percent))
+            label = merged(label, linked(stored(next_pairs(step, percent, block), "gram-pairs"), parts, sizes, percent))
             done = tested if done is None else done.union(tested)
             seeds *= 16
     else:
