@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op9_decontamination": decontam.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

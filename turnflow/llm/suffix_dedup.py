@@ -524,3 +524,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Strings are compared by their MD5; texts are cut into pieces first, as long texts are slow to take parts of.
+ORACLE = r"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 598) AS piece, length(h) // 2 - o AS rest FROM h, LATERAL (SELECT unnest(range(0, length(h) // 2 - 99, 200)) AS o)
+), p AS (
+  SELECT doc_id, o + j AS i, row_number() OVER (PARTITION BY md5_number(substr(piece, 2 * j - 1, 200)) ORDER BY doc_id, o + j) > 1 AS again
+  FROM b, LATERAL (SELECT unnest(range(1, least(200, rest - 99) + 1)) AS j)
+), c AS (
+  SELECT doc_id, i AS x, coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) AS before FROM p WHERE again
+), g AS (
+  SELECT doc_id, x, sum(CASE WHEN x > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x) AS span FROM c
+), s AS (
+  SELECT doc_id, span, min(x) AS f, max(x) + 99 AS t FROM g GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(t - f + 1) AS n_removed FROM s GROUP BY doc_id
+), e AS (
+  SELECT doc_id, span, f, t, lag(t, 1, 0) OVER (PARTITION BY doc_id ORDER BY f) AS since, lead(f) OVER (PARTITION BY doc_id ORDER BY f) AS next FROM s
+), o AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (f - since - 1)) || CASE WHEN next IS NULL THEN substr(h, 2 * t + 1) ELSE '' END, '' ORDER BY f) AS kept FROM e JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
