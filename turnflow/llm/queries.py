@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnflow.llm import cotraining, decontam, html_text, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, urls
+from turnflow.llm import alignment, cotraining, decontam, html_text, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": cotraining.op8_quality_classifier,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
 }
 
 ORACLES = {
