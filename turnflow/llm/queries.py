@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnflow.llm import alignment, cotraining, decontam, html_text, mixing, ngram_join, personal_data, quality_rules, sharding, suffix_dedup, toxicity, urls
+from turnflow.llm import alignment, cotraining, decontam, html_text, mixing, ngram_join, personal_data, quality_rules, sharding, spelling, suffix_dedup, toxicity, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_personal_data": personal_data.op13_personal_data,
 }
 
