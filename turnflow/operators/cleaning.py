@@ -50,8 +50,8 @@ def cast_flags(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
     return _each(df, flags, lambda x: F.coalesce(number(x).try_cast("int"), F.lit(0)))
 
 
-def clean_flights(raw: DataFrame, carriers: Sequence[str] = CARRIERS) -> DataFrame:
-    """All of the above; calendar columns become ints, delays doubles."""
-    df, _ = select_keep_columns(filter_carriers(raw, carriers))
+def clean_flights(raw: DataFrame, carriers: Sequence[str] = CARRIERS, beside: Sequence[str] = ()) -> DataFrame:
+    """All of the above; calendar columns become ints, delays doubles. Columns named in `beside` stay as they are."""
+    df, _ = select_keep_columns(filter_carriers(raw, carriers), (*KEEP, *beside))
     df = cast_flags(trim_codes(parse_flight_date(cast_nullable_ints(fill_delay_causes(df)))))
     return _each(_each(df, CALENDAR, lambda x: number(x).try_cast("int")), DELAYS, number)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnflow.functions.when import local_hhmm, localize_to_utc, plus_minutes
@@ -13,8 +13,18 @@ def attach_timezones(flights: DataFrame, airports: DataFrame) -> DataFrame:
     return flights.join(zone("Origin", "origin_tz"), "Origin", "left").join(zone("Dest", "dest_tz"), "Dest", "left")
 
 
+def without_timezone() -> Column:
+    """Of attached flights, how many ends have no zone."""
+    return F.count_if(F.col("origin_tz").isNull()) + F.count_if(F.col("dest_tz").isNull())
+
+
+def codes_without_timezone() -> dict[str, Column]:
+    """The distinct airports of attached flights that have no zone, at either end."""
+    return {f"no_{end}": F.collect_set(F.when(F.col(zone).isNull(), F.col(code))) for end, zone, code in (("origin", "origin_tz", "Origin"), ("dest", "dest_tz", "Dest"))}
+
+
 def missing_timezone_count(attached: DataFrame) -> DataFrame:
-    return attached.agg((F.count_if(F.col("origin_tz").isNull()) + F.count_if(F.col("dest_tz").isNull())).alias("missing_timezones"))
+    return attached.agg(without_timezone().alias("missing_timezones"))
 
 
 def scheduled_utc(attached: DataFrame) -> DataFrame:
@@ -38,8 +48,12 @@ def enrich_flights(flights: DataFrame, airports: DataFrame, rollover: bool = Fal
     return actual_utc(scheduled_utc(attach_timezones(flights, airports)), rollover)
 
 
-def arrival_reconciliation(enriched: DataFrame) -> DataFrame:
+def reconciled() -> dict[str, Column]:
     """How many arrivals, turned back to local HHMM, equal the reported ArrTime."""
     back = local_hhmm(F.col("ArrTimestampUTC"), F.col("dest_tz"))
     both = back.isNotNull() & F.col("ArrTime").isNotNull()
-    return enriched.agg(F.count_if(both).alias("checked"), F.count_if(both & (back == F.col("ArrTime"))).alias("matching"), F.count_if(both & (back != F.col("ArrTime"))).alias("mismatching"))
+    return {"checked": F.count_if(both), "matching": F.count_if(both & (back == F.col("ArrTime"))), "mismatching": F.count_if(both & (back != F.col("ArrTime")))}
+
+
+def arrival_reconciliation(enriched: DataFrame) -> DataFrame:
+    return enriched.agg(*[c.alias(name) for name, c in reconciled().items()])

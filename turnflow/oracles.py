@@ -159,6 +159,9 @@ _ID = "Flight_Number_Reporting_Airline AS flight_number"
 _FOCUS_ROUTES = "(origin = 'N01' OR dest = 'N01' OR (origin = 'N00' AND dest = 'N02'))"
 
 ENDINGS = {
+    "read_ontime": f"SELECT {_ID}, CAST(Year AS VARCHAR) AS Year, CAST(Month AS VARCHAR) AS Month, Tail_Number, Reporting_Airline, Origin, Dest, DepTime, CASE WHEN Month % 3 < 2 THEN DepDelay END AS DepDelay, ArrDelayMinutes FROM allf",
+    "load_months": "SELECT Year, Month, Reporting_Airline, count(*) AS flights, count(*) AS entered FROM flights GROUP BY ALL",
+    "rebuild_table": "SELECT iata, tz_name, lat, lon, name, city FROM ref WHERE iata < 'N12'",
     "append_new_months": f"SELECT {_ID}, Year, Month, Reporting_Airline FROM flights WHERE NOT (Month % 2 = 0 OR Reporting_Airline = 'UA' AND Month % 3 = 0)",
     "filter_carriers": f"SELECT {_ID}, Reporting_Airline FROM allf WHERE Reporting_Airline IN ('DL', 'UA')",
     "select_keep_columns": "SELECT count(*) AS row_count, CAST(28 AS BIGINT) AS n_kept, CAST(14 AS BIGINT) AS n_missing FROM allf",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnflow.constants import DRAWS, KEEP
 from turnflow.functions.numbers import bucket_bounds, delay_bucket
-from turnflow.functions.stage import stored
+from turnflow.functions.stage import shared_dir, stored
 from turnflow.functions.when import hhmm_split, local_hhmm, minutes_between
 from turnflow.jobs.flow import utc
 from turnflow.operators import airports as A
@@ -23,7 +24,9 @@ from turnflow.operators import simulate as M
 from turnflow.operators import stats as T
 from turnflow.oracles import ENDINGS, oracle
 from turnflow.sources import derived
-from turnflow.sources.ontime import append_new_months
+from turnflow.sources.ledger import ledger, load_files
+from turnflow.sources.ontime import append_new_months, read_ontime
+from turnflow.sources.tables import rebuild_table, require_tables
 
 CLEAN = [c for c in KEEP if c not in ("DayOfWeek", "OriginCityName", "OriginState", "DestCityName", "DestState", "DepDel15", "ArrDel15", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn", "CancellationCode", "AirTime", "Distance")]
 TIMES = ("CRSDepTimestampUTC", "CRSArrTimestampUTC", "DepTimestampUTC", "ArrTimestampUTC")
@@ -213,11 +216,55 @@ def _bounds(t: Tables) -> DataFrame:
     return out.select("bucket", "bucket_low", "bucket_high", F.coalesce("legs", F.lit(0)).alias("legs"))
 
 
+def _folder(t: Tables, name: str) -> str:
+    """A new folder that all executors see."""
+    return f"{shared_dir(t.spark)}/turnflow/{name}-{uuid.uuid4().hex}"
+
+
+def _exports(t: Tables) -> str:
+    """The raw records as monthly exports of three layouts: as they are, the other way round, and without a few columns."""
+    raw, folder = t.raw, _folder(t, "exports")
+    layouts = (raw.columns, raw.columns[::-1], [c for c in sorted(raw.columns) if c not in ("DepDelay", "ArrDelay", "Unnamed: 109")])
+    for k, columns in enumerate(layouts):
+        part = raw.filter(F.col("Month").cast("int") % len(layouts) == k).select(*columns)
+        part.write.mode("append").option("header", True).csv(folder)
+    return folder
+
+
+def _read(t: Tables) -> DataFrame:
+    df = C.cast_nullable_ints(read_ontime(t.spark, _exports(t)))
+    return df.select(ID(), "Year", "Month", F.trim("Tail_Number").alias("Tail_Number"), "Reporting_Airline", "Origin", "Dest", "DepTime", F.col("DepDelay").cast("double").alias("DepDelay"), F.col("ArrDelayMinutes").cast("double").alias("ArrDelayMinutes"))
+
+
+def _loads(t: Tables) -> DataFrame:
+    """Even months first, then everything twice: what the table and its ledger have in the end."""
+    exports, flights = _exports(t), f"{_folder(t, 'flights')}/flights"
+    early = t.raw.filter("CAST(Month AS INT) % 2 = 0")
+    early.write.option("header", True).csv(f"{flights}-early")
+    for paths in (f"{flights}-early", exports, exports):
+        load_files(t.spark, paths, flights)
+    entered = ledger(t.spark, flights).select(F.explode("months").alias("m")).groupBy("m.Year", "m.Month", "m.Reporting_Airline").agg(F.sum("m.rows").alias("entered"))
+    there = t.spark.read.parquet(flights).groupBy("Year", "Month", "Reporting_Airline").agg(F.count("*").alias("flights"))
+    return there.join(entered, ["Year", "Month", "Reporting_Airline"], "full")
+
+
+def _rebuilt(t: Tables) -> DataFrame:
+    """A table written, replaced by a version made of itself, checked and read."""
+    folder = _folder(t, "tables")
+    rebuild_table(t.airports, f"{folder}/airport_timezones", files=1)
+    rebuild_table(t.spark.read.parquet(f"{folder}/airport_timezones").filter("iata < 'N12'"), f"{folder}/airport_timezones")
+    require_tables(t.spark, folder, ["airport_timezones"])
+    return t.spark.read.parquet(f"{folder}/airport_timezones")
+
+
 def _column(name: str) -> Callable[[Tables], DataFrame]:
     return lambda t: t.effects.select("flight_number", name)
 
 
 MAKE: dict[str, Callable[[Tables], DataFrame]] = {
+    "read_ontime": _read,
+    "load_months": _loads,
+    "rebuild_table": _rebuilt,
     "append_new_months": _append,
     "filter_carriers": lambda t: C.cast_nullable_ints(C.filter_carriers(t.raw)).select(ID(), "Reporting_Airline"),
     "select_keep_columns": _keep,

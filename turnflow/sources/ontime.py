@@ -1,72 +1,83 @@
-"""Readers and writers: monthly records, the airport reference, idempotent appends, rebuilt tables."""
+"""Readers of monthly records and of the airport reference, and appends by month."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnflow.operators.cleaning import clean_flights
-
 MONTH = ("Year", "Month", "Reporting_Airline")
 AIRPORT_FILE = "airport_id long, name string, city string, country string, iata string, icao string, lat double, lon double, alt double, utc_offset string, dst string, tz_name string, type string, source string"
+#: Larger than any file: with it each file is one task.
+WHOLE = str(1 << 50)
 
 
-def read_ontime(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """CSV exports with a header, all text. Paths whose headers differ are read apart and joined by column name."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    files = [spark.read.option("header", True).option("mode", "PERMISSIVE").csv(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
+def literal(path: str) -> str:
+    """A path as a pattern that only it fits."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def read_airport_reference(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AIRPORT_FILE).option("header", False).option("nullValue", "\\N").csv(path)
+def _decoded(path):
+    """The path that Spark's metadata column gives in URL encoding."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def listed_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file, length of all files at the paths; none is read."""
+    return spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select(F.col("path").alias("file"), "length")
+
 
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file, header: the first line of each file that has one. Each file is a task of its own, which ends after that line."""
+    apart = spark.newSession()
+    for setting, value in (("files.maxPartitionBytes", WHOLE), ("files.openCostInBytes", WHOLE), ("execution.arrow.maxRecordsPerBatch", "1")):
+        apart.conf.set(f"spark.sql.{setting}", value)
 
-def append_new_months(new: DataFrame, loaded: DataFrame) -> DataFrame:
-    """The rows of months and carriers that aren't loaded yet. loaded: distinct keys, a row per month and carrier."""
-    keys = loaded.select(*MONTH).distinct()
-    return new.join(keys, list(MONTH), "left_anti")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
 
+    lines = apart.read.text([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+    line = F.regexp_replace("header", "^﻿|\r$", "")
+    return lines.mapInArrow(first, "file string, header string").select(_decoded(F.col("file")).alias("file"), line.alias("header"))
 
-def load_months(spark: SparkSession, paths: str | Sequence[str], flights: str) -> int:
-    """Cleans raw files and appends what is new to the table at `flights`; returns the number of new rows."""
-    clean = clean_flights(read_ontime(spark, paths))
-    try:
-        clean = append_new_months(clean, spark.read.parquet(flights))
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    n = clean.persist().count()
-    if n:
-        clean.write.mode("append").partitionBy("Year", "Month").parquet(flights)
-    clean.unpersist()
-    return n
 
+def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
+    """The distinct headers, in order, with their files. Spark's own readers keep the list of files on the driver too."""
+    groups = headers(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted((r.header, r.files) for r in groups.collect())
 
-def rebuild_table(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Replaces a derived table as a whole; small ones go into so many files."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
 
+def read_group(spark: SparkSession, files: Sequence[str], source: str | None = None) -> DataFrame:
+    """CSV files of one header, all text; a file with another one is an error. With `source`, a column of that name has each row's file."""
+    df = spark.read.option("header", True).option("enforceSchema", False).csv([literal(f) for f in files])
+    return df.withColumn(source, _decoded(F.col("_metadata.file_path"))) if source else df
 
-def export_bundle(tables: Mapping[str, DataFrame], folder: str) -> None:
-    for name, df in tables.items():
-        rebuild_table(df, f"{folder}/{name}", files=1)
 
+def read_ontime(spark: SparkSession, paths: str | Sequence[str], source: str | None = None) -> DataFrame:
+    """CSV exports with a header, all text: files, folders or patterns. Columns are joined by name: files are grouped by their own headers,
+    each group is read once, and columns that a group lacks are null in its rows."""
+    groups = header_groups(spark, paths)
+    if not groups:
+        raise ValueError(f"no file with a header in {paths}")
+    return read_groups(spark, groups, source)
 
-def require_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> None:
-    """Fails with the names of all tables that can't be read."""
-    missing = []
-    for name in names:
-        try:
-            spark.read.parquet(f"{folder}/{name}").schema  # noqa: B018
-        except Exception:
-            missing.append(name)
-    if missing:
-        raise RuntimeError(f"missing tables in {folder}: {', '.join(missing)}")
+
+def read_groups(spark: SparkSession, groups: Sequence[tuple[str, list[str]]], source: str | None = None) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_group(spark, files, source) for _, files in groups])
+
+
+def read_airport_reference(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AIRPORT_FILE).option("header", False).option("nullValue", "\\N").csv(path)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.filter(F.lit(False))
+def append_new_months(new: DataFrame, loaded: DataFrame, keys: Sequence[str] = MONTH) -> DataFrame:
+    """The rows of months and carriers that aren't loaded yet. loaded: distinct keys, a row per month and carrier. Null keys equal one another."""
+    there = loaded.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return new.join(there, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
