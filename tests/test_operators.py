@@ -175,9 +175,9 @@ def test_paths_and_simulation(spark):
     summary = M.summarize_stops(sim)
     assert {(r.path_id, r.hop): (r.p50, r.p_over_30) for r in summary.collect()} == {(1, 1): (43.0, 1.0), (2, 1): (7.0, 0.0), (5, 1): (7.0, 0.0)}
     assert {r.path_id: r.fallback_stops for r in M.fallback_hops(summary).collect()} == {2: ["CCC"], 5: ["AAA"]}
-    far = M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, sent_pools=0)  # pools joined to the legs
+    far = M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, sent_bytes=0)  # pools dealt to groups of paths
     assert {r.path_id: r.stops for r in far.collect()} == got
-    brief = {r.path_id: r.stops for r in M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, keep="percentiles", sent_pools=0).collect()}
+    brief = {r.path_id: r.stops for r in M.simulate_paths(paths, nodes, edges, net_n, net_e, 16, keep="percentiles", sent_bytes=0).collect()}
     assert [(s.p10, s.p50, s.p90, s.mean, s.p_over_30) for s in brief[1]] == [(43.0, 43.0, 43.0, 43.0, 1.0)] and brief[3] is None
     assert sorted(r.label for r in M.fan_table(sim, summary).filter("path_id = 1").collect()) == ["0. AAA", "1. BBB"]
 

@@ -1,10 +1,10 @@
 """Monte Carlo delays along a table of paths.
 
 Two requests for one path whose start delays lie in one bucket have the same draws, so each (path, start bucket) is
-simulated once and joined back. Spark deals out this work; inside a task a path is walked hop by hop on a vector of
-draws: bucket of each, draw of an index, value. Neither the plan nor what other paths carry grows with the longest path.
-Pools go to the tasks whole while they are few (a row per route or airport, `POOL_CAP` values a bucket); beyond that
-they are joined to the legs, and it is pools that shuffle, never draws.
+simulated once and joined back. Spark deals out this work by its cost, draws times hops, whatever its bytes; inside a task a path
+is walked hop by hop on a vector of draws: bucket of each, draw of an index, value. Neither the plan nor what other paths carry grows
+with the longest path. Only pools of legs in use are read. They go to the tasks whole up to `SENT_BYTES`; beyond that paths are
+gathered by their first leg, a hot one in parts, and each group gets the pools of its own legs, once each: it is pools that shuffle, never draws.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ from turnflow.constants import BUCKETS, DRAWS, LATE_BY
 from turnflow.functions.numbers import PRIME, ROUNDS, delay_bucket, sorted_percentile
 from turnflow.functions.stage import stored
 
-#: Up to so many rows of pools, 5 x `POOL_CAP` whole numbers each, are sent to every task.
-SENT_POOLS = 20_000
+#: Pools of up to so many bytes are sent to every task.
+SENT_BYTES = 32 << 20
+#: Draws times hops that a task takes, and legs of the paths that share pools, at about 20 KB a pool.
+TASK_STEPS, GROUP_LEGS = 20_000_000, 2000
+#: Up to so many known airports are checked as one set, which is sent to the tasks.
+KNOWN_SENT = 10_000
 NAMES = [b[0] for b in BUCKETS]
 HIGHS = np.array([b[2] for b in BUCKETS[:-1]])
 STOP = "hop int, airport string, origin string, {}, used_route_fallback boolean, used_thin_pool boolean"
@@ -33,11 +38,17 @@ def parse_path(text: Column) -> Column:
     return F.filter(F.split(F.upper(F.trim(text)), r"[,\->→\s]+"), lambda x: x != "")
 
 
-def validate_path(paths: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds unknown_codes and is_valid: two airports at least, all of them known. known has one row per airport."""
-    bad = paths.select("path_id", F.explode("path").alias("code")).join(known.select(F.col("airport").alias("code")).distinct(), "code", "left_anti")
-    bad = bad.groupBy("path_id").agg(F.array_sort(F.collect_set("code")).alias("_bad"))
-    out = paths.join(bad, "path_id", "left").withColumn("unknown_codes", F.coalesce("_bad", F.array().cast("array<string>"))).drop("_bad")
+def validate_path(paths: DataFrame, known: DataFrame, sent: int = KNOWN_SENT) -> DataFrame:
+    """Adds unknown_codes and is_valid: two airports at least, all of them known. known has a row per airport, or several. What is unknown depends on a
+    row's own path alone, so requests may share a path_id."""
+    codes = known.select(F.col("airport").alias("code")).distinct()
+    if codes.limit(sent + 1).count() <= sent:
+        one = codes.agg(F.collect_set("code").alias("_known"))
+        out = paths.crossJoin(F.broadcast(one)).withColumn("unknown_codes", F.array_sort(F.array_except("path", "_known"))).drop("_known")
+    else:
+        each = paths.select("path").distinct()
+        bad = each.select("path", F.explode("path").alias("code")).join(codes, "code", "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("code")).alias("_bad"))
+        out = paths.join(bad, "path", "left").withColumn("unknown_codes", F.coalesce("_bad", F.array().cast("array<string>"))).select(*paths.columns, "unknown_codes")
     return out.withColumn("is_valid", (F.size("path") >= 2) & (F.size("unknown_codes") == 0))
 
 
@@ -66,8 +77,18 @@ def by_bucket(dist: DataFrame, keys: tuple[str, ...], samples: str) -> DataFrame
     )
 
 
-def as_pools(pools: list | None, thin: list | None) -> Pools:
-    return NO_POOLS if pools is None else ([np.array(p, np.int32) for p in pools], thin)
+def keyed_pools(rows: pa.Table, keys: tuple[str, ...]) -> dict[tuple, Pools]:
+    """Pools by key, as views of the columns."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return {}
+    lists = rows["pools"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    inner = lists.flatten()
+    values, ends = inner.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(inner).to_numpy())))
+    n = len(BUCKETS)
+    pools = ([values[ends[k] : ends[k + 1]] for k in range(n * i, n * i + n)] for i in range(rows.num_rows))
+    return {key: (own, thin) for key, own, thin in zip(zip(*(rows[k].to_pylist() for k in keys), strict=True), pools, rows["thin"].to_pylist(), strict=True)}
 
 
 def numbers(number: int, hop: int, step: int, n: int) -> np.ndarray:
@@ -132,36 +153,66 @@ def summary(values: np.ndarray) -> list[float]:
     return [*[percentile(v, q) for q in (0.1, 0.5, 0.9)], int(v.sum(dtype=np.int64)) / len(v), *[int((v > t).sum()) / len(v) for t in LATE_BY]]
 
 
-def walk_rows(sent, over: tuple[list, list], draws: int, keep: str) -> Callable:
-    """Batches of (path, bucket_no, number) and, unless pools are sent, legs: array of (hop, edge and node pools), to (path, bucket_no, stops)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, nodes = sent.value if sent is not None else ({}, {})
-        for big in batches:
-            for at in range(0, big.num_rows, 64):
-                batch = big.slice(at, 64)
-                paths, starts, ids = (batch.column(c).to_pylist() for c in ("path", "bucket_no", "number"))
-                legs = batch.column("legs").to_pylist() if sent is None else None
-                stops = []
-                for i, path in enumerate(paths):
-                    if legs is None:
-                        edge, node = (lambda h, p=path: edges.get((p[h - 1], p[h]), NO_POOLS)), (lambda h, p=path: nodes.get(p[h], NO_POOLS))
-                    else:
-                        mine = {x["hop"]: x for x in legs[i]}
-                        edge, node = (lambda h, m=mine: as_pools(m[h]["edge"], m[h]["edge_thin"])), (lambda h, m=mine: as_pools(m[h]["node"], m[h]["node_thin"]))
-                    rows = []
-                    for hop, value, there, fallback, thin, turned, still in walk(path, starts[i], ids[i], edge, node, over, draws):
-                        if keep != "percentiles":
-                            told = {"draws": pa.array(value, mask=~there), "turned": pa.array(turned, mask=~still) if keep == "turns" else None}
-                        elif there.all():
-                            told = dict(zip((c.split()[0] for c in KEEPS[keep].split(", ")), summary(value), strict=True))
-                        else:
-                            continue
-                        rows.append({"hop": hop, "airport": path[hop], "origin": path[hop - 1], **told, "used_route_fallback": fallback, "used_thin_pool": thin})
-                    stops.append(rows)
-                yield pa.record_batch([batch.column("path"), batch.column("bucket_no"), stop_lists(stops, keep)], ["path", "bucket_no", "stops"])
-
-    return run
+def walked(batch: pa.RecordBatch | pa.Table, edges: dict, nodes: dict, over: tuple[list, list], draws: int, keep: str) -> Iterator[pa.RecordBatch]:
+    """(path, bucket_no, number) to (path, bucket_no, stops), a few at once."""
+    for at in range(0, batch.num_rows, 64):
+        some = batch.slice(at, 64)
+        stops = []
+        for path, start, number in zip(*(some.column(c).to_pylist() for c in ("path", "bucket_no", "number")), strict=True):
+            edge, node = (lambda h, p=path: edges.get((p[h - 1], p[h]), NO_POOLS)), (lambda h, p=path: nodes.get((p[h],), NO_POOLS))
+            rows = []
+            for hop, value, there, fallback, thin, turned, still in walk(path, start, number, edge, node, over, draws):
+                if keep != "percentiles":
+                    told = {"draws": pa.array(value, mask=~there), "turned": pa.array(turned, mask=~still) if keep == "turns" else None}
+                elif there.all():
+                    told = dict(zip((c.split()[0] for c in KEEPS[keep].split(", ")), summary(value), strict=True))
+                else:
+                    continue
+                rows.append({"hop": hop, "airport": path[hop], "origin": path[hop - 1], **told, "used_route_fallback": fallback, "used_thin_pool": thin})
+            stops.append(rows)
+        one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        path = one(some.column("path"))
+        yield pa.record_batch([path, one(some.column("bucket_no")), stop_lists(stops, keep)], ["path", "bucket_no", "stops"])
+
+
+def legs_of(work: DataFrame) -> DataFrame:
+    """The legs of paths: origin, dest, and whether a turn follows at dest."""
+    hop = F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_hop")
+    return work.select("*", hop).select(*work.columns, F.get("path", F.col("_hop") - 1).alias("origin"), F.get("path", F.col("_hop")).alias("dest"), (F.col("_hop") + 1 < F.size("path")).alias("turns"))
+
+
+def dealt(work: DataFrame, draws: int, per_task: int = TASK_STEPS) -> DataFrame:
+    """A stored table of paths in as many even parts as their draws and hops call for, and at least, while there are rows, two for each core."""
+    n, hops = work.agg(F.count("*"), F.coalesce(F.sum(F.size("path") - 1), F.lit(0))).first()
+    return work.repartition(max(1, min(n, max(2 * work.sparkSession.sparkContext.defaultParallelism, -(-hops * draws // per_task)))))
+
+
+def pool_bytes(pools: DataFrame) -> int:
+    """Bytes of stored pools, each list counted as so many numbers and a little more."""
+    size = F.aggregate("pools", F.lit(200).cast("long"), lambda n, p: n + 4 * F.size(p) + 100)
+    return pools.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def grouped_walk(work: DataFrame, edges: DataFrame, nodes: DataFrame, over: tuple[list, list], draws: int, keep: str, schema: str, group_legs: int) -> DataFrame:
+    """Paths gathered by their first leg, of about `group_legs` legs in all, beside the pools of their legs, once for each group."""
+    lead = [F.get("path", k).alias(f"_lead{k}") for k in (0, 1)]
+    parts = work.groupBy(*lead).agg(F.ceil(F.sum(F.size("path") - 1) / group_legs).alias("_parts"))
+    in_groups = work.select("*", *lead).join(parts, ["_lead0", "_lead1"])
+    in_groups = in_groups.select("path", "bucket_no", "number", F.xxhash64("_lead0", "_lead1", F.pmod(F.xxhash64("path", "bucket_no"), F.col("_parts"))).alias("group"))
+    in_groups = stored(in_groups, "path-groups")
+    used = legs_of(in_groups.select("path", "group")).select("group", "origin", "dest", "turns")
+    of_edges = used.select("group", "origin", "dest").distinct().join(edges, ["origin", "dest"])
+    of_nodes = used.filter("turns").select("group", F.col("dest").alias("airport")).distinct().join(nodes, "airport")
+    pools = of_edges.select(F.col("group").alias("of_group"), "origin", "dest", "pools", "thin").unionByName(of_nodes.select(F.col("group").alias("of_group"), F.lit(None).cast("string").alias("origin"), F.col("airport").alias("dest"), "pools", "thin"))
+
+    def run(paths: pa.Table, own: pa.Table) -> pa.Table:
+        if not paths.num_rows:
+            return pa.table({"path": pa.array([], pa.list_(pa.string())), "bucket_no": pa.array([], pa.int32()), "stops": stop_lists([], keep)})
+        turn = pc.is_null(own["origin"])
+        edge, node = keyed_pools(own.filter(pc.invert(turn)), ("origin", "dest")), keyed_pools(own.filter(turn), ("dest",))
+        return pa.Table.from_batches(list(walked(paths, edge, node, over, draws, keep)))
+
+    return in_groups.groupBy("group").cogroup(pools.groupBy("of_group")).applyInArrow(run, schema)
 
 
 def stop_lists(stops: list[list[dict]], keep: str) -> pa.Array:
@@ -181,7 +232,7 @@ def stop_lists(stops: list[list[dict]], keep: str) -> pa.Array:
 
 
 def simulate_paths(
-    paths: DataFrame, node_dist: DataFrame, edge_dist: DataFrame, network_node: DataFrame, network_edge: DataFrame, draws: int = DRAWS, keep: str = "draws", sent_pools: int = SENT_POOLS
+    paths: DataFrame, node_dist: DataFrame, edge_dist: DataFrame, network_node: DataFrame, network_edge: DataFrame, draws: int = DRAWS, keep: str = "draws", sent_bytes: int = SENT_BYTES, group_legs: int = GROUP_LEGS
 ) -> DataFrame:
     """paths with stops: array of (hop, airport, origin, draws or percentiles, used_route_fallback, used_thin_pool).
 
@@ -193,17 +244,18 @@ def simulate_paths(
     number_of = F.create_map(*[x for i, b in enumerate(NAMES) for x in (F.lit(b), F.lit(i))])
     asked = paths.withColumn("_bucket", delay_bucket(F.col("start_delay")))
     work = asked.filter((F.size("path") >= 2) & F.col("_bucket").isNotNull()).select("path", F.col("_bucket").alias("bucket")).distinct()
-    work = work.select("path", F.element_at(number_of, F.col("bucket")).alias("bucket_no"), path_number(F.col("path"), F.col("bucket")).alias("number"))
-    edges, nodes = stored(by_bucket(edge_dist, ("origin", "dest"), "arr_delay_samples"), "edge-pools"), stored(by_bucket(node_dist, ("airport",), "dep_delay_samples"), "node-pools")
+    work = stored(work.select("path", F.element_at(number_of, F.col("bucket")).alias("bucket_no"), path_number(F.col("path"), F.col("bucket")).alias("number")), "path-work")
+    legs = legs_of(work.select("path"))
+    edges = edge_dist.join(legs.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")
+    nodes = node_dist.join(legs.filter("turns").select(F.col("dest").alias("airport")).distinct(), "airport", "left_semi")
+    edges, nodes = stored(by_bucket(edges, ("origin", "dest"), "arr_delay_samples"), "edge-pools"), stored(by_bucket(nodes, ("airport",), "dep_delay_samples"), "node-pools")
     over = tuple([np.array(pools.get(b) or [], np.int32) for b in NAMES] for pools in ({r["bucket"]: r[s] for r in d.select("bucket", s).collect()} for d, s in ((network_edge, "arr_delay_samples"), (network_node, "dep_delay_samples"))))
-    sent = None
-    if edges.count() + nodes.count() <= sent_pools:
-        sent = spark.sparkContext.broadcast(({(r.origin, r.dest): as_pools(r.pools, r.thin) for r in edges.collect()}, {r.airport: as_pools(r.pools, r.thin) for r in nodes.collect()}))
+    schema = f"path array<string>, bucket_no int, stops array<struct<{', '.join(c.replace(' ', ':', 1) for c in STOP.format(KEEPS[keep]).split(', '))}>>"
+    if pool_bytes(edges) + pool_bytes(nodes) <= sent_bytes:
+        sent = spark.sparkContext.broadcast((keyed_pools(edges.toArrow(), ("origin", "dest")), keyed_pools(nodes.toArrow(), ("airport",))))
+        found = dealt(work, draws).mapInArrow(lambda batches: (out for batch in batches for out in walked(batch, *sent.value, over, draws, keep)), schema)
     else:
-        legs = work.select("path", "bucket_no", "number", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("hop")).withColumns({"origin": F.get("path", F.col("hop") - 1), "dest": F.get("path", F.col("hop"))})
-        legs = legs.join(edges.withColumnsRenamed({"pools": "edge", "thin": "edge_thin"}), ["origin", "dest"], "left").join(nodes.withColumnsRenamed({"airport": "dest", "pools": "node", "thin": "node_thin"}), "dest", "left")
-        work = legs.groupBy("path", "bucket_no", "number").agg(F.collect_list(F.struct("hop", "edge", "edge_thin", "node", "node_thin")).alias("legs"))
-    found = work.mapInArrow(walk_rows(sent, over, draws, keep), f"path array<string>, bucket_no int, stops array<struct<{', '.join(c.replace(' ', ':', 1) for c in STOP.format(KEEPS[keep]).split(', '))}>>")
+        found = grouped_walk(work, edges, nodes, over, draws, keep, schema, group_legs)
     found = found.withColumnsRenamed({"path": "_path", "bucket_no": "_no"})
     return asked.join(found, (F.col("path") == F.col("_path")) & (F.element_at(number_of, F.col("_bucket")) == F.col("_no")), "left").select(*paths.columns, "stops")
 
