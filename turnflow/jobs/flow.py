@@ -53,8 +53,10 @@ def propagate(spark: SparkSession, folder: str, null_tail: str = "isolate") -> D
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     enriched, seen = observed(enrich.enrich_flights(read("flights"), read("airport_timezones")), **enrich.reconciled(), **enrich.codes_without_timezone(), missing_timezones=enrich.without_timezone())
     rebuild_table(enriched, f"{folder}/flights_enriched")
-    effects = rotation.with_effects(rotation.chained_legs(read("flights_enriched"), null_tail))
-    rebuild_table(effects, f"{folder}/chained_legs")
+    segments = int(spark.conf.get("spark.sql.shuffle.partitions")) if null_tail == "chain" else None
+    with stage_scope(spark):
+        effects = rotation.with_effects(rotation.chained_legs(read("flights_enriched"), null_tail, segments))
+        rebuild_table(effects, f"{folder}/chained_legs")
     min_turn = rotation.min_turn_blend(rotation.operational_turns(read("chained_legs")))
     rebuild_table(rotation.with_buffers(read("chained_legs"), min_turn).select(*rotation.PROPAGATION), f"{folder}/flights_propagation")
     rebuild_table(stats.airport_stats(read("flights_propagation")), f"{folder}/airport_stats", files=1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnflow.constants import MAX_TURN, MIN_TURN, MIN_TURN_SAMPLES, MIN_TURN_SHARE
 from turnflow.functions.when import minutes_between, operating_day
+from turnflow.operators.segments import SEGMENT, in_segments, lagged, running
 
 #: Equal departure times are taken in this order.
 IN_TIME = ("DepTimestampUTC", "Flight_Number_Reporting_Airline", "Origin", "Dest")
@@ -28,16 +29,20 @@ def completed_legs(enriched: DataFrame) -> DataFrame:
     return enriched.filter("Cancelled = 0 AND Diverted = 0 AND DepTimestampUTC IS NOT NULL AND ArrTimestampUTC IS NOT NULL")
 
 
-def previous_leg(completed: DataFrame, null_tail: str = "chain") -> DataFrame:
+def previous_leg(completed: DataFrame, null_tail: str = "chain", segments: int | None = None) -> DataFrame:
     """Adds the last leg's values and the operating day. Legs without a tail number count as one aircraft with
-    'chain'; with 'isolate' each is a start of its own and they don't meet in one task."""
+    'chain'; with 'isolate' each is a start of its own and they don't meet in one task. No aircraft flies enough legs to burden a task, but those without a
+    number may: with `segments` they are chained in so many ranges of time, to the same result, and keep the number of theirs in `_segment`."""
     w = Window.partitionBy("Tail_Number").orderBy(*IN_TIME)
     df = completed.withColumn("operating_day", operating_day(F.col("DepTimestampUTC"), F.col("origin_tz")))
     add = lambda d: d.select("*", *[F.lag(x).over(w).alias(to) for to, x in LAGGED.items()])
-    if null_tail == "chain":
+    if null_tail == "chain" and segments is None:
         return add(df)
-    alone = df.filter("Tail_Number IS NULL").select("*", *[F.lit(None).cast(df.schema[x].dataType).alias(to) for to, x in LAGGED.items()])
-    return add(df.filter("Tail_Number IS NOT NULL")).union(alone)
+    named, unnamed = add(df.filter("Tail_Number IS NOT NULL")), df.filter("Tail_Number IS NULL")
+    if null_tail == "chain":
+        ranged = in_segments(unnamed, ["Tail_Number"], IN_TIME, segments)
+        return named.withColumn(SEGMENT, F.lit(None).cast("int")).unionByName(lagged(ranged, ["Tail_Number"], IN_TIME, LAGGED))
+    return named.union(unnamed.select("*", *[F.lit(None).cast(df.schema[x].dataType).alias(to) for to, x in LAGGED.items()]))
 
 
 def chain_legs(lagged: DataFrame) -> DataFrame:
@@ -78,9 +83,12 @@ def is_overnight_turn(longest: int = MAX_TURN) -> Column:
     return ~F.col("is_first_leg") & (scheduled_turn_min() > longest)
 
 
+def _own_effect() -> Column:
+    return F.when(F.col("is_first_leg"), F.lit(0.0)).otherwise(F.col("DepDelayMinutes") - F.col("prev_arr_delay"))
+
+
 def cumulative_node_delay() -> Column:
-    own = F.when(F.col("is_first_leg"), F.lit(0.0)).otherwise(F.col("DepDelayMinutes") - F.col("prev_arr_delay"))
-    return F.sum(own).over(_of_day().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.sum(_own_effect()).over(_of_day().rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def operational_turns(chained: DataFrame, shortest: int = MIN_TURN, longest: int = MAX_TURN) -> DataFrame:
@@ -103,23 +111,26 @@ def min_turn_blend(turns: DataFrame, samples: int = MIN_TURN_SAMPLES) -> DataFra
     return own.select("turn_airport", "turn_sample_size", F.when(enough, F.col("airport_min_turn_min")).otherwise(F.col("default_min_turn_min")).alias("empirical_min_turn_min"), (~enough).alias("min_turn_is_fallback"))
 
 
-def chained_legs(enriched: DataFrame, null_tail: str = "chain") -> DataFrame:
-    return chain_legs(previous_leg(completed_legs(enriched), null_tail))
+def chained_legs(enriched: DataFrame, null_tail: str = "chain", segments: int | None = None) -> DataFrame:
+    return chain_legs(previous_leg(completed_legs(enriched), null_tail, segments))
 
 
 def with_effects(chained: DataFrame) -> DataFrame:
-    """All columns that need the chained legs alone."""
-    return chained.select(
-        "*",
-        F.col("Flight_Number_Reporting_Airline").alias("flight_number"),
-        rotation_leg_number().alias("rotation_leg_number"),
-        node_effect().alias("node_effect"),
-        edge_effect_delay().alias("edge_effect_delay"),
-        edge_effect_schedule().alias("edge_effect_schedule"),
-        scheduled_turn_min().alias("scheduled_turn_min"),
-        is_overnight_turn().alias("is_overnight_turn"),
-        cumulative_node_delay().alias("cumulative_node_delay"),
-    )
+    """All columns that need the chained legs alone. Legs that were chained in segments are numbered and summed in them."""
+    alone = {
+        "flight_number": F.col("Flight_Number_Reporting_Airline"),
+        "node_effect": node_effect(),
+        "edge_effect_delay": edge_effect_delay(),
+        "edge_effect_schedule": edge_effect_schedule(),
+        "scheduled_turn_min": scheduled_turn_min(),
+        "is_overnight_turn": is_overnight_turn(),
+    }
+    in_day = {"rotation_leg_number": rotation_leg_number(), "cumulative_node_delay": cumulative_node_delay()}
+    if SEGMENT not in chained.columns:
+        return chained.select("*", *[c.alias(to) for to, c in (alone | in_day).items()])
+    whole = chained.filter(F.col(SEGMENT).isNull()).select("*", *[c.alias(to) for to, c in in_day.items()])
+    parts = running(chained.filter(F.col(SEGMENT).isNotNull()), ["Tail_Number", "operating_day"], IN_TIME, "rotation_leg_number", {"cumulative_node_delay": _own_effect()})
+    return whole.unionByName(parts).drop(SEGMENT).withColumns(alone)
 
 
 def with_buffers(effects: DataFrame, min_turn: DataFrame) -> DataFrame:
