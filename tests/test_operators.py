@@ -148,7 +148,9 @@ def test_pools(spark, n, own, kept):
     sample, counts = D.capped_sample(u, D.NODE), D.sizes(u, D.NODE)
     net = D.network_dist(sample, counts, "s")
     assert {r.bucket: r.network_sample_size for r in net.collect()} == {"on_time_or_early": 0, "1_15": n + 40, "16_30": 0, "31_60": 0, "60_plus": 0}
-    rows = {(r.airport, r.bucket): r for r in D.key_dist(u, sample, counts, net, D.NODE, "s", "size").collect()}
+    dists = D.Dists(u, D.NODE, "s", "size")
+    assert sorted(map(tuple, dists.network.collect())) == sorted(map(tuple, net.collect()))
+    rows = {(r.airport, r.bucket): r for r in dists.by_key(u).collect()}
     a = rows["A", "1_15"]
     assert a.is_fallback != own and a.size == n
     if own:
@@ -192,3 +194,21 @@ def test_focus(spark):
     p, a = S.focus_exact(points, arcs, none_a, arcs.filter("origin = 'B'"))
     assert p.count() == 0 and a.count() == 1
     assert S.code_search(arcs, " b ", ("origin", "dest")).count() == 2
+
+
+@pytest.mark.parametrize("held", [1, 40, 200_000])
+def test_least_rows_from_one_exchange(spark, held):
+    """Counts and least rows from one pass are those of two, whatever a task holds; ties, nulls and hot keys included."""
+    import random
+
+    r = random.Random(6)
+    rows = [(r.choice(["A", "A", "A", "B", None]), r.choice(["x", "y"]), r.choice(["1_15", "16_30", None]), r.choice([None, float(r.randint(0, 9))]), f"{r.randint(0, 400):04d}") for _ in range(3000)]
+    u = spark.createDataFrame(rows, "origin string, dest string, bucket string, value double, order string").repartition(7)
+    got = D.least_rows(u, D.EDGE, 20, held)
+    want = D.capped_sample(u, D.EDGE, 20)
+    key = lambda df: sorted(tuple("~" if v is None else str(v) for v in x) for x in df.collect())
+    assert key(got.drop("sample_size")) == key(want) and len(key(want)) > 100
+    assert key(got.select("origin", "dest", "bucket", "sample_size").distinct()) == key(D.sizes(u, D.EDGE))
+    assert D.least_rows(u.limit(0), D.EDGE).count() == 0
+    plan = D.least_rows(spark.createDataFrame(rows, u.schema), D.EDGE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -71,10 +71,10 @@ def distribute(spark: SparkSession, folder: str) -> DataFrame:
     require_tables(utc(spark), folder, ["flights_propagation", "airport_stats", "route_stats"])
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     legs = read("flights_propagation")
-    rebuild_table(D.network_node_dist(legs), f"{folder}/network_node_delay_distributions", files=1)
-    rebuild_table(D.node_dist(legs, read("airport_stats")), f"{folder}/node_delay_distributions", files=1)
-    rebuild_table(D.network_edge_dist(legs), f"{folder}/network_edge_delay_distributions", files=1)
-    rebuild_table(D.edge_dist(legs, read("route_stats")), f"{folder}/edge_delay_distributions")
+    with stage_scope(spark):
+        for kind, dists, known in (("node", D.node_dists(legs), read("airport_stats")), ("edge", D.edge_dists(legs), read("route_stats"))):
+            rebuild_table(dists.network, f"{folder}/network_{kind}_delay_distributions", files=1)
+            rebuild_table(dists.by_key(known), f"{folder}/{kind}_delay_distributions")
     return D.fallback_rates(read("node_delay_distributions"), read("edge_delay_distributions"))
 
 

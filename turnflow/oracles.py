@@ -192,6 +192,12 @@ ENDINGS = {
     "edge_effect_delay": "SELECT flight_number, edge_effect_delay FROM eff",
     "edge_effect_schedule": "SELECT flight_number, edge_effect_schedule FROM eff",
     "scheduled_turn_min": "SELECT flight_number, scheduled_turn_min FROM eff",
+    "chain_in_segments": f"""SELECT Flight_Number_Reporting_Airline AS flight_number, prev_dest, prev_flight_number, row_number() OVER w AS rotation_leg_number,
+  sum(CASE WHEN prev_dest IS NULL THEN 0 ELSE DepDelayMinutes - prev_arr_delay END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_node_delay
+  FROM (SELECT * EXCLUDE (lag_dest, lag_arr, lag_number), CASE WHEN lag_dest = Origin THEN lag_dest END AS prev_dest, CASE WHEN lag_dest = Origin THEN lag_arr END AS prev_arr_delay, CASE WHEN lag_dest = Origin THEN lag_number END AS prev_flight_number
+    FROM (SELECT *, lag(Dest) OVER v AS lag_dest, lag(ArrDelayMinutes) OVER v AS lag_arr, lag(Flight_Number_Reporting_Airline) OVER v AS lag_number
+      FROM (SELECT * REPLACE (CASE WHEN Reporting_Airline <> 'UA' THEN Tail_Number END AS Tail_Number) FROM done) WINDOW v AS (PARTITION BY Tail_Number ORDER BY {_ORDER})))
+  WINDOW w AS (PARTITION BY Tail_Number, operating_day ORDER BY {_ORDER})""",
     "is_overnight_turn": "SELECT flight_number, CAST(is_overnight_turn AS INT) AS is_overnight_turn FROM eff",
     "operational_turns": "SELECT turn_airport, sched_turn_min FROM turns",
     "network_min_turn": f"SELECT {fix('default_min_turn_min')} AS default_min_turn_min FROM netturn",
@@ -206,6 +212,7 @@ ENDINGS = {
     "delay_bucket": f"SELECT flight_number, {bucket('ArrDelayMinutes')} AS bucket FROM prop",
     "bucket_bounds": f"SELECT b.bucket, b.bucket_low, b.bucket_high, count(p.flight_number) AS legs FROM bounds b LEFT JOIN prop p ON b.bucket = {bucket('p.ArrDelayMinutes')} GROUP BY ALL",
     "capped_sample": f"SELECT airport, bucket, ord AS \"order\", CAST(value AS INT) AS value FROM nodeu_s WHERE rn <= {POOL_CAP}",
+    "least_rows": f"SELECT s.origin, s.dest, s.bucket, s.ord AS \"order\", CAST(s.value AS INT) AS value, o.n AS sample_size FROM edgeu_s s JOIN edgeu_own o ON s.origin = o.origin AND s.dest = o.dest AND s.bucket = o.bucket WHERE s.rn <= {POOL_CAP}",
     "network_node_dist": f"SELECT bucket, bucket_low, bucket_high, network_sample_size, {_text('dep_delay_samples')} AS dep_delay_samples FROM nodeu_net",
     "node_dist": f"SELECT * REPLACE ({_text('dep_delay_samples')} AS dep_delay_samples) FROM nodeu_dist",
     "network_edge_dist": f"SELECT bucket, bucket_low, bucket_high, network_sample_size, {_text('arr_delay_samples')} AS arr_delay_samples FROM edgeu_net",

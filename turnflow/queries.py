@@ -85,13 +85,21 @@ class Tables:
     def turns(self) -> DataFrame:
         return R.operational_turns(R.chained_legs(self.enriched))
 
+    @property
+    def nodes(self) -> D.Dists:
+        return self._once("nodes", lambda: D.node_dists(self.stored_propagation))
+
+    @property
+    def edges(self) -> D.Dists:
+        return self._once("edges", lambda: D.edge_dists(self.stored_propagation))
+
     @property
     def node_dist(self) -> DataFrame:
-        return self._once("nodes", lambda: stored(D.node_dist(self.stored_propagation, T.airport_stats(self.stored_propagation)), "node-dist"))
+        return self._once("node_dist", lambda: stored(self.nodes.by_key(T.airport_stats(self.stored_propagation)), "node-dist"))
 
     @property
     def edge_dist(self) -> DataFrame:
-        return self._once("edges", lambda: stored(D.edge_dist(self.stored_propagation, T.route_stats(self.stored_propagation)), "edge-dist"))
+        return self._once("edge_dist", lambda: stored(self.edges.by_key(T.route_stats(self.stored_propagation)), "edge-dist"))
 
     @property
     def points(self) -> DataFrame:
@@ -107,8 +115,7 @@ class Tables:
         return asked.select("path_id", M.parse_path(F.col("path_text")).alias("path"), "start_delay")
 
     def simulated(self, paths: DataFrame, keep: str) -> DataFrame:
-        legs = self.stored_propagation
-        return M.simulate_paths(paths, self.node_dist, self.edge_dist, D.network_node_dist(legs), D.network_edge_dist(legs), DRAWS, keep)
+        return M.simulate_paths(paths, self.node_dist, self.edge_dist, self.nodes.network, self.edges.network, DRAWS, keep)
 
     @property
     def requests(self) -> DataFrame:
@@ -257,6 +264,12 @@ def _rebuilt(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/airport_timezones")
 
 
+def _segments(t: Tables) -> DataFrame:
+    """One carrier's legs without tail numbers, chained in segments of time."""
+    enriched = t.enriched.withColumn("Tail_Number", F.when(F.col("Reporting_Airline") != "UA", F.col("Tail_Number")))
+    return R.with_effects(R.chained_legs(enriched, "chain", 16)).select("flight_number", "prev_dest", "prev_flight_number", "rotation_leg_number", "cumulative_node_delay")
+
+
 def _column(name: str) -> Callable[[Tables], DataFrame]:
     return lambda t: t.effects.select("flight_number", name)
 
@@ -291,6 +304,7 @@ MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "previous_leg": lambda t: R.previous_leg(R.completed_legs(t.enriched)).select(ID(), "lag_dest", "lag_arr_delay", "lag_flight_number", text("lag_arr_utc"), text("lag_crs_arr_utc")),
     "chain_legs": lambda t: R.chained_legs(t.enriched).select(ID(), "prev_dest", "prev_arr_delay", "prev_flight_number", "is_first_leg"),
     **{c: _column(c) for c in ("rotation_leg_number", "node_effect", "edge_effect_delay", "edge_effect_schedule", "scheduled_turn_min", "cumulative_node_delay")},
+    "chain_in_segments": _segments,
     "is_overnight_turn": lambda t: t.effects.select("flight_number", flag("is_overnight_turn")),
     "operational_turns": lambda t: t.turns,
     "network_min_turn": lambda t: R.network_min_turn(t.turns).select(fixed("default_min_turn_min")),
@@ -304,10 +318,11 @@ MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "delay_bucket": lambda t: t.propagation.select("flight_number", delay_bucket(F.col("ArrDelayMinutes")).alias("bucket")),
     "bucket_bounds": _bounds,
     "capped_sample": lambda t: D.capped_sample(D.node_universe(t.propagation), D.NODE),
-    "network_node_dist": lambda t: swap(D.network_node_dist(t.stored_propagation), joined("dep_delay_samples")),
-    "node_dist": lambda t: swap(D.node_dist(t.stored_propagation, T.airport_stats(t.stored_propagation)), joined("dep_delay_samples")),
-    "network_edge_dist": lambda t: swap(D.network_edge_dist(t.stored_propagation), joined("arr_delay_samples")),
-    "edge_dist": lambda t: swap(D.edge_dist(t.stored_propagation, T.route_stats(t.stored_propagation)), joined("arr_delay_samples")),
+    "least_rows": lambda t: D.least_rows(D.edge_universe(t.propagation), D.EDGE),
+    "network_node_dist": lambda t: swap(t.nodes.network, joined("dep_delay_samples")),
+    "node_dist": lambda t: swap(t.nodes.by_key(T.airport_stats(t.stored_propagation)), joined("dep_delay_samples")),
+    "network_edge_dist": lambda t: swap(t.edges.network, joined("arr_delay_samples")),
+    "edge_dist": lambda t: swap(t.edges.by_key(T.route_stats(t.stored_propagation)), joined("arr_delay_samples")),
     "fallback_rates": lambda t: swap(D.fallback_rates(t.node_dist, t.edge_dist), fixed("fallback_rate")),
     "sample_fidelity": lambda t: swap(D.sample_fidelity(D.node_universe(t.stored_propagation), D.NODE), fixed("full_mean"), fixed("sample_mean")),
     "airport_points": lambda t: t.points,
