@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -272,6 +274,62 @@ def test_very_long_page():
     assert H.extract("<body><article>" + f"<p>{P1}</p>" * 20000 + "</article></body>") == "\n".join([P1] * 20000)
 
 
+@pytest.mark.parametrize(
+    ("rest", "kept"),
+    [
+        ("<ul><li><a href=x>First reference</a></li><li><a href=y>Second</a></li></ul><p><a>one</a> <a>two</a></p>", ["First reference", "Second", "one two"]),
+        (f"<section class='related work'><p>{'Others did this. ' * 5}</p></section>", ["Others did this. " * 4 + "Others did this."]),
+        (f"<div class='market share'><p>{'It grew again. ' * 5}</p></div>", ["It grew again. " * 4 + "It grew again."]),
+        (f"<div class='related'><p>{'Read this as well. ' * 5}</p></div><div class='share social'><p>{'Tell others of it. ' * 5}</p></div><div class='reader comments'><p>{'I think so too. ' * 5}</p></div>", []),
+        ("<p>Press the <label>left</label> button</p>", ["Press the left button"]),
+        (f"</article><div id='responses'><p>{'I liked it much. ' * 4}</p></div>", []),
+    ],
+)
+def test_marks_and_links_inside_an_article(rest, kept):
+    """Lists of links belong to an article that they stand in, and words with other meanings don't drop its paragraphs."""
+    story = "words of the story " * 30
+    assert H.extract(f"<body><article><h1>Title</h1><p>{story}</p>{rest}").split("\n") == ["Title", story.strip(), *kept]
+
+
+def test_deep_and_unclosed_pages():
+    """Tags that nothing opened or closed cost their own length only."""
+    began = time.time()
+    story = "<article><p>" + "some words " * 40 + "</p></article>"
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<span>" * 60_000 + "<li></li>" * 60_000, "<li><ul>" + "<span>" * 60_000 + "<li></li>" * 60_000, "<table><tr><td>" + "<span>" * 60_000 + "<tr></tr>" * 60_000, "<p>" + "<i>" * 60_000 + "<div></div>" * 60_000):
+        assert H.extract(story + page) == ("some words " * 40).strip()
+    assert time.time() - began < 60
+
+
+def test_tags_close_as_the_loop_over_open_elements_would():
+    """Ends and implied ends, beside a plain scan of the open elements from the innermost on."""
+    r = random.Random(3)
+    tags = ["p", "li", "ul", "td", "tr", "th", "table", "span", "div", "b", "dt", "dd", "option"]
+
+    def plain(page):
+        root = H.Node("html", None, False)
+        nodes, stack = [root], [root]
+        for close, tag in re.findall(r"<(/?)(\w+)>", page):
+            closes = {tag} if close else H.CLOSES.get(tag, {"p"} if tag in H.BLOCK else ())
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in closes:
+                    del stack[k:]
+                    if close:
+                        break
+                elif stack[k].tag in H.SCOPE and (tag not in H.SCOPE if close else not (tag in ("tr", "td", "th") and stack[k].tag in ("td", "th"))):
+                    break
+                elif not closes:
+                    break
+            if not close:
+                nodes.append(H.Node(tag, stack[-1], False))
+                stack.append(nodes[-1])
+        return [(x.tag, nodes.index(x.up) if x.up else None) for x in nodes]
+
+    for _ in range(2000):
+        page = "".join(f"<{r.choice(['', '', '/'])}{r.choice(tags)}>" for _ in range(r.randint(1, 25)))
+        nodes = H.parse(page)
+        assert [(x.tag, nodes.index(x.up) if x.up else None) for x in nodes] == plain(page), page
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in H.extract_pages(df).collect()}

@@ -23,7 +23,7 @@ from turnflow.llm.common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
 #: Elements that are never part of an article's text.
-NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object canvas svg math dialog menu noembed noframes".split())
+NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input fieldset iframe object canvas svg math dialog menu noembed noframes".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul".split()
 )
@@ -40,9 +40,14 @@ MARKED = frozenset("div section ul ol dl table tbody tr td details figure center
 #: Words in class, id or role that mark what mostly isn't the article: such an element goes unless it has half of the page's
 #: text or the main heading.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|related|replies|reader-comments|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|related|replies|responses|reader-comments|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them that have other meanings as one of several classes, as in "market share": there they say nothing of an element with a
+#: paragraph of its own inside an article.
+WEAK = frozenset("banner header menu notice notices promoted related responses search share sharing social".split())
+#: Characters outside links that make a paragraph.
+PARAGRAPH = 40
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -52,35 +57,69 @@ SPACES = re.compile(r"\s+")
 class Node:
     """One element: parts holds texts and child nodes in page order."""
 
-    __slots__ = ("tag", "up", "parts", "drop", "hint", "main", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "up", "parts", "drop", "hint", "within", "main", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool, hint: bool = False):
+    def __init__(self, tag: str, up: Node | None, drop: bool, hint: str = ""):
         self.tag, self.up, self.drop, self.hint, self.parts = tag, up, drop, hint, []
+        self.within = "" if up is None else up.tag if up.tag == "article" or up.tag == "main" and not up.within else up.within
         self.main = tag == "h1"
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes hide the element or give it another role, and whether its class or id says so."""
-    hint = False
+def _marks(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether the attributes hide the element or give it another role, and whether its class or id says so: '' or how surely."""
+    hint = ""
     for name, value in ATTRIBUTE.findall(attributes) if attributes and tag not in ("html", "body", "article", "main") else ():
         value = value.strip("\"'")
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
-            return True, False
-        hint |= name in ("class", "id") and tag in MARKED and bool(HINT.search(value))
+            return True, ""
+        if name in ("class", "id") and tag in MARKED and HINT.search(value):
+            classes = value.lower().split()
+            said = {w for w in classes if HINT.search(w)}
+            hint = "weak" if hint != "sure" and said <= WEAK and len(said) < len(set(classes)) else "sure"
     return False, hint
 
 
+class Open:
+    """The open elements, innermost last, with the places of each tag and of those that close nothing outside them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.scopes, self.wide = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(k)
+        if node.tag in SCOPE:
+            self.scopes.append(k)
+            if node.tag not in ("td", "th"):
+                self.wide.append(k)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of the tag; 0 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def close(self, k: int) -> None:
+        """Closes what is open from place k on."""
+        for node in reversed(self.nodes[k:]):
+            self.places[node.tag].pop()
+        del self.nodes[k:]
+        for places in (self.scopes, self.wide):
+            while places[-1] >= k:
+                places.pop()
+
+
 def parse(page: str) -> list[Node]:
     """The elements of a page in page order, the root first. Unclosed and stray tags are mended as browsers do."""
     root = Node("html", None, False)
-    nodes, stack, at, n = [root], [root], 0, len(page)
+    nodes, stack, at, n = [root], Open(root), 0, len(page)
 
     def text(upto: int) -> None:
         if upto > at:
-            stack[-1].parts.append(_html.unescape(page[at:upto]))
+            stack.nodes[-1].parts.append(_html.unescape(page[at:upto]))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -91,50 +130,50 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         end, tag, attributes = m[1], m[2] or m[4], m[3] or m[5] or ""
         if m[0].startswith("<![CDATA["):
-            stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
+            stack.nodes[-1].parts.append(m[0][9:].removesuffix("]]>"))
         elif end:
             end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == end:
-                    del stack[k:]
-                    break
-                if end not in SCOPE and stack[k].tag in SCOPE:
-                    break
+            k = stack.last(end)
+            if k and (end in SCOPE or k > stack.scopes[-1]):
+                stack.close(k)
         elif tag:
             tag = tag.lower()
-            closes = CLOSES.get(tag, ()) if tag in CLOSES else {"p"} if tag in BLOCK else ()
-            for k in range(len(stack) - 1, 0, -1):
-                if not closes:
-                    break
-                if stack[k].tag in closes:
-                    del stack[k:]
-                elif stack[k].tag in SCOPE and not (tag in ("tr",) and stack[k].tag in ("td", "th")):
+            closes = CLOSES.get(tag, ()) if tag in CLOSES else ("p",) if tag in BLOCK else ()
+            while closes:
+                k = max(map(stack.last, closes))
+                if k <= (stack.wide if tag in ("tr", "td", "th") else stack.scopes)[-1]:
                     break
+                stack.close(k)
             if tag == "html":
                 continue
             hidden, hint = _marks(tag, attributes)
-            node = Node(tag, stack[-1], tag in NEVER or hidden, hint)
-            stack[-1].parts.append(node)
+            node = Node(tag, stack.nodes[-1], tag in NEVER or hidden, hint)
+            stack.nodes[-1].parts.append(node)
             nodes.append(node)
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else n
             elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK - VOID:
-                stack.append(node)
+                stack.push(node)
     return nodes
 
 
 def _settle_marks(nodes: list[Node]) -> None:
-    """Drops elements whose class speaks against them, but none with the main heading or half of the page's text; keeps the
-    header of an article where it has the main heading."""
+    """Drops elements whose class speaks against them, but none with the main heading or half of the page's text, and, where the word is
+    ambiguous, none inside an article that has a paragraph of its own; keeps the header of an article where it has the main heading."""
+    linked: dict[int, int] = {}
+    paragraph: set[int] = set()
     for x in reversed(nodes):
         x.chars = sum(len("".join(p.split())) if isinstance(p, str) else p.chars for p in x.parts) * (not x.drop or x.tag == "header")
+        linked[id(x)] = x.chars if x.tag == "a" else sum(linked[id(p)] for p in x.parts if not isinstance(p, str))
+        if any(p.tag == "p" and p.chars - linked[id(p)] >= PARAGRAPH for p in x.parts if not isinstance(p, str)):
+            paragraph.add(id(x))
         x.main = x.main or any(p.main for p in x.parts if not isinstance(p, str))
     whole = nodes[0].chars
     for x in nodes:
         if x.tag == "header" and x.main and x.up is not None and x.up.tag in ("article", "main"):
             x.drop = False
-        elif x.hint and not x.main and 2 * x.chars < whole:
+        elif x.hint and not x.main and 2 * x.chars < whole and not (x.hint == "weak" and x.within and id(x) in paragraph):
             x.drop = True
 
 
@@ -211,7 +250,7 @@ def _is_link_list(x: Node) -> bool:
 
 
 def text_of(top: Node) -> str:
-    """The blocks of a subtree, dropped elements and lists of links left out."""
+    """The blocks of a subtree, dropped elements left out, and lists of links but those of an article."""
     blocks: list[list[str]] = [[]]
     stack: list[tuple[Node, int]] = [(top, 0)]
     while stack:
@@ -225,7 +264,7 @@ def text_of(top: Node) -> str:
                 blocks[-1].append(p)
             elif p.tag == "br":
                 blocks[-1].append(" ")
-            elif not p.drop and not _is_link_list(p):
+            elif not p.drop and (p.within == "article" or not _is_link_list(p)):
                 stack.append((x, k))
                 stack.append((p, 0))
                 break
