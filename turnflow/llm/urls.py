@@ -14,9 +14,11 @@ from turnflow.llm.common import small, stored, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("n_url", "n_host", "n_path", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_escapes", "is_https", "is_www", "has_fragment", "suffix_seen", "suffix_blocked")
+FEATURES = ("n_url", "n_host", "n_path", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_escapes", "is_https", "is_www", "has_fragment", "suffix_seen", "suffix_blocked", "section_seen", "section_blocked")
 FIT_ROWS = 20_000
-#: Hosts are dealt into so many folds; the suffixes of one fold's labelled URLs are hidden from the fit.
+#: What labelled URLs are counted by: the last label of the host, and the first part of the path, where sites put a language or a section.
+COUNTED = ("suffix", "section")
+#: Hosts are dealt into so many folds; the counts are hidden from the fit for one fold's labelled URLs.
 FOLDS, HIDDEN = 5, 0
 TREES, DEPTH = 10, 4
 CUT = 0.5
@@ -69,29 +71,36 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def labelled(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """pages with host, path, hit (the rule's name and verdict, or null), suffix, fold (by host) and label (1: block, null: no rule)."""
+    """pages with host, path, hit (the rule's name and verdict, or null), suffix, section, fold (by host) and label (1: block, null: no rule)."""
     known = with_host(pages).withColumn("hit", first_rule(F.col("host"), F.col("path"), rules))
-    known = known.withColumns({"suffix": F.substring_index("host", ".", -1), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")})
-    return known.withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
+    own = {"suffix": F.substring_index("host", ".", -1), "section": F.regexp_extract("path", "^/([^/]*)", 1), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")}
+    return known.withColumns(own).withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
 
 
-def suffix_counts(known: DataFrame) -> DataFrame:
-    """For each suffix how many URLs are labelled and blocked, in all and by fold."""
+def label_counts(known: DataFrame, by: str) -> DataFrame:
+    """For each suffix or section how many URLs are labelled and blocked, by fold."""
     of = lambda f: (F.sum(F.when(F.col("fold") == f, 1.0).otherwise(0.0)), F.sum(F.when(F.col("fold") == f, F.col("label")).otherwise(0.0)))
     pairs = [of(f) for f in range(FOLDS)]
-    return known.filter("label IS NOT NULL").groupBy(F.col("suffix").alias("suffix_of")).agg(F.array(*[a for a, _ in pairs]).alias("n_of"), F.array(*[b for _, b in pairs]).alias("b_of"))
+    return known.filter("label IS NOT NULL").groupBy(F.col(by).alias("counted")).agg(F.array(*[a for a, _ in pairs]).alias("n_of"), F.array(*[b for _, b in pairs]).alias("b_of"))
 
 
-def with_suffix(known: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
-    """Adds suffix_seen and suffix_blocked. A labelled URL gets those of the other folds' hosts alone, and one of the hidden fold
+def with_counts(known: DataFrame, counts: DataFrame, prior: float, by: str) -> DataFrame:
+    """Adds seen and blocked of the suffix or section. A labelled URL gets those of the other folds' hosts alone, and one of the hidden fold
     none at all, as a URL whose suffix was never labelled: so the trees learn what to do without them."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     own = lambda a: F.when(F.col("label").isNull(), F.lit(0.0)).otherwise(F.get(a, F.col("fold")))
     hidden = F.col("label").isNotNull() & (F.col("fold") == HIDDEN)
     left = lambda a: F.when(hidden | F.col(a).isNull(), F.lit(0.0)).otherwise(total(F.col(a)) - own(F.col(a)))
-    joined = known.join(counts, F.col("suffix") == F.col("suffix_of"), "left")
+    joined = known.join(counts, F.col(by) == F.col("counted"), "left")
     n, b = left("n_of"), left("b_of")
-    return joined.withColumns({"suffix_seen": F.log1p(n), "suffix_blocked": (b + 2 * prior) / (n + 2)}).drop("suffix_of", "n_of", "b_of")
+    return joined.withColumns({f"{by}_seen": F.log1p(n), f"{by}_blocked": (b + 2 * prior) / (n + 2)}).drop("counted", "n_of", "b_of")
+
+
+def described(known: DataFrame, counts: dict[str, DataFrame], prior: float) -> DataFrame:
+    """Adds all features. Counts of few suffixes or sections are sent to the tasks, others are joined by shuffling."""
+    for by, table in counts.items():
+        known = with_counts(known, small(table, 100_000), prior, by)
+    return lexical(known)
 
 
 def fitted(sample: DataFrame) -> GBTClassificationModel:
@@ -113,7 +122,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, fit_r
     A URL that a rule fits has the rule's verdict. These URLs are the labels for gradient-boosted trees, which judge
     the others: block if the score is at least `cut`. The trees are fitted on at most `fit_rows` labelled URLs, those
     with the least hash of the URL; that bound keeps the fit's cost fixed. Suffix statistics (how often the last label
-    of the host is labelled, and its share of blocks, drawn to the overall share) count all labelled URLs, but never
+    of the host is labelled, and its share of blocks, drawn to the overall share), and those of the path's first part, count all labelled URLs, but never
     those of hosts in a labelled URL's own fold. Where no rule fits any URL, or all labels agree, there is nothing to
     learn and the others are allowed or get that label, with score 0 or 1. Null and malformed URLs have empty host and path and are
     judged by the trees. Equal URLs get equal results, rows count each. URLs are read whole, however long. Columns of
@@ -121,11 +130,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, fit_r
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
     known = labelled(pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col("url")), rules)
-    counts = stored(suffix_counts(known), "url-suffixes")
-    n, blocked = counts.agg(F.coalesce(F.sum(F.aggregate("n_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0)), F.coalesce(F.sum(F.aggregate("b_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0))).first()
+    counts = {by: stored(label_counts(known, by), f"url-{by}") for by in COUNTED}
+    n, blocked = counts["suffix"].agg(F.coalesce(F.sum(F.aggregate("n_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0)), F.coalesce(F.sum(F.aggregate("b_of", F.lit(0.0), lambda x, y: x + y)), F.lit(0.0))).first()
 
     if n and 0 < blocked < n:
-        full = lexical(with_suffix(known, small(counts, 100_000), (blocked + 1) / (n + 2)))
+        full = described(known, counts, (blocked + 1) / (n + 2))
         sample = full.filter("label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(fit_rows).select(*FEATURES, "label")
         out = scored(fitted(sample), full)
     else:
@@ -138,12 +147,12 @@ def held_out(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, fi
     """label, score and n of labelled URLs of one fold of hosts, judged by trees fitted on the other folds."""
     known = labelled(pages.select("url"), rules).filter("label IS NOT NULL")
     others = known.filter(F.col("fold") != FOLDS - 1)
-    counts = stored(suffix_counts(others), "url-suffixes")
+    counts = {by: stored(label_counts(others, by), f"url-{by}") for by in COUNTED}
     n, blocked = others.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     prior = (blocked + 1) / (n + 2)
-    sample = lexical(with_suffix(others, counts, prior)).orderBy(F.xxhash64("url"), "url").limit(fit_rows).select(*FEATURES, "label")
+    sample = described(others, counts, prior).orderBy(F.xxhash64("url"), "url").limit(fit_rows).select(*FEATURES, "label")
     test = known.filter(F.col("fold") == FOLDS - 1).withColumns({"truth": F.col("label"), "label": F.lit(None).cast("double")})
-    return scored(fitted(sample), lexical(with_suffix(test, counts, prior))).select("url", F.col("truth").alias("label"), "score", (F.col("score") >= cut).alias("blocked"))
+    return scored(fitted(sample), described(test, counts, prior)).select("url", F.col("truth").alias("label"), "score", (F.col("score") >= cut).alias("blocked"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
