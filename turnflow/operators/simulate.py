@@ -243,7 +243,8 @@ def simulate_paths(
     spark = paths.sparkSession
     number_of = F.create_map(*[x for i, b in enumerate(NAMES) for x in (F.lit(b), F.lit(i))])
     asked = paths.withColumn("_bucket", delay_bucket(F.col("start_delay")))
-    work = asked.filter((F.size("path") >= 2) & F.col("_bucket").isNotNull()).select("path", F.col("_bucket").alias("bucket")).distinct()
+    good = F.coalesce((F.size("path") >= 2) & F.col("_bucket").isNotNull(), F.lit(False))
+    work = asked.filter(good).select("path", F.col("_bucket").alias("bucket")).distinct()
     work = stored(work.select("path", F.element_at(number_of, F.col("bucket")).alias("bucket_no"), path_number(F.col("path"), F.col("bucket")).alias("number")), "path-work")
     legs = legs_of(work.select("path"))
     edges = edge_dist.join(legs.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")
@@ -257,7 +258,9 @@ def simulate_paths(
     else:
         found = grouped_walk(work, edges, nodes, over, draws, keep, schema, group_legs)
     found = found.withColumnsRenamed({"path": "_path", "bucket_no": "_no"})
-    return asked.join(found, (F.col("path") == F.col("_path")) & (F.element_at(number_of, F.col("_bucket")) == F.col("_no")), "left").select(*paths.columns, "stops")
+    # Each good request has its stops, so an inner join does, for which Spark can send the requests and leave the draws where they are.
+    done = asked.filter(good).join(found, (F.col("path") == F.col("_path")) & (F.element_at(number_of, F.col("_bucket")) == F.col("_no"))).select(*paths.columns, "stops")
+    return done.unionByName(asked.filter(~good).select(*paths.columns, F.lit(None).cast(done.schema["stops"].dataType).alias("stops")))
 
 
 def summarize_stops(simulated: DataFrame, late_by: tuple[int, ...] = LATE_BY) -> DataFrame:

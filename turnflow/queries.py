@@ -45,7 +45,8 @@ class Tables:
 
     @property
     def raw(self) -> DataFrame:
-        return derived.raw_flights(self.spark, self.sf_dir)
+        """Stored, as exports are files: else the optimizer writes each derived expression out again wherever a later one uses it."""
+        return self._once("raw", lambda: stored(derived.raw_flights(self.spark, self.sf_dir), "raw"))
 
     @property
     def airports(self) -> DataFrame:
@@ -61,7 +62,9 @@ class Tables:
 
     @property
     def enriched(self) -> DataFrame:
-        return E.enrich_flights(self.flights, self.airports)
+        """From stored flights, as in the jobs."""
+        flights = self._once("flights", lambda: stored(self.flights, "flights"))
+        return E.enrich_flights(flights, self.airports)
 
     @property
     def effects(self) -> DataFrame:
