@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from tests.llm.cases import SCHEMA, corpus, words
@@ -160,6 +161,29 @@ def test_leaks(spark):
     assert D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_long_items_in_sketches(spark):
+    """Items of each size class are found whole and in part, in short and long documents, though their sketches keep only some shingles."""
+    r = np.random.default_rng(7)
+    filler = lambda n: [f"f{x}" for x in r.integers(0, 10**6, n)]
+    items = {i: [f"b{i}_{j}" for j in range(n)] for i, n in enumerate([40, 60, 100, 200, 700] * 4)}
+    docs = []
+    for i, item in items.items():
+        for k, (around, part) in enumerate([(0, 1.0), (30, 1.0), (4000, 1.0), (4000, 0.87), (300, 0.87), (300, 0.7)]):
+            docs.append((100 * i + k, " ".join([*filler(around), *item[: int(len(item) * part)], *filler(around)])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    want = {(100 * i + k, i) for i, w in items.items() for k, part in enumerate((1.0, 1.0, 1.0, 0.87, 0.87, 0.7)) if (int(len(w) * part) - 4) / (len(w) - 4) >= 0.8}
+    assert {(x.doc_id, x.item_id) for x in D.leaks(*frames).collect()} == want and len(want) >= 90
+    assert [D.boost_for(n) for n in (1, 8, 16, 29, 78)] == sorted([D.boost_for(n) for n in (1, 8, 16, 29, 78)], reverse=True) and D.boost_for(29) < D.ALL and D.boost_for(1) == D.ALL
+    hashed = D.hashed_shingles(frames[0], "text", 5, "h")
+    kept = {b: D.sketch(hashed, "h", "s", b).select(F.sum(F.size("s")), F.sum(F.size("h"))).first() for b in range(5)}
+    assert [kept[b][0] for b in range(5)] == sorted(kept[b][0] for b in range(5)) and kept[0][0] < 0.8 * kept[0][1] and kept[4][0] == kept[4][1]
+    mixed = frames[1].unionByName(spark.createDataFrame([(99, "f1 f2 f3 f4 f5")], "item_id long, text string"))  # a short item beside them: the long ones keep their sketches
+    index = D.hashed_shingles(mixed, "text", 5, "_h").select(F.size("_h").alias("_q"))
+    boosts = D.item_boosts(index, 0.8, D.MISS)
+    assert boosts[0] == D.ALL and boosts[5] < D.ALL and boosts[9] == 0
+    assert {(x.doc_id, x.item_id) for x in D.leaks(frames[0], mixed).collect()} == want
+
+
 # 2
 
 

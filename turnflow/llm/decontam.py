@@ -33,26 +33,45 @@ def exact_shingles(df: DataFrame, text: str, width: int, to: str) -> DataFrame:
     return toks.withColumn(to, F.array_distinct(_windows(F.col("_toks"), width, lambda ws: F.concat_ws(" ", *ws)))).drop("_toks")
 
 
-def sketch(df: DataFrame, hashes: str, to: str, needed: int, miss: float = MISS) -> DataFrame:
-    """Adds `to`: a one-permutation MinHash of the ascending `hashes` whose number of bins follows their number.
+#: From this boost on every shingle is kept.
+ALL = 4
 
-    Documents are partitioned by size, 2^c <= size < 2^(c+1), and a class has 2^(c+1+b) bins, so that a shingle is
-    the least of its bin with a chance of at least exp(-1/2^b) or so in documents of any length: a short item
-    isn't drowned by a long document. b is the least for which the `needed` shingles of the shortest item all miss
-    with a chance below `miss`; from b = 4 on every shingle is kept. The bin is the hash's leading bits, so the
-    first hash of each run in ascending order is the bin's minimum.
-    """
+
+def boost_for(needed: int, miss: float = MISS) -> int:
+    """The least boost with which `needed` shingles all miss a sketch with a chance below `miss`."""
     boost = 0
     # a class's largest documents have one shingle for 2^b bins
-    while boost < 4 and (1 - 2.0**boost * (1 - math.exp(-1 / 2.0**boost)) * 0.98) ** needed > miss:
+    while boost < ALL and (1 - 2.0**boost * (1 - math.exp(-1 / 2.0**boost)) * 0.98) ** needed > miss:
         boost += 1
-    if boost == 4:
-        return df.withColumn(to, F.col(hashes))
+    return boost
+
+
+def sketch(df: DataFrame, hashes: str, to: str, boost: int) -> DataFrame:
+    """Adds `to`: one-permutation MinHashes of the ascending `hashes` at all boosts up to `boost`, as (level, hash): the hash is in the
+    sketches of the boosts from its level on.
+
+    Documents are partitioned by size, 2^c <= size < 2^(c+1), and a class has 2^(c+1+b) bins at boost b, so that a shingle is
+    the least of its bin with a chance of at least exp(-1/2^b) or so in documents of any length: a short item
+    isn't drowned by a long document. The bin is the hash's leading bits, so the first hash of each run in ascending order is the
+    bin's minimum, and the bins of a greater boost lie within those of a lesser one.
+    """
     size_class = F.floor(F.log2(F.greatest(F.size(hashes), F.lit(1)).cast("double"))).cast("int")
-    with_bits = df.withColumn("_shift", F.greatest(F.lit(1), F.lit(63 - boost) - size_class))
-    bits = lambda h: F.call_function("shiftright", h, F.col("_shift"))
-    least = F.filter(F.col(hashes), lambda h, i: (i == 0) | (bits(h) != bits(F.get(F.col(hashes), i - 1))))
-    return with_bits.withColumn(to, least).drop("_shift")
+    sized = df.withColumn("_class", size_class)
+    bits = lambda h, b: F.call_function("shiftright", h, F.greatest(F.lit(1), F.lit(63 - b) - F.col("_class")))
+
+    def level(h: Column, i: Column) -> Column:
+        out = F.lit(ALL)
+        for b in reversed(range(min(boost + 1, ALL))):
+            out = F.when((i == 0) | (bits(h, b) != bits(F.get(F.col(hashes), i - 1), b)), F.lit(b)).otherwise(out)
+        return F.struct(out.alias("level"), h.alias("hash"))
+
+    return sized.withColumn(to, F.filter(F.transform(hashes, level), lambda x: x["level"] <= boost)).drop("_class")
+
+
+def item_boosts(sizes: DataFrame, share: float, miss: float) -> dict[int, int]:
+    """The boost of each size class of items, 2^c <= shingles < 2^(c+1), by what must be there of the class's smallest; sizes: a column _q."""
+    classes = sizes.groupBy(F.floor(F.log2(F.col("_q").cast("double"))).cast("int").alias("c")).agg(F.min("_q").alias("least"))  # 31 rows at most
+    return {r.c: boost_for(math.ceil(share * r.least), miss) for r in classes.collect()}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, miss: float = MISS, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -61,8 +80,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     searched for exactly among the documents' runs of as many words.
 
     Candidates share a hash of an item with the document's sketch; their shingles are then joined with the items' as text
-    and counted, so that only shingles that items have are shuffled. Documents are cut by size as in `sketch`, its bins
-    by the shingles that must be there of the shortest item. An index of at most `broadcast_rows` rows is
+    and counted, so that only shingles that items have are shuffled. Documents are cut by size as in `sketch`, and so are items: those of a
+    size class search a sketch of their own, whose bins follow the shingles that must be there of the class's shortest item. An index of at most `broadcast_rows` rows is
     broadcast, else both sides shuffle; so are the ids of the candidates. Null and empty texts hold nothing and
     are found nowhere; texts are searched whole, however long. Rows that repeat a document count once; an id on several
     texts gets the greatest containment of them, by document and by item; null ids stay and count as one. Other columns of
@@ -75,12 +94,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     long, short = items.filter(F.col("_n") >= width), items.filter(F.col("_n") < width)
 
     index = stored(hashed_shingles(long, "_t", width, "_h").select(F.size("_h").alias("_q"), F.explode("_h").alias("_hash")), "leak-index")
-    # every item has at least this many shingles that a document must hold
-    needed = index.agg(F.ceil(F.lit(share) * F.min("_q"))).first()[0] or 1
+    boosts = item_boosts(index, share, miss)
+    boost_of = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]) if boosts else F.create_map().cast("map<int,int>")
+    wanted = index.groupBy("_hash").agg(F.max(F.element_at(boost_of, F.floor(F.log2(F.col("_q").cast("double"))).cast("int"))).alias("_boost"))
     # no filter stands above the arrays: it would be pushed down and their expressions evaluated once for each word
-    drawn = sketch(hashed_shingles(docs, "_t", width, "_h"), "_h", "_s", int(needed), miss)
-    probes = drawn.select("doc_id", F.explode_outer("_s").alias("_hash"))
-    ids = stored(probes.join(small(stored(index.select("_hash").distinct(), "leak-hashes"), broadcast_rows), "_hash").select(F.col("doc_id").alias("_d")).distinct(), "leak-docs")
+    drawn = sketch(hashed_shingles(docs, "_t", width, "_h"), "_h", "_s", max(boosts.values(), default=0))
+    probes = drawn.select("doc_id", F.explode_outer("_s").alias("_p")).select("doc_id", F.col("_p.hash").alias("_hash"), F.col("_p.level").alias("_level"))
+    met = probes.join(small(stored(wanted, "leak-hashes"), broadcast_rows), "_hash").filter(F.col("_level") <= F.col("_boost"))
+    ids = stored(met.select(F.col("doc_id").alias("_d")).distinct(), "leak-docs")
 
     back = docs.join(small(ids, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").withColumn("_k", F.xxhash64("_t"))
     have = exact_shingles(back, "_t", width, "_have").select("doc_id", "_k", F.explode_outer("_have").alias("_shingle"))
