@@ -438,6 +438,35 @@ def test_toxicity(spark):
     assert {round(x.score, 6) for x in T.toxicity(df, lab.limit(0)).collect()} == {0.5}
 
 
+def test_held_out_toxicity(spark, sf_dir):
+    """Of the documents whose labels the query doesn't learn from, over nine tenths of the toxic ones are found and hardly another is."""
+    top = f"{Path(sf_dir).parent}/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{top}/labels.parquet").collect()}
+    got = [r for r in queries.QUERIES["op7_toxicity"](spark, top).collect() if r.held_out and r.doc_id in truth]
+    toxic = [r.predicted for r in got if truth[r.doc_id]]
+    clean = [r.predicted for r in got if not truth[r.doc_id]]
+    assert len(toxic) > 100 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_turning_point():
+    """From its definition: no other logit of the held-out rows gives a better F measure; too few labels give none."""
+    r = np.random.default_rng(1)
+    rows = [np.unique(np.append(r.integers(0, 30, 6), [40] if i % 4 == 0 and r.random() < 0.9 else [])).astype(np.int32) for i in range(240)]
+    y = np.array([int(i % 4 == 0) for i in range(240)], np.int8)
+    turn, slope = T.turning_point(y, rows, -9.0, bits=8)
+    seen = np.zeros(240)
+    for k in range(T.FOLDS):
+        own = [i for i in range(240) if i % T.FOLDS != k]
+        model = T.fit(y[own], [rows[i] for i in own], bits=8)
+        for i in range(k, 240, T.FOLDS):
+            seen[i] = model.weights[rows[i]].sum() + model.constant
+    f = lambda t: 2 * ((seen >= t) & (y == 1)).sum() / ((seen >= t).sum() + y.sum())
+    assert f(turn) == max(f(t) for t in seen)
+    loss = lambda a: sum(np.log1p(np.exp(x)) - k * x for x, k in zip(a * (seen - turn) + np.log(0.7 / 0.3), y, strict=True))
+    assert loss(slope) == min(loss(a) for a in np.linspace(1, 4, 61))
+    assert T.turning_point(y, rows, 5.0, bits=8)[0] == 5.0 and T.turning_point(y[:40], rows[:40], -9.0, bits=8) is None
+
+
 def test_counterfactual_scores(spark):
     """One group's name goes with toxicity: with the penalty two neutral sentences that differ in the name score alike."""
     r = np.random.default_rng(4)

@@ -19,6 +19,9 @@ FIT_ROWS = 8_000
 #: And on so many features of them together at most, in the same order: what the driver gets is bounded in bytes too.
 FIT_FEATURES = 20_000_000
 CUT = 0.7
+#: The score is moved so that `CUT` lies where held-out labels are told apart best, by models of so many folds; a text without telling words stays
+#: this much, as a logit, under it.
+FOLDS, UNDER = 3, 0.5
 #: Weight of the penalty on score changes between a sentence and itself with another term of the same group.
 PAIRING = 2.0
 SHRINK = 5e-4
@@ -198,6 +201,29 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], bits: int = BITS, pairing: f
     return Model(weights, float(np.clip(c, -30, 30)))
 
 
+def turning_point(labels: np.ndarray, rows: list[np.ndarray], least: float, cut: float = CUT, folds: int = FOLDS, **options) -> tuple[float, float] | None:
+    """The logit from which on calling a text toxic is best, by the F measure on rows that each fold's model hasn't seen, but over `least`; and
+    the slope from 1 to 4 of the likeliest chances that are `cut` there. None if a label has too few rows. rows are in an order in which neighbours are alike."""
+    y = np.asarray(labels, float)
+    if min(y.sum(), len(y) - y.sum()) < 10 * folds:
+        return None
+    seen, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        own = np.flatnonzero(fold != k)
+        model = fit(labels[own], [rows[i] for i in own], **options)
+        for i in np.flatnonzero(fold == k):
+            seen[i] = model.weights[rows[i]].sum() + model.constant
+    order = np.argsort(-seen, kind="stable")
+    z, hits = seen[order], np.cumsum(y[order])
+    measure = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    measure[:-1][z[:-1] == z[1:]] = 0.0  # equal logits stay together
+    best = int(measure.argmax())
+    turn = max(least, float(z[best] + z[min(best + 1, len(z) - 1)]) / 2)
+    slopes = np.linspace(1, 4, 61)
+    chances = slopes[:, None] * (seen - turn) + np.log(cut / (1 - cut))
+    return turn, float(slopes[(np.logaddexp(0, chances) - y * chances).sum(axis=1).argmin()])
+
+
 def score_rows(bits: int, terms: np.ndarray, sent) -> Callable:
     """Batches of (doc_id, text) to (doc_id, score)."""
 
@@ -218,7 +244,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, bit
 
     At most `fit_rows` labelled rows with `fit_features` features together are used, those with the least hash of their
     id; ids that are labelled twice have their greatest label, ids on several texts their greatest text, null labels and
-    ids are left out. Every text is scored whole, however long, by its own words alone, so ties, repeated rows and ids on
+    ids are left out. The score is calibrated on folds of these rows: `cut` is where labels that a fold's model hasn't seen are told apart best. Every text is scored whole, however long, by its own words alone, so ties, repeated rows and ids on
     several texts change nothing. Empty and null texts have the score of a text without telling words. Without labels of
     both kinds every document gets the labels' share, smoothed. Other columns of docs aren't read.
     """
@@ -238,7 +264,12 @@ def toxicity(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, bit
     ends = lists.offsets.to_numpy()
     values = lists.values.to_numpy()
     order = np.lexsort((np.diff(ends), labels)) if len(labels) else []
-    model = fit(labels[order], [values[ends[i] : ends[i + 1]] for i in order], bits, identity=identity, **options)
+    own = [values[ends[i] : ends[i + 1]] for i in order]
+    model = fit(labels[order], own, bits, identity=identity, **options)
+    found = turning_point(labels[order], own, model.constant + UNDER, cut, bits=bits, identity=identity, **options)
+    if found is not None:
+        turn, slope = found
+        model = Model(model.weights * np.float32(slope), slope * (model.constant - turn) + float(np.log(cut / (1 - cut))))
     sent = spark.sparkContext.broadcast(model)
     kinds = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(score_rows(bits, terms, sent), f"doc_id {kinds}, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
