@@ -120,3 +120,12 @@ def test_long_text_in_parts(spark, tokens, monkeypatch):
     made = [d for batch in chunk.batches(0) for d in batch.to_pylist() if d["links"] is not None]
     whole = brute(rows, tokens)
     assert [(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], d["groups_sha256"]) for d in made] == [(*w[:4], w[-1]) for w in whole]
+
+
+def test_very_long_runs(tokens):
+    """Megabytes without a place to cut, white space above all, are encoded as the libraries do."""
+    aligner = alignment.Aligner(FOLDER, BYTE_LEVEL, PIECES)
+    for text in (" " * 1_500_000 + "x", "y" + "\n \t" * 300_000, "x" * 1_000_000, "-1" * 200_000):
+        a, b, spelt = aligner.ids([text])
+        want_a, want_b = tokens(text)
+        assert spelt[0] and list(a[0]) == [k for k, _ in want_a] and list(b[0]) == [k for k, _ in want_b]

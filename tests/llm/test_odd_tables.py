@@ -6,9 +6,9 @@ import random
 
 import pytest
 
-from turnflow.llm import cotraining, decontam, html_text, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, urls
+from turnflow.llm import alignment, cotraining, decontam, html_text, mixing, ngram_join, personal_data, quality_rules, sharding, spelling, suffix_dedup, toxicity, urls
 
-EXTRA = "label _d _rest _source _start _h _k _t _i _row _n _s _of _words row whole k t a b c n l id mark bin nth rest start also features score kept chance margin suffix fold hit host path stops".split()
+EXTRA = "label _d _rest _source _start _h _k _t _i _row _n _s _of _words row whole k t a b c n l id mark bin nth rest start also features score kept chance margin suffix fold hit host path stops chunk pair held links times word form root half group spans".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
@@ -35,12 +35,20 @@ def test_rows_by_row(spark, docs, labels):
     for make in (
         lambda d: suffix_dedup.remove_repeats(d), lambda d: quality_rules.word_quality(d), lambda d: mixing.mix(d), lambda d: sharding.shard(d, sharding.tree(24)),
         lambda d: toxicity.toxicity(d, labels), lambda d: cotraining.quality_scores(d, labels), lambda d: ngram_join.groups(d), lambda d: html_text.extract_pages(d, "text"),
-        lambda d: urls.judge(d.withColumn("url", d.text)),
+        lambda d: urls.judge(d.withColumn("url", d.text)), lambda d: alignment.align(d), lambda d: personal_data.personal_data(d),
     ):
         assert make(docs).count() == n
         assert make(docs.limit(0)).count() == 0
 
 
+def test_words_of_odd_rows(docs):
+    """A word of megabytes counts as any other; the vocabulary's words are 3 letters at most and so none counts."""
+    assert spelling.variants(docs).collect() == [] == spelling.variants(docs.limit(0)).collect()
+    again = docs.unionByName(docs).unionByName(docs)
+    (only,) = spelling.variants(again).collect()
+    assert (len(only.word), only.form, only.root, only.n, only.n_near) == (2_000_000, None, only.word, 3, 0)
+
+
 def test_stages_keep_all_columns(spark, docs, labels):
     items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6", "x"), (2, "w7", "x"), (3, None, "x")], "item_id long, text string, _d string")
     for stage in (lambda d: cotraining.good_documents(d, labels), lambda d: ngram_join.one_of_each(d, 5, 80), lambda d: decontam.without_leaks(d, items), lambda d: mixing.mixed_documents(d)):

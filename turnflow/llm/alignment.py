@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -32,6 +33,9 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of white space from which on the faster encoder's search would run out of stack.
+BLANK = 200_000
+BLANKS = re.compile(rf"\s{{{BLANK}}}")
 #: Bytes of text that are encoded together, and that share one list of id pairs.
 PIECE, CHUNK = 1 << 20, 16 << 20
 
@@ -65,15 +69,16 @@ def byte_level(path: str) -> Encoder:
     merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
     merged = [vocab[m.replace(" ", "")] for m in merges]
     pre = spec["pre_tokenizer"] or {}
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
     ranked = merged == sorted(set(merged)) and len(merged) + 256 == len(vocab.keys() - added.keys()) and not spec["normalizer"]
     if ranked and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
         import tiktoken
 
         ranks = {table[k]: k for t, k in vocab.items() if t not in added}
         by_rank = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return (lambda texts: (by_rank.encode_ordinary(f" {t}") for t in texts)), table
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+        alike = lambda t: whole.encode(t, add_special_tokens=False).ids if len(t) > BLANK and BLANKS.search(t) else by_rank.encode_ordinary(t)
+        return (lambda texts: (alike(f" {t}") for t in texts)), table
     return (lambda texts: (e.ids for e in whole.encode_batch([f" {t}" for t in texts], add_special_tokens=False))), table
 
 
