@@ -258,7 +258,11 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, cut: float = CUT, **opt
 
 
 def good_documents(docs: DataFrame, labelled: DataFrame, cut: float = CUT, **options) -> DataFrame:
-    """The rows of docs whose score reaches `cut`, each judged alone, without a shuffle; all columns stay, whatever their names."""
+    """The rows of docs whose score reaches `cut`, each judged alone, without a shuffle; all columns stay, whatever their names.
+
+    Null and empty texts are judged by what is left of them; repeated rows stay or go together; a score of just `cut` stays; an empty
+    table gives an empty one.
+    """
     score = scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, labelled, **options)))
     return docs.filter(score(*_inputs(docs))["score"] >= cut)
 

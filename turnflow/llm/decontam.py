@@ -118,7 +118,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; all columns stay, whatever their names."""
+    """The documents that hold no item; all columns stay, whatever their names.
+
+    Null and empty texts hold none and stay. Every row of an id goes if one of its texts holds an item, repeated rows and those without id
+    included; an empty table, or one without items to search, keeps all rows.
+    """
     bad = stored(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaky")
     return docs.join(small(bad, 2_000_000), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 

@@ -95,7 +95,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; a part of one counts as a whole if it is half or more."""
+    """The documents of the mix, each as often as it is taken; a part of one counts as a whole if it is half or more.
+
+    Null and empty texts have no words to give and go. Rows that repeat one another are documents each, ties are settled as in `mix`; an empty
+    table gives an empty one. All columns stay, whatever their names.
+    """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
     packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("whole"))
     mixed = mix(packed, **options).select("whole", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))).alias("copy"))
