@@ -161,6 +161,9 @@ _FOCUS_ROUTES = "(origin = 'N01' OR dest = 'N01' OR (origin = 'N00' AND dest = '
 ENDINGS = {
     "read_ontime": f"SELECT {_ID}, CAST(Year AS VARCHAR) AS Year, CAST(Month AS VARCHAR) AS Month, Tail_Number, Reporting_Airline, Origin, Dest, DepTime, CASE WHEN Month % 3 < 2 THEN DepDelay END AS DepDelay, ArrDelayMinutes FROM allf",
     "load_months": "SELECT Year, Month, Reporting_Airline, count(*) AS flights, count(*) AS entered FROM flights GROUP BY ALL",
+    "read_airport_reference": "SELECT airport_id, name, city, iata, CAST(NULL AS VARCHAR) AS icao, lat, lon, tz_name FROM ref",
+    "export_bundle": "SELECT airport AS id, turn_events AS events, lat FROM points UNION ALL SELECT origin || '-' || dest, flights, dest_lat FROM arcs",
+    "require_tables": "SELECT 'flights' AS name, count(*) AS row_count FROM flights UNION ALL SELECT 'airport_timezones', count(*) FROM ref UNION ALL SELECT 'flights_propagation', count(*) FROM prop UNION ALL SELECT 'airport_stats', count(*) FROM astats UNION ALL SELECT 'route_stats', count(*) FROM rstats",
     "rebuild_table": "SELECT iata, tz_name, lat, lon, name, city FROM ref WHERE iata < 'N12'",
     "append_new_months": f"SELECT {_ID}, Year, Month, Reporting_Airline FROM flights WHERE NOT (Month % 2 = 0 OR Reporting_Airline = 'UA' AND Month % 3 = 0)",
     "filter_carriers": f"SELECT {_ID}, Reporting_Airline FROM allf WHERE Reporting_Airline IN ('DL', 'UA')",

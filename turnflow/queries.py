@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from turnflow.operators import stats as T
 from turnflow.oracles import ENDINGS, oracle
 from turnflow.sources import derived
 from turnflow.sources.ledger import ledger, load_files
-from turnflow.sources.ontime import append_new_months, read_ontime
-from turnflow.sources.tables import rebuild_table, require_tables
+from turnflow.sources.ontime import AIRPORT_FILE, append_new_months, read_airport_reference, read_ontime
+from turnflow.sources.tables import export_bundle, rebuild_table, require_tables
 
 CLEAN = [c for c in KEEP if c not in ("DayOfWeek", "OriginCityName", "OriginState", "DestCityName", "DestState", "DepDel15", "ArrDel15", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn", "CancellationCode", "AirTime", "Distance")]
 TIMES = ("CRSDepTimestampUTC", "CRSArrTimestampUTC", "DepTimestampUTC", "ArrTimestampUTC")
@@ -267,6 +268,34 @@ def _rebuilt(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/airport_timezones")
 
 
+def _reference(t: Tables) -> DataFrame:
+    """The airports as a reference file without a header, with what it lacks as \\N, and read from it."""
+    path, known = _folder(t, "reference"), derived.airports(t.spark, t.sf_dir)
+    columns = [c.split()[0] for c in AIRPORT_FILE.split(", ")]
+    known.select(*[F.col(c) if c in known.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.option("nullValue", "\\N").csv(path)
+    return read_airport_reference(t.spark, path).select("airport_id", "name", "city", "iata", "icao", "lat", "lon", "tz_name")
+
+
+def _bundle(t: Tables) -> DataFrame:
+    """The serving tables of airports and routes, exported twice as one folder and read from it."""
+    folder = _folder(t, "bundle")
+    for _ in range(2):
+        export_bundle({"airport_points": t.points, "route_arcs": t.arcs}, folder)
+    points, arcs = (t.spark.read.parquet(f"{folder}/{name}") for name in ("airport_points", "route_arcs"))
+    return points.select(F.col("airport").alias("id"), F.col("turn_events").alias("events"), "lat").union(arcs.select(F.concat_ws("-", "origin", "dest"), "flights", "dest_lat"))
+
+
+def _required(t: Tables) -> DataFrame:
+    """Tables that the jobs' contracts accept, with their rows."""
+    folder, legs = _folder(t, "required"), t.stored_propagation
+    made = {"flights": t.flights, "airport_timezones": t.airports, "flights_propagation": legs, "airport_stats": T.airport_stats(legs), "route_stats": T.route_stats(legs)}
+    for name, df in made.items():
+        rebuild_table(df, f"{folder}/{name}")
+    require_tables(t.spark, folder, made)
+    counts = [t.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("row_count")) for name in made]
+    return reduce(DataFrame.union, counts)
+
+
 def _segments(t: Tables) -> DataFrame:
     """One carrier's legs without tail numbers, chained in segments of time."""
     enriched = t.enriched.withColumn("Tail_Number", F.when(F.col("Reporting_Airline") != "UA", F.col("Tail_Number")))
@@ -281,6 +310,9 @@ MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "read_ontime": _read,
     "load_months": _loads,
     "rebuild_table": _rebuilt,
+    "read_airport_reference": _reference,
+    "export_bundle": _bundle,
+    "require_tables": _required,
     "append_new_months": _append,
     "filter_carriers": lambda t: C.cast_nullable_ints(C.filter_carriers(t.raw)).select(ID(), "Reporting_Airline"),
     "select_keep_columns": _keep,
