@@ -160,6 +160,7 @@ _FOCUS_ROUTES = "(origin = 'N01' OR dest = 'N01' OR (origin = 'N00' AND dest = '
 
 ENDINGS = {
     "read_ontime": f"SELECT {_ID}, CAST(Year AS VARCHAR) AS Year, CAST(Month AS VARCHAR) AS Month, Tail_Number, Reporting_Airline, Origin, Dest, DepTime, CASE WHEN Month % 3 < 2 THEN DepDelay END AS DepDelay, ArrDelayMinutes FROM allf",
+    "read_sheets": f"SELECT {_ID}, CAST(Year AS VARCHAR) AS Year, CAST(Month AS VARCHAR) AS Month, Tail_Number, Reporting_Airline, Origin, Dest, strftime(FlightDate, '%-m/%-d/%Y') AS FlightDate, CAST(DepTime AS VARCHAR) AS DepTime, CAST(CRSArrTime AS VARCHAR) AS CRSArrTime, ArrDelay FROM allf",
     "load_months": "SELECT Year, Month, Reporting_Airline, count(*) AS flights, count(*) AS entered FROM flights GROUP BY ALL",
     "read_airport_reference": "SELECT airport_id, name, city, iata, CAST(NULL AS VARCHAR) AS icao, lat, lon, tz_name FROM ref",
     "export_bundle": "SELECT airport AS id, turn_events AS events, lat FROM points UNION ALL SELECT origin || '-' || dest, flights, dest_lat FROM arcs",

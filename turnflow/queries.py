@@ -27,6 +27,7 @@ from turnflow.oracles import ENDINGS, oracle
 from turnflow.sources import derived
 from turnflow.sources.ledger import ledger, load_files
 from turnflow.sources.ontime import AIRPORT_FILE, append_new_months, read_airport_reference, read_ontime
+from turnflow.sources.sheets import as_workbooks, sheet_table
 from turnflow.sources.tables import export_bundle, rebuild_table, require_tables
 
 CLEAN = [c for c in KEEP if c not in ("DayOfWeek", "OriginCityName", "OriginState", "DestCityName", "DestState", "DepDel15", "ArrDel15", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn", "CancellationCode", "AirTime", "Distance")]
@@ -247,6 +248,13 @@ def _read(t: Tables) -> DataFrame:
     return df.select(ID(), "Year", "Month", F.trim("Tail_Number").alias("Tail_Number"), "Reporting_Airline", "Origin", "Dest", "DepTime", F.col("DepDelay").cast("double").alias("DepDelay"), F.col("ArrDelayMinutes").cast("double").alias("ArrDelayMinutes"))
 
 
+def _sheets(t: Tables) -> DataFrame:
+    """The raw records as workbooks and back, numbers as numbers."""
+    numbers = [c for c in t.raw.columns if c.endswith(("Time", "Delay", "DelayMinutes")) or c.startswith("Flight_")]
+    df = C.cast_nullable_ints(sheet_table(as_workbooks(t.raw, numbers), t.raw.columns), ["Flight_Number_Reporting_Airline"])
+    return df.select(ID(), "Year", "Month", F.trim("Tail_Number").alias("Tail_Number"), "Reporting_Airline", "Origin", "Dest", "FlightDate", "DepTime", "CRSArrTime", F.col("ArrDelay").cast("double").alias("ArrDelay"))
+
+
 def _loads(t: Tables) -> DataFrame:
     """Even months first, then everything twice: what the table and its ledger have in the end."""
     exports, flights = _exports(t), f"{_folder(t, 'flights')}/flights"
@@ -308,6 +316,7 @@ def _column(name: str) -> Callable[[Tables], DataFrame]:
 
 MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "read_ontime": _read,
+    "read_sheets": _sheets,
     "load_months": _loads,
     "rebuild_table": _rebuilt,
     "read_airport_reference": _reference,

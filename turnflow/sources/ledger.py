@@ -115,7 +115,7 @@ def load_files(spark: SparkSession, paths: str | Sequence[str], flights: str, ca
     staged = table_there(spark, f"{top}_staging/{load}")
     counts = [] if staged is None else staged.groupBy(*MONTH, "_file").agg(F.count("*").alias("rows")).collect()
     numbers = {r.file: r.number for r in spark.createDataFrame([(r.file,) for r in new], "file string").select("file", F.xxhash64("file").alias("number")).collect()}
-    lacks = {f: lack for _, files in groups for lack in [select_keep_columns(read_group(spark, files[:1]))[1]] for f in files}
+    lacks = {f: lack for header, files in groups for lack in [select_keep_columns(read_group(spark, header, files[:1]))[1]] for f in files}
     lines = []
     for r in new:
         months = [{"Year": c.Year, "Month": c.Month, "Reporting_Airline": c.Reporting_Airline, "rows": c.rows} for c in counts if c._file == numbers[r.file]]

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnflow.sources.sheets import is_sheet, read_sheets, sheet_headers
+
 MONTH = ("Year", "Month", "Reporting_Airline")
 AIRPORT_FILE = "airport_id long, name string, city string, country string, iata string, icao string, lat double, lon double, alt double, utc_offset string, dst string, tz_name string, type string, source string"
 #: Larger than any file: with it each file is one task.
@@ -32,7 +34,7 @@ def listed_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, header: the first line of each file that has one. Each file is a task of its own, which ends after that line."""
+    """file, header: the first line of each text file that has one. Each file is a task of its own, which ends after that line."""
     apart = spark.newSession()
     for setting, value in (("files.maxPartitionBytes", WHOLE), ("files.openCostInBytes", WHOLE), ("execution.arrow.maxRecordsPerBatch", "1")):
         apart.conf.set(f"spark.sql.{setting}", value)
@@ -43,26 +45,29 @@ def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                 yield batch.slice(0, 1)
                 return
 
-    lines = apart.read.text([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+    lines = apart.read.text([paths] if isinstance(paths, str) else list(paths)).filter(~is_sheet(F.col("_metadata.file_path"))).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
     line = F.regexp_replace("header", "^﻿|\r$", "")
     return lines.mapInArrow(first, "file string, header string").select(_decoded(F.col("file")).alias("file"), line.alias("header"))
 
 
 def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
-    """The distinct headers, in order, with their files. Spark's own readers keep the list of files on the driver too."""
-    groups = headers(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return sorted((r.header, r.files) for r in groups.collect())
+    """The distinct headers, in order, with their files, text files and workbooks apart. Spark's own readers keep the list of files on the driver too."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    every = [r for found in (headers(spark, paths), sheet_headers(spark, paths)) for r in found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()]
+    return sorted((r.header, r.files) for r in every)
 
 
-def read_group(spark: SparkSession, files: Sequence[str], source: str | None = None) -> DataFrame:
-    """CSV files of one header, all text; a file with another one is an error. With `source`, a column of that name has each row's file."""
+def read_group(spark: SparkSession, header: str, files: Sequence[str], source: str | None = None) -> DataFrame:
+    """Files of one header, all text; a file with another one is an error. With `source`, a column of that name has each row's file."""
+    if files[0].lower().endswith(".xlsx"):
+        return read_sheets(spark, [literal(f) for f in files], header, source)
     df = spark.read.option("header", True).option("enforceSchema", False).csv([literal(f) for f in files])
     return df.withColumn(source, _decoded(F.col("_metadata.file_path"))) if source else df
 
 
 def read_ontime(spark: SparkSession, paths: str | Sequence[str], source: str | None = None) -> DataFrame:
-    """CSV exports with a header, all text: files, folders or patterns. Columns are joined by name: files are grouped by their own headers,
-    each group is read once, and columns that a group lacks are null in its rows."""
+    """CSV exports and workbooks with a header, all text: files, folders or patterns. Columns are joined by name: files are grouped by their own
+    headers, each group is read once, and columns that a group lacks are null in its rows."""
     groups = header_groups(spark, paths)
     if not groups:
         raise ValueError(f"no file with a header in {paths}")
@@ -70,7 +75,7 @@ def read_ontime(spark: SparkSession, paths: str | Sequence[str], source: str | N
 
 
 def read_groups(spark: SparkSession, groups: Sequence[tuple[str, list[str]]], source: str | None = None) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_group(spark, files, source) for _, files in groups])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_group(spark, header, files, source) for header, files in groups])
 
 
 def read_airport_reference(spark: SparkSession, path: str) -> DataFrame:
