@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import SCHEMA, corpus
 from turnflow.llm import suffix_dedup as S
@@ -44,6 +45,51 @@ def test_crowded_anchor(spark):
         assert result(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), hot=hot)) == brute(rows)
 
 
+COPIED = "the one text that a great many documents hold, copied from end to end, with nothing of its own before it; 0123456789 and so on, "
+
+
+def test_copies_over_batches(spark):
+    """Copies meet in blocks: each loses all of the text, and no group grows with their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        largest = []
+        for n in (400, 1600):
+            rows = [(i, COPIED + f"{i * 7919:09d}" * 15) for i in range(n)]
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+            texts, found = S.judged_segments(df, hot=S.HOT, block=8)
+            found = found.filter(f"kind != {S.REPEAT}")
+            largest.append(found.filter(f"kind in ({S.HEAD}, {S.EQUAL})").groupBy("a").count().agg({"count": "max"}).first()[0])
+            assert found.filter(f"kind = {S.EQUAL}").count() > n // 20  # a copy from each batch
+            assert result(S.remove_repeats(df, block=8)) == brute(rows)
+            assert result(S.remove_repeats(df, hot=1, block=2)) == brute(rows)
+        assert largest[0] == largest[1] <= 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_segments_that_differ(spark, monkeypatch):
+    """A segment that isn't as the first of its block is told, and then all of its anchor's are compared."""
+    rows = [(S.HEAD, 1, 9, 1, b"x" * 100), (S.EQUAL, 1, 9, 2, b"x" * 100), (S.EQUAL, 1, 9, 3, b"y" * 100), (S.SHARED, 2, 9, 4, b"y" * 100)]
+    kind, a, b, k, string = zip(*rows, strict=True)
+    span = [int(S.pack(0, 1, 20))] * 4
+    batch = pa.record_batch([pa.array(kind, pa.int32()), pa.array(a), pa.array(b), pa.array(k), pa.array([0] * 4), pa.array(span), pa.array(string)], S.CUT)
+    for most in (1, 15_000):
+        out = pa.Table.from_batches(S.sort_strings(100, most)([batch.slice(i, 1) for i in range(4)]))
+        assert sorted(zip(out.column("kind").to_pylist(), out.column("k").to_pylist(), strict=True)) == [(S.REPEAT, 2), (S.DIFFERENT, 3)]
+
+    rows = corpus(60)
+    real, calls = S.compared, []
+
+    def doubted(strings, length):
+        calls.append(1)
+        told = real(strings, length)
+        return told.withColumn("kind", F.lit(S.DIFFERENT)) if len(calls) == 1 else told
+
+    monkeypatch.setattr(S, "compared", doubted)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert result(S.remove_repeats(df)) == brute(rows) and len(calls) == 2
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, kept string, k long"
     assert S.remove_repeats(spark.createDataFrame([], schema)).count() == 0

@@ -5,14 +5,15 @@ same document). Every such string holds an anchor: of its GRAM-byte strings the
 first, which depends on nothing but the string. Neighbouring positions mostly share their anchor, so a document falls
 into segments, about two in a hundred bytes, and equal strings lie in segments with equal anchor hashes.
 
-1. Segments go by anchor hash to their task. A batch of documents sends one copy of each, compared byte by byte, so that no
+1. Segments go by anchor hash to their task, which streams them. A batch of documents sends one copy of each, compared byte by byte, so that no
    string is sent more often than there are batches. An anchor with one segment alone has no repeats.
-2. The others' bytes are fetched and meet under their anchor. Of equal ones, compared as bytes, only the first has new
-   strings. The suffixes of the different ones, the ends of repeats, are
+2. The others' bytes are fetched. Segments of equal hashes are compared as bytes in a tree: up to BLOCK of them with the first of their block, those first
+   ones up to BLOCK at a time with theirs, and so on, so that no group grows with the number of copies. Only the very first has new
+   strings. The suffixes of the different ones under an anchor, the ends of repeats, are
    sorted: a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Neighbours that agree in all bytes are verified byte by byte; the first of each class stays, the rest are repeats.
-   An anchor with more than HOT different segments would gather too much: its strings go by their own hash instead, and its equal
-   segments meet under their hash.
+   An anchor with more than HOT different segments would gather too much: its strings go by their own hash instead.
+   Should a segment differ from one of its hashes, all segments of its anchor are compared as bytes.
 3. Spans go back to their documents, which are cut and digested.
 """
 
@@ -33,6 +34,8 @@ from turnflow.llm.common import small, stored, table
 LENGTH = 100
 GRAM = 24
 HOT = 2048
+#: So many segments of equal hashes are compared with the first of them in one group.
+BLOCK = 64
 CHECK_BASE = 0xD6E8FEB86659FD93
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
@@ -176,80 +179,98 @@ def _itself(keys: np.ndarray, new: np.ndarray, *place: np.ndarray) -> np.ndarray
     return same
 
 
-#: What the first step says of a span: a repeat, to be sorted by anchor, to be sorted by string.
-REPEAT, SHARED, CROWDED = 0, 1, 2
+#: What the first step says of a span: a repeat, to be sorted by anchor, to be sorted by string, the first of a block of equal hashes, to be
+#: compared with that. The second step says REPEAT, or DIFFERENT of one that isn't as the first of its block.
+REPEAT, SHARED, CROWDED, HEAD, EQUAL, DIFFERENT = range(6)
+FOUND = "kind int, a long, b long, k long, t long, span long"
+JUDGED = [f.split()[0] for f in FOUND.split(", ")]
 
 
-def judge_segments(hot: int) -> Callable:
-    """Rows in ascending (a, h, k, t, span), all rows of an a together, to rows (kind, a, k, t, span): those known as repeats, and
-    those whose bytes are to be compared under a."""
-    names = ["kind", "a", "k", "t", "span"]
+def judge_segments(hot: int, block: int = BLOCK) -> Callable:
+    """Rows in ascending (a, h, k, t, span), all rows of an a together, to rows FOUND: those known as repeats, and those whose bytes are to be compared under
+    a, b being their anchor. Of an anchor it holds up to hot segments, whatever the number of rows."""
 
-    def settle(a: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, span: np.ndarray, crowded: bool) -> Iterator[pa.RecordBatch]:
-        if not len(a):
-            return
-        new = np.append(True, (a[1:] != a[:-1]) | (h[1:] != h[:-1]))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        itself = ~new & (k == k[first]) & (t == t[first]) & (span == span[first])
-        a, h, k, t, span = (x[~itself] for x in (a, h, k, t, span))
-        new_a = np.append(True, a[1:] != a[:-1])
-        new = new_a | np.append(True, h[1:] != h[:-1])
-        run = np.cumsum(new) - 1
-        check = span & (2**CHECK - 1)
-        lead = new | (check != check[np.flatnonzero(new)][run])
-        group = np.cumsum(new_a) - 1
-        many = (np.bincount(group, weights=lead)[group] > hot) | crowded
-        alone = (np.bincount(group)[group] == 1) & (not crowded)
-        twice = np.bincount(run)[run] > 1
-        for kind, key, which in ((SHARED, a, ~many & ~alone), (CROWDED, a, many & lead), (SHARED, A.mix(h.view(np.uint64)).view(np.int64), many & twice)):
-            if which.any():
-                yield pa.record_batch([pa.array(np.full(int(which.sum()), kind, np.int32)), pa.array(key[which]), pa.array(k[which]), pa.array(t[which]), pa.array(span[which])], names)
+    def out(kind: int, key: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+        a, _, k, t, span = rows
+        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (key, a, k, t, span))], names=JUDGED)
+
+    def key(rows: list[np.ndarray], unit: int, nth: np.ndarray) -> np.ndarray:
+        own = A.mix(A.mix(rows[1].view(np.uint64)) ^ rows[0].view(np.uint64))
+        return A.mix(own + A.mix(np.full(len(own), unit, np.uint64)) + nth.astype(np.uint64)).view(np.int64)
+
+    def tree(rows: list[np.ndarray], place: np.ndarray, first: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Rows that have equal hashes with an earlier one: their places after it, from 1, and that one for each."""
+        unit = 1
+        while len(place) and unit <= place.max():
+            nth, low = place // (unit * block), place % (unit * block)
+            for kind, which in ((EQUAL, (place % unit == 0) & (low != 0)), (HEAD, low == 0)):
+                some = [x[which] for x in rows]
+                yield out(kind, key(some, unit, nth[which]), some)
+            some = [x[place == unit] for x in first]
+            yield out(HEAD, key(some, unit, np.zeros(len(some[0]), np.int64)), some)
+            unit *= block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
-        crowded = None  # an anchor whose first rows went out as crowded already
+        head, n = None, 0  # the first row of the last hash, and how many followed it
+        held = [np.zeros(0, np.int64)] * 5  # the different segments of the last anchor
+        crowded = None  # an anchor whose segments went out as crowded already
         for batch in batches:
             rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "h", "k", "t", "span")]
             known = rows[4] < 0
             if known.any():
-                n = int(known.sum())
-                yield pa.record_batch([pa.array(np.full(n, REPEAT, np.int32)), *[pa.array(rows[i][known]) for i in (0, 2, 3)], pa.array(~rows[4][known])], names)
+                some = [x[known] for x in rows]
+                yield out(REPEAT, some[0], [*some[:4], ~some[4]])
                 rows = [x[~known] for x in rows]
-            rows = [np.concatenate((x, y)) for x, y in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            last = rows[0][-1]
-            cut = int(np.searchsorted(rows[0], last, side="left"))
-            if len(rows[0]) - cut > 4 * hot + 50_000 and crowded != last:
-                # keep rows of one h together: the carried part begins with a new h
-                done, rest = [x[:cut] for x in rows], [x[cut:] for x in rows]
-                yield from settle(*done, False)
-                crowded, rows, cut = last, rest, 0
-            if crowded is not None and rows[0][0] == crowded:
-                upto = int(np.searchsorted(rows[0], crowded, side="right"))
-                if upto == len(rows[0]):  # all but the last h of what is here
-                    upto = int(np.flatnonzero(rows[1] == rows[1][-1])[0]) if (rows[1] != rows[1][-1]).any() else 0
-                yield from settle(*[x[:upto] for x in rows], True)
-                rows = [x[upto:] for x in rows]
-                if len(rows[0]) and rows[0][0] == crowded:
-                    if rows[0][-1] == crowded:
-                        held = rows
-                        continue
-                    crowded = None
-                cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0
-            yield from settle(*[x[:cut] for x in rows], False)
-            held = [x[cut:] for x in rows]
-        yield from settle(*held, bool(len(held[0]) and crowded is not None and held[0][0] == crowded))
+            old = 0 if head is None else 1
+            if old:
+                rows = [np.append(x, y) for x, y in zip(head, rows, strict=True)]
+            a, h, k, t, span = rows
+            new = np.append(True, (a[1:] != a[:-1]) | (h[1:] != h[:-1]))
+            begin = np.flatnonzero(new)
+            run_ = np.cumsum(new) - 1
+            of = begin[run_]
+            itself = ~new & (k == k[of]) & (t == t[of]) & (span == span[of])
+            check = span & (2**CHECK - 1)
+            follow = ~new & ~itself & (check == check[of])
+            count = np.cumsum(follow)
+            place = count - count[of] + np.where(run_ == 0, n, 0)
+            yield from tree([x[follow] for x in rows], place[follow], [x[of[follow]] for x in rows])
+            last = begin[-1]
+            n = int(count[-1] - count[last]) + (n if last == 0 else 0)
+            head = [x[last : last + 1] for x in rows]
+            lead = ~itself & ~follow
+            lead[:old] = False
+            held = [np.concatenate((x, y[lead])) for x, y in zip(held, rows, strict=True)]
+            if not len(held[0]):
+                continue
+            a = held[0]
+            group = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
+            size = np.bincount(group)[group]
+            done = a != a[-1]
+            many = (size > hot) | (a == crowded if crowded is not None else False)
+            some = [x[many] for x in held]
+            yield out(CROWDED, some[0], some)
+            some = [x[done & ~many & (size > 1)] for x in held]
+            yield out(SHARED, some[0], some)
+            crowded = a[-1] if many[-1] else crowded
+            held = [x[~done & ~many] for x in held]
+        some = held if len(held[0]) > 1 else [x[:0] for x in held]
+        yield out(SHARED, some[0], some)
 
     return run
 
 
+STRINGS = f"{FOUND}, string binary"
+CUT = [*JUDGED, "string"]
+
+
 def cut_strings(length: int) -> Callable:
-    """Batches of (k, t, text, found: list of (kind, a, span)) to rows (a, k, t, span, string) to be sorted; a null
+    """Batches of (k, t, text, found: list of (kind, a, b, span)) to rows STRINGS to be compared; a null
     string marks a span that is known to repeat an earlier one of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "k", "t", "span", "string"]
         for batch in batches:
             ids, also = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
             order = np.lexsort((also, ids))
@@ -259,16 +280,16 @@ def cut_strings(length: int) -> Callable:
             found = batch.column("found")
             row = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             flat = found.flatten()
-            kind, a, span = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            kind, a, b, span = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             start, count, _, _ = unpack(span)
             begin, end = at[row] + start, at[row] + start + count - 1 + length
             fits = end <= at[row + 1]
-            plain = np.flatnonzero((kind == SHARED) & fits)
+            plain = np.flatnonzero((kind != CROWDED) & fits)
             whole = raw.tobytes()
             for i in range(0, len(plain), 50_000):
                 j = plain[i : i + 50_000]
                 strings = [whole[x:y] for x, y in zip(begin[j].tolist(), end[j].tolist(), strict=True)]
-                yield pa.record_batch([pa.array(a[j]), pa.array(ids[row[j]]), pa.array(also[row[j]]), pa.array(span[j]), pa.array(strings, pa.binary())], names)
+                yield pa.record_batch([pa.array(kind[j]), pa.array(a[j]), pa.array(b[j]), pa.array(ids[row[j]]), pa.array(also[row[j]]), pa.array(span[j]), pa.array(strings, pa.binary())], CUT)
             crowd = np.flatnonzero((kind == CROWDED) & fits)
             if len(crowd):
                 # the strings one by one, in order of (k, start), by their own hash
@@ -291,7 +312,7 @@ def cut_strings(length: int) -> Callable:
                     j = slice(i, i + 50_000)
                     strings = [whole[x : x + length] if f else None for x, f in zip(where[j].tolist(), new[j].tolist(), strict=True)]
                     one = pack(own[j], np.ones(len(own[j]), np.int64))
-                    yield pa.record_batch([_signed(hashes[j]), pa.array(ids[row[each[j]]]), pa.array(also[row[each[j]]]), pa.array(one), pa.array(strings, pa.binary())], names)
+                    yield pa.record_batch([pa.array(kind[each[j]]), _signed(hashes[j]), pa.array(b[each[j]]), pa.array(ids[row[each[j]]]), pa.array(also[row[each[j]]]), pa.array(one), pa.array(strings, pa.binary())], CUT)
 
     return run
 
@@ -388,32 +409,46 @@ def repeats(strings: list[bytes], key: np.ndarray, k: np.ndarray, t: np.ndarray,
     return out
 
 
-def sort_strings(length: int, most: int = 300_000) -> Callable:
-    """Rows (a, k, t, span, string), all rows of an a together, to the (k, t, span) of repeats."""
-    names = ["k", "t", "span"]
+def sort_strings(length: int, most: int = 15_000) -> Callable:
+    """Rows STRINGS in ascending (a, k, t, span), all rows of an a together, to rows (kind, b, k, t, span) of repeats, and of those
+    that differ from the first of their block."""
+    names = ["kind", "b", "k", "t", "span"]
 
-    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(held: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+        """What is known of all rows but the first ones with their string, and those."""
         rows = pa.Table.from_batches(held)
-        order = np.lexsort([rows.column(c).to_numpy() for c in ("span", "t", "k", "a")])
+        order = np.lexsort([rows.column(c).to_numpy() for c in ("kind", "span", "t", "k", "a")])
         again = [rows.column(c).to_numpy()[order] for c in ("span", "t", "k", "a")]
         new = np.append(True, np.any([x[1:] != x[:-1] for x in again], axis=0))  # a repeated document's once
-        rows = rows.take(pa.array(order[new]))
-        key, k, t, span = (rows.column(c).to_numpy() for c in ("a", "k", "t", "span"))
-        strings = rows.column("string").to_pylist()
+        rows = rows.take(pa.array(order[new])).combine_chunks()
         # of equal strings the first stands for all; the others repeat it with all their positions
         seen: set[tuple[int, bytes]] = set()
-        first = np.zeros(len(strings), bool)
-        for i, name in enumerate(zip(key.tolist(), strings, strict=True)):
-            first[i] = name not in seen
-            seen.add(name)
-        same = ~first
-        yield pa.record_batch([pa.array(k[same]), pa.array(t[same]), pa.array(span[same])], names)
-        alone = np.unique(key[first], return_counts=True)
-        some = np.flatnonzero(first & np.isin(key, alone[0][alone[1] > 1]))
+        kind = rows.column("kind").to_numpy().copy()
+        for i, name in enumerate(zip(rows.column("a").to_pylist(), rows.column("string").to_pylist(), strict=True)):
+            if name in seen:
+                kind[i] = REPEAT
+            elif kind[i] == EQUAL:
+                kind[i] = DIFFERENT
+            else:
+                seen.add(name)
+        settled = (kind == REPEAT) | (kind == DIFFERENT)
+        told = rows.filter(pa.array(settled))
+        kept = rows.filter(pa.array(~settled)).combine_chunks()
+        left = pa.RecordBatch.from_arrays([kept.column(c).combine_chunks() for c in CUT], names=CUT)
+        return [pa.RecordBatch.from_arrays([pa.array(kind[settled]), *[told.column(c).combine_chunks() for c in names[1:]]], names=names)], left
+
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, left = firsts(held)
+        yield from told
+        key = left.column("a").to_numpy(zero_copy_only=False)
+        kind = left.column("kind").to_numpy(zero_copy_only=False)
+        alone = np.unique(key, return_counts=True)
+        some = np.flatnonzero(np.isin(key, alone[0][alone[1] > 1]) & (kind != HEAD))
         if not len(some):
             return
-        key, k, t, span = key[some], k[some], t[some], span[some]
-        again = repeats([strings[i] for i in some.tolist()], key, k, t, span, length)
+        left = left.take(pa.array(some))
+        key, b, k, t, span = (left.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "k", "t", "span"))
+        again = repeats(left.column("string").to_pylist(), key, k, t, span, length)
         start, count, _, _ = unpack(span)
         each = np.repeat(np.arange(len(span)), count)
         own = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
@@ -423,16 +458,16 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
         begin = np.flatnonzero(run)
         many = np.diff(np.append(begin, len(hit)))
         whose = each[hit[begin]]
-        yield pa.record_batch([pa.array(k[whose]), pa.array(t[whose]), pa.array(pack(own[hit[begin]], many))], names)
+        yield pa.record_batch([pa.array(np.full(len(whose), REPEAT, np.int32)), *[pa.array(x) for x in (b[whose], k[whose], t[whose], pack(own[hit[begin]], many))]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n, bound = 0, most
         for batch in batches:
             known = batch.column("string").is_null().to_numpy(zero_copy_only=False)
             if known.any():
                 some = batch.filter(pa.array(known))
-                yield pa.record_batch([some.column(c) for c in names], names)
+                yield pa.record_batch([pa.array(np.full(some.num_rows, REPEAT, np.int32)), *[some.column(c) for c in names[1:]]], names=names)
                 batch = batch.filter(pa.array(~known))
             while batch.num_rows:
                 a = batch.column("a").to_numpy(zero_copy_only=False)
@@ -440,16 +475,22 @@ def sort_strings(length: int, most: int = 300_000) -> Callable:
                 change = np.flatnonzero(a[1:] != a[:-1]) + 1
                 if held and held[-1].column("a")[-1].as_py() != a[0]:
                     change = np.append(0, change)
-                if n + len(a) < most // 20 or not len(change):
+                if n + len(a) < most or not len(change):
                     held.append(batch)
                     n += len(a)
+                    if n > bound:  # a group of very many rows is held by its different strings alone
+                        told, left = firsts(held)
+                        yield from told
+                        held, n = [left], left.num_rows
+                        bound = max(most, 2 * n)
                     break
-                fit = change[change <= max(most // 20 - n, 0)]
+                fit = change[change <= max(most - n, 0)]
                 cut = int(fit[-1] if len(fit) else change[0])
                 held.append(batch.slice(0, cut))
                 if any(h.num_rows for h in held):
                     yield from answer([h for h in held if h.num_rows])
-                held, n, batch = [], 0, batch.slice(cut)
+                held, n, bound, batch = [], 0, most, batch.slice(cut)
+        held = [h for h in held if h.num_rows]
         if held:
             yield from answer(held)
 
@@ -492,23 +533,42 @@ def cut_out(length: int) -> Callable:
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(k, t, text) of docs, and the (k, t, span) of all positions that repeat an earlier string. t tells texts of one id apart."""
+def segment_strings(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """The bytes of rows FOUND, as rows STRINGS; those of one a are compared together."""
+    lists = found.groupBy("k", "t").agg(F.collect_list(F.struct("kind", "a", "b", "span")).alias("found"))
+    return texts.join(lists, ["k", "t"]).mapInArrow(cut_strings(length), STRINGS)
+
+
+def compared(strings: DataFrame, length: int) -> DataFrame:
+    dealt = strings.repartition("a").sortWithinPartitions("a", "k", "t", "span")
+    return stored(dealt.mapInArrow(sort_strings(length), "kind int, b long, k long, t long, span long"), "segments-compared")
+
+
+def judged_segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(k, t, text) of docs, t telling texts of one id apart, and rows FOUND of their segments, stored."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.xxhash64("text")
     several = texts.groupBy("k").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).filter("x < y").select("k", F.lit(True).alias("several"))
     texts = texts.join(small(stored(several, "segments-ids"), 1_000_000), "k", "left").select("k", F.when(F.col("several"), digest).otherwise(F.lit(0)).alias("t"), "text")
     cut = texts.mapInArrow(cut_segments(length, gram), "a long, h long, k long, t long, span long")
     dealt = cut.repartition("a").sortWithinPartitions("a", "h", "k", "t", "span")
-    first = stored(dealt.mapInArrow(judge_segments(hot), "kind int, a long, k long, t long, span long"), "segments")
+    return texts, stored(dealt.mapInArrow(judge_segments(hot, block), FOUND), "segments")
+
 
-    found = first.filter(F.col("kind") != REPEAT).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "a", "span")).alias("found"))
-    strings = texts.join(found, ["k", "t"]).mapInArrow(cut_strings(length), "a long, k long, t long, span long, string binary")
-    again = strings.repartition("a").sortWithinPartitions("a").mapInArrow(sort_strings(length), "k long, t long, span long")
-    return texts, first.filter(F.col("kind") == REPEAT).select("k", "t", "span").union(again)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(k, t, text) of docs, and the (k, t, span) of all positions that repeat an earlier string."""
+    texts, first = judged_segments(docs, length, gram, hot, block)
+    open_ = first.filter(F.col("kind") != REPEAT)
+    told = compared(segment_strings(texts, open_, length), length)
+    spans = first.unionByName(told, allowMissingColumns=True).filter(F.col("kind") == REPEAT).select("k", "t", "span")
+    odd = told.filter(F.col("kind") == DIFFERENT).select("b").distinct()
+    if not odd.isEmpty():  # hashes that collide: all segments of these anchors meet
+        all_ = open_.join(odd, "b").select(F.lit(SHARED).alias("kind"), F.col("b").alias("a"), "b", "k", "t", "span").distinct()
+        spans = spans.union(compared(segment_strings(texts, all_, length), length).select("k", "t", "span"))
+    return texts, spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; they can break inside a character).
 
     Null and empty texts have 0 bytes. A null doc_id comes before all others. Rows that repeat a doc_id with its
@@ -516,7 +576,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     hash of the text, and each loses its own spans alone. Texts shorter than `length` stay whole. Texts are read whole;
     `length` is at most 127 + gram - 1, a text at most 2^34 bytes. Other columns of docs aren't read.
     """
-    texts, spans = repeated_spans(docs, length, gram, hot)
+    texts, spans = repeated_spans(docs, length, gram, hot, block)
     per_doc = spans.groupBy("k", "t").agg(F.collect_set("span").alias("spans"))
     done = texts.join(per_doc, ["k", "t"], "left").mapInArrow(cut_out(length), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
