@@ -544,3 +544,40 @@ def test_views_teach_each_other():
     with_ = C.cotrain(t, m, seen).score(t, m)[1]
     without = C.cotrain(t, m, seen, rounds=0).score(t, m)[1]
     assert auc(with_) > auc(without)
+
+
+def test_rounds_help():
+    """Two views that both tell something, and few labels: the rounds make either view better, and both together no worse. A view that tells nothing
+    does no harm in most tables."""
+
+    def share_right(seed, tells, rounds):
+        r = np.random.default_rng(seed)
+        y = (r.random(6000) < 0.7).astype(int)
+        side = np.where(y == 1, 1.0, -1.0)[:, None]
+        t = np.concatenate((r.normal(0, 1, (6000, 4)) + 0.9 * side, r.normal(0, 1, (6000, 13))), axis=1)
+        m = np.concatenate((r.normal(0, 1, (6000, 3)) + tells * side, r.normal(0, 1, (6000, 9))), axis=1)
+        given = np.where(np.arange(3000) < 80, y[:3000], -1)
+        scores = C.cotrain(t[:3000], m[:3000], given, rounds=rounds).score(t[3000:], m[3000:])
+        return [float(((p >= 0.5) == y[3000:]).mean()) for p in scores]
+
+    before, after = (np.array([share_right(seed, 1.2, rounds) for seed in range(6)]) for rounds in (0, C.ROUNDS))
+    assert (after.mean(axis=0)[:2] > before.mean(axis=0)[:2] + 0.005).all() and after.mean(axis=0)[2] >= before.mean(axis=0)[2]
+    before, after = (np.array([share_right(seed, 0.0, rounds) for seed in range(6)])[:, 0] for rounds in (0, C.ROUNDS))
+    assert (after >= before - 0.01).sum() >= 5
+
+
+def test_held_out_quality(spark, sf_dir):
+    """A fifth of the labels is kept out: nearly all of its bad documents are rejected and nearly all good ones kept, and the rounds lose nothing."""
+    top = f"{Path(sf_dir).parent}/sf0.1"
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    labels = spark.read.parquet(f"{top}/labels.parquet").select("doc_id", F.col("quality").alias("label")).filter("label IS NOT NULL")
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    truth = {r.doc_id: r.label for r in labels.filter(out).collect()}
+    found = []
+    for rounds in (0, C.ROUNDS):
+        got = [r for r in C.quality_scores(docs, labels.filter(~out), rounds=rounds).select("doc_id", "kept").collect() if r.doc_id in truth]
+        bad = [not r.kept for r in got if truth[r.doc_id] == 0]
+        lost = [not r.kept for r in got if truth[r.doc_id] == 1]
+        found.append(sum(bad))
+        assert len(bad) > 80 and sum(bad) >= 0.95 * len(bad) and sum(lost) <= 0.005 * len(lost)
+    assert found[1] >= found[0]

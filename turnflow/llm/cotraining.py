@@ -152,7 +152,9 @@ class CoTrained:
 
 
 def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE) -> CoTrained:
-    """y: 1, 0, or -1 for the pool without labels. A fifth of the labelled rows is kept for the calibration."""
+    """y: 1, 0, or -1 for the pool without labels. A fifth of the labelled rows is kept for the calibration and tells which round's views
+    are the best together, by their mean log loss (the first of equals). A view's label for the other must be sure both as a chance and as what the
+    view adds to the share of that label, so that one that knows nothing but the shares teaches nothing."""
     known = np.flatnonzero(y >= 0)
     prior = float((np.sum(y[known]) + 1) / (len(known) + 2))
     if len(known) < 10 or y[known].min() == y[known].max():
@@ -160,9 +162,11 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, s
     hold, learn = known[4::5], np.setdiff1d(known, known[4::5])
     if y[learn].min() == y[learn].max():
         return CoTrained(None, None, prior)
+    base = float(np.log(prior / (1 - prior)))
     pool = np.flatnonzero(y < 0)
     views = (t, m)
     own = [dict(zip(learn.tolist(), y[learn].tolist(), strict=True)) for _ in views]
+    best_of_all, least = None, np.inf
     for turn in range(rounds + 1):
         models = []
         for x, labels in zip(views, own, strict=True):
@@ -171,6 +175,11 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, s
             model = Logistic(x[rows], want, np.where(np.isin(rows, pool), 0.5, 1.0))
             model.calibrate(x[hold], y[hold].astype(float))
             models.append(model)
+        both = CoTrained(*models, prior)
+        p = np.clip(both.score(t[hold], m[hold])[2], 1e-6, 1 - 1e-6)
+        loss = float(-np.log(np.where(y[hold] == 1, p, 1 - p)).mean())
+        if loss < least - 1e-9:
+            best_of_all, least = both, loss
         if turn == rounds or not len(pool):
             break
         for k, model in enumerate(models):
@@ -178,11 +187,12 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, s
             left = np.array([r for r in pool.tolist() if r not in other], np.int64)
             if not len(left):
                 continue
-            p = 1 / (1 + np.exp(-model.logit(views[k][left])))
-            for label, chance, part in ((1, p, prior), (0, 1 - p, 1 - prior)):
+            z = model.logit(views[k][left])
+            for label, sign, part in ((1, 1.0, prior), (0, -1.0, 1 - prior)):
+                chance = 1 / (1 + np.exp(-sign * np.where(sign * base > 0, z - base, z)))  # the less of the two
                 best = np.argsort(-chance, kind="stable")[: max(1, int(share * part * len(pool)))]
                 other.update((int(left[i]), label) for i in best if chance[i] >= sure)
-    return CoTrained(*models, prior)
+    return best_of_all
 
 
 def view_rows() -> Callable:
