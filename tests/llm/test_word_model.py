@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,41 @@ def test_other_fold_scores(spark, monkeypatch, buckets, hot, together):
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want, strict=True))
 
 
+def test_contexts_are_whole_words(spark, monkeypatch):
+    """Scores from the words themselves: no two of 600 contexts share counts, be their words common, frequent or rare."""
+    monkeypatch.setattr(W, "HOT", 20)
+    monkeypatch.setattr(W, "FREQUENT", 200)
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{int(600 * r.random() ** 3)}" for _ in range(40)), "en" if i % 5 else "de") for i in range(70)]
+    words = [x[1].split() for x in rows]
+    seen = Counter(w for x in words for w in x)
+    assert len(seen) > 400 and seen["w0"] * 20 > 70 * 40 > seen["w5"] * 40 and seen["w5"] * 200 > 70 * 40 > 1000 * min(seen.values())
+    batch = pa.record_batch([pa.array([len(x[2]) + (x[2] == "en") for x in rows]), pa.array([x[1] for x in rows])], ["l", "text"])
+    fold = {i: f for places, folds, *_ in W.coded(batch) for i, f in zip(places.tolist(), folds.tolist(), strict=True)}
+    pairs = [list(zip(x, x[1:], strict=False)) for x in words]
+    models = {(lang, f): brute_kn([q for i, x in enumerate(rows) if x[2] == lang and fold[i] == f for q in pairs[i]]) for lang in ("en", "de") for f in (0, 1)}
+    want = {x[0]: sum(math.log(models[x[2], 1 - fold[i]](*q)) for q in pairs[i]) / len(pairs[i]) for i, x in enumerate(rows)}
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id AS row", "0L AS also", "CASE lang WHEN 'en' THEN 3L ELSE 2L END AS l", "text").repartition(3)
+    got = {x.row: x.log_mean for x in W.log_means(df, 7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_pairs_sorted_in_parts(monkeypatch):
+    """A pair and its document may be too wide for one number."""
+    monkeypatch.setattr(W, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    r = random.Random(5)
+    texts = [" ".join(r.choice("a b c d e f g aa bb".split()) for _ in range(r.randint(0, 30))) for _ in range(24)]
+    numbers = pa.array(range(24))
+    batch = pa.record_batch([numbers, numbers, pa.array([7 + i % 2 for i in range(24)]), pa.array(texts)], ["row", "also", "l", "text"])
+    seen = np.unique(np.concatenate([word for *_, word in W.coded(batch)]))
+    known = SimpleNamespace(value=W.Frequent(seen[::2], 3))
+    for with_docs in (False, True):
+        monkeypatch.setattr(W, "NUMBER", 63)
+        want = [x.to_pylist() for x in W.pairs_of(known, 5, with_docs)([batch])]
+        monkeypatch.setattr(W, "NUMBER", 0)
+        assert [x.to_pylist() for x in W.pairs_of(known, 5, with_docs)([batch])] == want and want
+
+
 def test_numbers_as_bytes():
     r = random.Random(2)
     x = np.array([r.getrandbits(r.randint(0, 50)) for _ in range(500)] + [0, 127, 128], np.int64)

@@ -1,6 +1,6 @@
 """Quality rules: simple counts, and bands of perplexity under a modified Kneser-Ney model of the corpus itself.
 
-The model and its scores are in `word_model`: Spark counts word n-grams over all documents, by language, into sorted arrays of
+The model and its scores are in `word_model`: Spark counts word pairs over all documents, by language, in sorted arrays of
 hashes, and scores each half of the documents by the other half's counts.
 """
 

@@ -1,19 +1,21 @@
-"""Perplexity of documents under a modified Kneser-Ney model of word n-grams that never saw the document's own fold.
-
-An n-gram here is a word after a context; the context is the word before, hashed to one of CONTEXTS classes, so that
-what is known of contexts has a fixed size whatever the vocabulary. Documents are dealt into two folds by the least hash of
-their word triples, so that copies and most near copies fall into the same one; each fold is scored by the counts of the other.
-
-1. Words that are a good share of all are found in a first pass (at most 2 x HOT of them).
-2. Each task writes the distinct (word, context) pairs of its documents as sorted, difference-coded arrays, cut into
-   buckets by word. A bucket counts its pairs over all tasks and says what it saw of each context, of counts of
-   counts and of the common words: one row per context and language after summing.
-3. The pairs go the same way again, now with the documents that hold them. A bucket has all pairs of its words and so
-   their counts and continuation counts; with the contexts' sums it scores each pair and sends back one
-   number per document. Sums of a task's documents meet again by task.
-
-Common words are spread over all buckets by their contexts, with their continuation counts from step 2. Only the contexts'
-sums and the common words' are sent to the tasks; pairs and documents never are.
+"""Perplexity of documents under a modified Kneser-Ney model of word pairs that never saw the document's own fold.
+
+Contexts are the words before themselves, by their own hash of WORD_BITS bits like the words after them: no two contexts share
+counts. Documents are dealt into two folds by the least hash of their word triples, so that copies and most near copies
+fall into the same one; each fold is scored by the counts of the other.
+
+1. Frequent words are found in a first pass (at most 2 x FREQUENT, of them 2 x HOT common ones). They get small numbers, so that
+   they take little room; other words keep their hashes.
+2. Each task writes the distinct pairs of its documents with their counts as sorted, difference-coded arrays, cut into buckets
+   by word. A bucket has all pairs of its words, and so their continuation counts. It says what it saw of counts of
+   counts, of frequent words and of common contexts, and tells each bucket of step 3 the continuation counts of
+   the words that occur there: bare numbers in the order of the words, as both sides know which words those are.
+3. The pairs go out again, now by context and with the documents that hold them. A bucket has all pairs of its contexts, and
+   so their sums; with the continuation counts from step 2 it scores each pair and sends back one number per
+   document. Sums of a task's documents meet again by task.
+
+Common words are spread over all buckets by the other word of the pair, with their sums from step 2. Only what is known of
+frequent words is sent to all tasks, at most 2 x FREQUENT of them whatever the vocabulary; pairs and documents never are.
 """
 
 from __future__ import annotations
@@ -29,14 +31,19 @@ from pyspark.sql import functions as F
 from turnflow.llm import arena as A
 from turnflow.llm.common import stored
 
-#: Classes of contexts, and bits of a word's hash.
-CONTEXTS = 4096
+#: Bits of a word's hash; the numbers of frequent words are below PLAIN, where the others' begin.
 WORD_BITS = 40
-#: A word of more than one in HOT of all words is spread over the buckets; a task tells of those of one in 4 HOT of its own.
+PLAIN = 1 << 20
+#: A word of more than one in HOT of all words is spread over the buckets, one of more than one in FREQUENT gets a small number;
+#: a task tells of those of one in 4 HOT of its own, and of one in 4 FREQUENT if it has SOME of them.
 HOT = 256
+FREQUENT = 262144
+SOME = 8
 #: A task's documents are coded together up to so many words.
-TOGETHER = 1_500_000
-#: The buckets' sums of a language are added up in so many tasks.
+TOGETHER = 1_250_000
+#: Bits of a number in which a pair and its document are sorted together if they fit.
+NUMBER = 63
+#: The buckets' sums of a language are added up in so many parts.
 PARTS = 16
 ZSTD = pa.Codec("zstd")
 
@@ -100,14 +107,15 @@ def undone(x: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 
 def bits_of(x: np.ndarray, width: int) -> bytes:
-    return np.packbits((x[:, None] >> np.arange(width)) & 1).tobytes() if len(x) else b""
+    """The lowest bits of all numbers, then the next ones, and so on."""
+    return b"".join(np.packbits(((x >> k) & 1).astype(np.uint8)).tobytes() for k in range(width))
 
 
 def from_bits(data: bytes, n: int, width: int) -> np.ndarray:
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
-    out = np.zeros(n, np.int64)
+    flat = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros(n, np.int32)
     for k in range(width):
-        out |= flat[:, k].astype(np.int64) << k
+        out |= np.unpackbits(flat[k], count=n).astype(np.int32) << k
     return out
 
 
@@ -118,7 +126,9 @@ def coded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     held, n = [], 0
 
     def given() -> tuple:
-        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return out
 
     for first, end, data, offsets in A.pieces(raw, at, 1 << 20):
         starts, ends, before = A.word_spans(data, offsets)
@@ -130,83 +140,131 @@ def coded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         np.minimum.at(least, doc[: len(triples)][inside], triples[inside])
         own = (A.mix(plain + lang[first:end][doc]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         next_ = np.flatnonzero(doc[:-1] == doc[1:]) if len(doc) else np.zeros(0, np.int64)
-        held.append((np.arange(first, end), (A.mix(least) & np.uint64(1)).astype(np.int64), (doc[next_] + first).astype(np.int32), (own[next_] % CONTEXTS).astype(np.int16), own[next_ + 1]))
+        held.append((np.arange(first, end), (A.mix(least) & np.uint64(1)).astype(np.int64), (doc[next_] + first).astype(np.int32), own[next_], own[next_ + 1]))
         n += len(next_)
         if n > TOGETHER:
             yield given()
-            held, n = [], 0
+            n = 0
     if held:
         yield given()
 
 
 def common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (l, text) to (word, count) of each batch's common words; word -1 stands for all."""
+    """Batches of (l, text) to (word, count) of each batch's frequent words; word -1 stands for all."""
     for batch in batches:
         for _, _, _, _, word in coded(batch):
             own, count = np.unique(word, return_counts=True)
-            some = count * 4 * HOT >= len(word)
+            some = (count * 4 * HOT >= len(word)) | (count >= SOME) & (count * 4 * FREQUENT >= len(word))
             yield pa.record_batch([pa.array(np.append(own[some], -1)), pa.array(np.append(count[some], len(word)))], ["word", "count"])
 
 
-def bucket_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """By word, and of common words by context too."""
-    common = np.isin(word, hot) if len(hot) else np.zeros(len(word), bool)
-    key = A.mix(word.astype(np.uint64) + np.where(common, A.mix(context.astype(np.uint64) + np.uint64(1)), np.uint64(0)))
+class Frequent:
+    """Frequent words by their hashes, the most frequent first; their places are their numbers. The first `hot` are common."""
+
+    def __init__(self, words: np.ndarray, hot: int):
+        self.hot, self.n = hot, len(words)
+        self.number = np.argsort(words)
+        self.sorted = words[self.number]
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return words + PLAIN
+        i = np.minimum(np.searchsorted(self.sorted, words), self.n - 1)
+        return np.where(self.sorted[i] == words, self.number[i], words + PLAIN)
+
+
+def bucket_of(major: np.ndarray, minor: np.ndarray, hot: int, buckets: int) -> np.ndarray:
+    """By the major word of the pair, and of common ones by the minor too."""
+    key = A.mix(major.astype(np.uint64) + np.where(major < hot, A.mix(minor.astype(np.uint64) + np.uint64(1)), np.uint64(0)))
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def pairs_of(hot: np.ndarray, buckets: int, with_docs: bool) -> Callable:
+def pairs_of(sent, buckets: int, with_docs: bool) -> Callable:
     """Batches of (row, also, l, text) to (bucket, l, chunk, blob). Without documents a blob has words, contexts and counts in
-    either fold; with them words, contexts and the documents' places in the chunk. A bucket below 0 has the chunk's documents: (row, also, pairs)."""
+    either fold; with them contexts, words and the documents' places in the chunk, among those of their language. A bucket below 0 has the chunk's documents: (row, also, pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
+        part, nth, known = TaskContext.get().partitionId(), 0, sent.value
         for batch in batches:
             row, also, lang = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "also", "l"))
             for places, fold, doc, context, word in coded(batch):
                 chunk, nth = (part << 32) | nth, nth + 1
                 out = []
-                rank = np.empty(len(places), np.int64)  # the documents of fold 0 come first
-                rank[np.argsort(fold, kind="stable")] = np.arange(len(places))
-                zeros = int((fold == 0).sum())
-                place = rank[doc - places[0]].astype(np.int32)
+                tongues, which = np.unique(lang[places], return_inverse=True)
+                there = np.lexsort((fold, which))  # the documents by language, those of fold 0 first
+                rank = np.empty(len(places), np.int64)
+                rank[there] = np.arange(len(places))
+                place = rank[doc - places[0]]
+                tongue, fold = which[there], fold[there]
                 if with_docs:
                     n = np.bincount(place, minlength=len(places))
-                    back = places[np.argsort(fold, kind="stable")]
+                    back = places[there]
                     out.append((-1 - chunk % buckets, 0, b"D" + bytes(7) + np.stack((row[back], also[back], n)).astype(np.int64).tobytes()))
-                tongues, which = np.unique(lang[places], return_inverse=True)
-                group = which.astype(np.int32)[doc - places[0]] * buckets + bucket_of(word, context, hot, buckets).astype(np.int32)
+                first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]  # the other contexts are the words of the pairs before
+                own, at = np.unique(np.concatenate((word, context[first])), return_inverse=True)
+                own = known.numbers(own)
+                order = np.argsort(own)
+                own, place_of = own[order], np.empty(len(own), np.int32)
+                place_of[order] = np.arange(len(own), dtype=np.int32)
+                at = place_of[at]
+                after, before = at[: len(word)], np.empty(len(word), np.int32)
+                before[1:] = after[:-1]
+                before[first] = at[len(word) :]
+                del word, context, first, at, order, place_of
+                major, minor = (before, after) if with_docs else (after, before)
+                bits, width = len(own).bit_length(), len(places).bit_length()
+                if 2 * bits + width <= NUMBER:
+                    key = major.astype(np.int64) << (bits + width)
+                    key |= minor.astype(np.int64) << width
+                    key |= place
+                    del doc, before, after, major, minor, place
+                    key.sort()
+                    major, minor, place = key >> (bits + width), (key >> width) & ((1 << bits) - 1), (key & ((1 << width) - 1)).astype(np.int32)
+                    del key
+                else:
+                    order = np.lexsort((place, minor, major))
+                    major, minor, place = major[order], minor[order], place[order].astype(np.int32)
+                    del doc, before, after, order
+                group = bucket_of(own, own, 0, buckets)[major]
+                common = slice(0, np.searchsorted(major, np.searchsorted(own, known.hot)))
+                group[common] = bucket_of(own[major[common]], own[minor[common]], known.hot, buckets)
+                group += tongue[place] * buckets
                 group = group.astype(np.uint16) if len(tongues) * buckets < 65536 else group
-                pair = (word << 12) | context
-                del word, context, doc
-                order = np.argsort(pair, kind="stable")  # texts stay in order, so that a pair's of one text are neighbours
-                order = order[np.argsort(group[order], kind="stable")]
-                group, pair, place = group[order], pair[order], place[order]
+                pair = major.astype(np.int64) << 32
+                pair |= minor
+                del major, minor
+                order = np.argsort(group, kind="stable")
+                group = group[order]
+                pair = pair[order]
+                place = place[order]
                 del order
                 edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
                 for lo, hi in zip(edges.tolist(), np.append(edges[1:], len(group)).tolist(), strict=True):
-                    p, d = pair[lo:hi], place[lo:hi]
+                    spoken = int(group[lo]) // buckets
+                    base, end = np.searchsorted(tongue, (spoken, spoken + 1)).tolist()
+                    zeros = int((fold[base:end] == 0).sum())
+                    p, d = pair[lo:hi], place[lo:hi] - base
                     new = np.append(True, p[1:] != p[:-1])
-                    own = p[new]
-                    fresh = np.append(True, own[1:] >> 12 != own[:-1] >> 12)  # a new word
-                    words = own[fresh] >> 12
-                    sizes = np.diff(np.append(np.flatnonzero(fresh), len(own)))
+                    mine = p[new]
+                    fresh = np.append(True, mine[1:] >> 32 != mine[:-1] >> 32)  # a new major word
+                    words = own[mine[fresh] >> 32]
+                    sizes = np.diff(np.append(np.flatnonzero(fresh), len(mine)))
                     ahead = np.zeros(len(words), bool)
                     ahead[0] = True
-                    shape = (differences(words, ahead), sizes, differences(own & (CONTEXTS - 1), fresh))
+                    shape = (differences(words, ahead), sizes, differences(own[mine & 0xFFFFFFFF], fresh))
                     at = np.flatnonzero(new)
                     if with_docs:
                         once = new | np.append(True, d[1:] != d[:-1])
                         where = np.flatnonzero(once)
                         per_pair = np.add.reduceat(once.astype(np.int64), at)
                         count = np.diff(np.append(where, len(p)))
-                        width = max(1, int(len(places) - 1).bit_length())
-                        body = packed(*shape, per_pair, count, np.array([zeros, len(places), width]))
+                        width = max(1, (end - base - 1).bit_length())
+                        body = packed(*shape, per_pair, count, np.array([base, zeros, end - base, width]))
                         blob = len(body).to_bytes(4, "little") + body + bits_of(d[where], width)
                     else:
                         zero = np.add.reduceat((d < zeros).astype(np.int64), at)
                         blob = packed(*shape, zero, np.diff(np.append(at, len(p))) - zero)
-                    out.append((int(group[lo]) % buckets, int(tongues[int(group[lo]) // buckets]), blob))
+                    out.append((int(group[lo]) % buckets, int(tongues[spoken]), blob))
                 for i in range(0, len(out), 512):
                     some = out[i : i + 512]
                     yield pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([x[2] for x in some], pa.binary())], ["bucket", "l", "chunk", "blob"])
@@ -214,10 +272,27 @@ def pairs_of(hot: np.ndarray, buckets: int, with_docs: bool) -> Callable:
     return run
 
 
-def pairs_in(words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    fresh = np.zeros(len(contexts), bool)
-    fresh[np.cumsum(sizes) - sizes] = True
-    return (np.repeat(np.cumsum(words), sizes) << 12) | undone(contexts, fresh)
+class Pairs:
+    """The distinct pairs of a bucket from the shapes of its blobs, in order: majors and minors are the words, major and minor
+    each pair's places in them, at the places of the blobs' pairs in all of this."""
+
+    def __init__(self, shapes: list[list[np.ndarray]], counts: list[np.ndarray]):
+        minors = []
+        for _, sizes, minor in shapes:
+            fresh = np.zeros(len(minor), bool)
+            fresh[np.cumsum(sizes) - sizes] = True
+            minors.append(undone(minor, fresh))
+        self.majors, major = np.unique(np.concatenate([np.cumsum(x[0]) for x in shapes]), return_inverse=True)
+        self.minors, minor = np.unique(np.concatenate(minors), return_inverse=True)
+        pair = (np.repeat(major, np.concatenate([x[1] for x in shapes])) << 32) | minor
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.append(True, pair[1:] != pair[:-1])
+        edge = np.flatnonzero(new)
+        self.at = np.empty(len(pair), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        self.major, self.minor = pair[edge] >> 32, pair[edge] & 0xFFFFFFFF
+        self.counts = [np.add.reduceat(c[order], edge) for c in counts]
 
 
 def each_bucket(settle: Callable) -> Callable:
@@ -239,16 +314,8 @@ def each_bucket(settle: Callable) -> Callable:
     return run
 
 
-def summed(pair: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct pairs in order, and the sums of their counts."""
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-    return pair[edge], *[np.add.reduceat(c[order], edge) for c in counts]
-
-
 STATS = [f"{c}{f}" for f in (0, 1) for c in ("total", "n1_", "n2_", "n3_", "n4_", "many")]
-#: What a row of the sums is about: a context, all pairs of a language, all words of a language, a common word.
+#: What a row of the sums is about: a common context, all pairs of a language, its words that aren't frequent, a frequent word.
 CONTEXT, PAIRS, WORDS, COMMON = 0, 1, 2, 3
 
 
@@ -258,37 +325,43 @@ def stat_rows(count: np.ndarray, key: np.ndarray, keys: int) -> list[np.ndarray]
     return [of(count), *[of(count == k) for k in (1, 2, 3, 4)], of(count > 2)]
 
 
-def tell(hot: np.ndarray) -> Callable:
-    """What a bucket saw: rows (l, part, blob of kind, key, STATS), its contexts in PARTS parts."""
+def tell(sent, buckets: int) -> Callable:
+    """What a bucket saw, as rows (bucket, l, chunk, blob). Those of a bucket below 0 are of kind, key, STATS, in PARTS parts; the
+    others have the continuation counts in either fold of the words that the bucket of step 3 shares with this one, in
+    order, and -1 - this bucket as their chunk."""
 
-    def settle(_: int, tongue: int, __: list, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def settle(bucket: int, tongue: int, _: list, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         parts = [unpacked(b) for b in blobs]
-        pair, *counts = summed(np.concatenate([pairs_in(*p[:3]) for p in parts]), *[np.concatenate([p[3 + f] for p in parts]) for f in (0, 1)])
-        word, context = pair >> 12, pair & (CONTEXTS - 1)
-        seen, at = np.unique(context, return_inverse=True)
-        edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        own = word[edge]
-        after = [np.add.reduceat((c > 0).astype(np.int64), edge) for c in counts]
-        common = np.isin(own, hot)
+        p = Pairs([x[:3] for x in parts], [np.concatenate([x[3 + f] for x in parts]) for f in (0, 1)])
+        after = [np.bincount(p.major, c > 0, len(p.majors)).astype(np.int64) for c in p.counts]
+        hot, often = np.searchsorted(p.minors, known.hot), np.searchsorted(p.majors, known.n)
+        common = p.minor < hot
         zero = np.zeros(1, np.int64)
-        rows = [(CONTEXT, seen, [s for c in counts for s in stat_rows(c, at, len(seen))])]
-        rows.append((PAIRS, zero, [s for c in counts for s in stat_rows(c, np.zeros(len(c), np.int64), 1)]))
-        rows.append((WORDS, zero, [s for c in after for s in stat_rows(c[~common], np.zeros(int((~common).sum()), np.int64), 1)]))
-        if common.any():
-            none = np.zeros(int(common.sum()), np.int64)
-            rows.append((COMMON, own[common], [s for c in after for s in (c[common], *[none] * 5)]))
+        rows = [(PAIRS, zero, [s for c in p.counts for s in stat_rows(c, np.zeros(len(c), np.int64), 1)])]
+        rows.append((WORDS, zero, [s for c in after for s in stat_rows(c[often:], np.zeros(len(c) - often, np.int64), 1)]))
+        if hot:
+            rows.append((CONTEXT, p.minors[:hot], [s for c in p.counts for s in stat_rows(c[common], p.minor[common], hot)]))
+        if often:
+            rows.append((COMMON, p.majors[:often], [s for c in after for s in (c[:often], *[np.zeros(often, np.int64)] * 5)]))
         kind, key = (np.concatenate(x) for x in zip(*[(np.full(len(k), kind), k) for kind, k, _ in rows], strict=True))
         stats = [np.concatenate(x) for x in zip(*[r[2] for r in rows], strict=True)]
-        part = np.where(kind == CONTEXT, key % PARTS, 0)
-        for x in np.unique(part):
-            i = np.flatnonzero(part == x)
-            yield pa.record_batch([pa.array([tongue], pa.int64()), pa.array([int(x)], pa.int64()), pa.array([packed(kind[i], key[i], *[c[i] for c in stats])], pa.binary())], ["l", "part", "blob"])
+        part = np.where(kind == COMMON, key % PARTS, 0)
+        out = [(-1 - int(x), 0, packed(*[c[part == x] for c in (kind, key, *stats)])) for x in np.unique(part)]
+        rare = np.flatnonzero(p.major >= often)
+        there = bucket_of(p.minors[p.minor[rare]], p.majors[p.major[rare]], known.hot, buckets)
+        there, word = np.divmod(np.unique(there * len(p.majors) + p.major[rare]), len(p.majors))
+        for which in np.split(np.arange(len(there)), np.flatnonzero(np.diff(there)) + 1) if len(there) else []:
+            out.append((int(there[which[0]]), -1 - bucket, packed(*[c[word[which]] for c in after])))
+        for i in range(0, len(out), 512):
+            some = out[i : i + 512]
+            yield pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([tongue] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.binary())], ["bucket", "l", "chunk", "blob"])
 
     return each_bucket(settle)
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (l, part, blob) of `tell`, those of an (l, part) together, to their sums (l, kind, key, STATS)."""
+    """Rows (l, bucket, blob) of `tell`, those of an (l, bucket) together, to their sums (l, kind, key, STATS)."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     now = None
 
@@ -298,7 +371,7 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([now[0]] * len(sums), pa.int64()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()), *[pa.array(r) for r in rows]], ["l", "kind", "key", *STATS])
 
     for batch in batches:
-        for tongue, part, blob in zip(*(batch.column(c).to_pylist() for c in ("l", "part", "blob")), strict=True):
+        for tongue, part, blob in zip(*(batch.column(c).to_pylist() for c in ("l", "bucket", "blob")), strict=True):
             if (tongue, part) != now and sums:
                 yield settle()
                 sums.clear()
@@ -318,32 +391,23 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Side:
-    """One language's sums of one fold: the contexts' weights, and the continuation probability from a count."""
+    """One language's sums of one fold: the discounts, and the continuation probability from a count."""
 
     def __init__(self, rows: list, fold: int):
-        col = {c: i for i, c in enumerate(("total", "n1", "n2", "n3", "n4", "many"))}
-        get = lambda r, c: r[3 + 6 * fold + col[c]]
-        counts = {kind: [0] * 6 for kind in (PAIRS, WORDS)}
-        self.common = {}
+        counts = {kind: np.zeros(6, np.int64) for kind in (PAIRS, WORDS)}
         for r in rows:
+            own = r[3 + 6 * fold : 9 + 6 * fold]
             if r[1] in counts:
-                counts[r[1]] = [get(r, c) for c in col]
-        for r in rows:
-            if r[1] == COMMON:
-                n = get(r, "total")
-                self.common[r[2]] = n
-                counts[WORDS] = [x + y for x, y in zip(counts[WORDS], (n, n == 1, n == 2, n == 3, n == 4, n > 2), strict=True)]
-        self.off = discounts(counts[PAIRS][1:5])
-        self.low = discounts(counts[WORDS][1:5])
-        total, n1, n2, _, _, many = counts[WORDS]
+                counts[r[1]] += np.array(own)
+            elif r[1] == COMMON:
+                n = own[0]
+                counts[WORDS] += np.array([n, n == 1, n == 2, n == 3, n == 4, n > 2])
+        self.off = discounts(counts[PAIRS][1:5].tolist())
+        self.low = discounts(counts[WORDS][1:5].tolist())
+        total, n1, n2, _, _, many = counts[WORDS].tolist()
         self.words = total
         self.held = self.low[1] * n1 + self.low[2] * n2 + self.low[3] * many
         self.flat = 1 / (n1 + n2 + many + 1)
-        self.total, self.weight = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        for r in rows:
-            if r[1] == CONTEXT:
-                self.total[r[2]] = get(r, "total")
-                self.weight[r[2]] = self.off[1] * get(r, "n1") + self.off[2] * get(r, "n2") + self.off[3] * get(r, "many")
 
     def after(self, n: np.ndarray) -> np.ndarray:
         """The continuation probability of words seen after so many contexts."""
@@ -351,52 +415,88 @@ class Side:
             return np.full(len(n), self.flat)
         return (n - self.low[np.minimum(n, 3)]) / self.words + self.held / self.words * self.flat
 
-    def chance(self, count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total = self.total[context]
+    def chance(self, count: np.ndarray, sums: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Of pairs seen so often, from the `stat_rows` of their contexts and from the chances of the words alone."""
+        total = sums[0][context]
+        weight = self.off[1] * sums[1] + self.off[2] * sums[2] + self.off[3] * sums[5]
         known = np.maximum(total, 1)
-        return np.where(total > 0, (count - self.off[np.minimum(count, 3)]) / known + self.weight[context] / known * lower, lower)
+        return np.where(total > 0, (count - self.off[np.minimum(count, 3)]) / known + weight[context] / known * lower, lower)
+
 
+class Model:
+    """What all tasks get: the sides of each language, and by fold the continuation counts of frequent words and the sums of common contexts."""
 
-def score(sent) -> Callable:
-    """Rows of pairs with documents to (chunk, blob): the sums of log-probabilities by place in the chunk."""
+    def __init__(self, rows: list[tuple], known: Frequent):
+        self.hot, self.often = known.hot, known.n
+        self.after = np.zeros((2, known.n), np.int64)
+        self.sums = np.zeros((2, 6, known.hot), np.int64)
+        by_tongue: dict[int, list] = {}
+        for r in rows:
+            by_tongue.setdefault(r[0], []).append(r)
+            for f in (0, 1):
+                if r[1] == COMMON:
+                    self.after[f, r[2]] = r[3 + 6 * f]
+                elif r[1] == CONTEXT:
+                    self.sums[f, :, r[2]] = r[3 + 6 * f : 9 + 6 * f]
+        self.sides = {tongue: (Side(rows, 0), Side(rows, 1)) for tongue, rows in by_tongue.items()}
+
+
+def continuations(words: np.ndarray, model: Model, told: dict[int, bytes], buckets: int) -> np.ndarray:
+    """The continuation counts of these words in either fold: those of frequent words from the model, the others' from what the
+    buckets of step 2 told, each in the order of its words."""
+    often = int(np.searchsorted(words, model.often))
+    out = np.zeros((2, len(words)), np.int64)
+    out[:, :often] = model.after[:, words[:often]]
+    whose = bucket_of(words[often:], words[often:], 0, buckets)
+    order = np.argsort(whose, kind="stable")
+    for i in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1) if len(order) else []:
+        counts = unpacked(told.get(int(whose[i[0]]), packed(i[:0], i[:0])))
+        if len(counts[0]) != len(i):
+            raise RuntimeError("documents changed while they were read")
+        out[:, often + i] = counts
+    return out
+
+
+def score(sent, buckets: int) -> Callable:
+    """Rows of pairs with documents, and of continuation counts, to (chunk, blob): the sums of log-probabilities by place in the chunk."""
 
     def settle(bucket: int, tongue: int, chunks: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
             yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
             return
-        sides = sent.value[tongue]
-        pairs, whom, counts, in_fold, sizes = [], [], [], [], []
-        for blob in blobs:
+        model = sent.value
+        told = {-1 - c: b for c, b in zip(chunks, blobs, strict=True) if c < 0}
+        shapes, folds, per_pairs, counts, whom, in_fold, spans = [], [], [], [], [], [], []
+        for blob in (b for c, b in zip(chunks, blobs, strict=True) if c >= 0):
             end = 4 + int.from_bytes(blob[:4], "little")
-            words, many, contexts, per_pair, count, (zeros, n, width) = unpacked(blob[4:end])
+            *shape, per_pair, count, (base, zeros, n, width) = unpacked(blob[4:end])
             place = from_bits(blob[end:], len(count), int(width))
-            pairs.append(np.repeat(pairs_in(words, many, contexts), per_pair))
-            whom.append(place)
+            at = np.cumsum(per_pair) - per_pair
+            shapes.append(shape)
+            folds.append([np.add.reduceat(np.where(x, count, 0), at) for x in (place < zeros, place >= zeros)])
+            per_pairs.append(per_pair)
             counts.append(count)
+            whom.append(place)
             in_fold.append(place >= zeros)
-            sizes.append(int(n))
-        pair, place, count, one = (np.concatenate(x) for x in (pairs, whom, counts, in_fold))
-        own, c0, c1 = summed(pair, np.where(one, 0, count), np.where(one, count, 0))
-        word, context = own >> 12, own & (CONTEXTS - 1)
-        edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        runs = np.diff(np.append(edge, len(word)))
+            spans.append((int(base), int(n)))
+        p = Pairs(shapes, [np.concatenate([x[f] for x in folds]) for f in (0, 1)])
+        hot = int(np.searchsorted(p.majors, model.hot))
+        after = continuations(p.minors, model, told, buckets)
         logs = []
-        for side, c in zip(sides, (c0, c1), strict=True):
-            after = np.add.reduceat((c > 0).astype(np.int64), edge)
-            for i in np.flatnonzero(np.isin(word[edge], np.fromiter(side.common, np.int64, len(side.common)))):
-                after[i] = side.common[int(word[edge[i]])]
-            logs.append(np.log(side.chance(c, context, np.repeat(side.after(after), runs))))
-        i = np.searchsorted(own, pair)
-        told = count * np.where(one, logs[0][i], logs[1][i])  # by the counts of the other fold
+        for f, side in enumerate(model.sides[tongue]):
+            sums = np.stack(stat_rows(p.counts[f], p.major, len(p.majors)))
+            sums[:, :hot] = model.sums[f][:, p.majors[:hot]]
+            logs.append(np.log(side.chance(p.counts[f], sums, p.major, side.after(after[f])[p.minor])))
+        i = np.repeat(p.at, np.concatenate(per_pairs))
+        told = np.concatenate(counts) * np.where(np.concatenate(in_fold), logs[0][i], logs[1][i])  # by the counts of the other fold
         ends = np.cumsum([0, *[len(w) for w in whom]]).tolist()
-        for k, n in enumerate(sizes):
-            mine = slice(ends[k], ends[k + 1])
-            sums = np.bincount(place[mine], told[mine], n)
+        for k, (chunk, (base, n)) in enumerate(zip([c for c in chunks if c >= 0], spans, strict=True)):
+            sums = np.bincount(whom[k], told[ends[k] : ends[k + 1]], n)
             some = np.flatnonzero(sums)
             few = 2 * len(some) < n
             where = packed(differences(some, np.arange(len(some)) == 0)) if few else b""
-            blob = b"S" + len(where).to_bytes(4, "little") + where + (sums[some] if few else sums).astype(np.float32).tobytes()
-            yield pa.record_batch([pa.array([chunks[k]], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+            blob = b"S" + base.to_bytes(4, "little") + len(where).to_bytes(4, "little") + where + (sums[some] if few else sums).astype(np.float32).tobytes()
+            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
     return each_bucket(settle)
 
@@ -410,12 +510,12 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(row))
         for b in blobs:
             if b[:1] != b"D":
-                end = 5 + int.from_bytes(b[1:5], "little")
+                base, end = int.from_bytes(b[1:5], "little"), 9 + int.from_bytes(b[5:9], "little")
                 sums = np.frombuffer(b, np.float32, offset=end)
-                if end > 5:
-                    total[np.cumsum(unpacked(b[5:end])[0])] += sums
+                if end > 9:
+                    total[base + np.cumsum(unpacked(b[9:end])[0])] += sums
                 else:
-                    total += sums
+                    total[base : base + len(sums)] += sums
         some = n > 0
         return pa.record_batch([pa.array(row[some]), pa.array(also[some]), pa.array(total[some]), pa.array(n[some])], ["row", "also", "log_sum", "n"])
 
@@ -440,17 +540,19 @@ def log_means(texts: DataFrame, buckets: int | None = None) -> DataFrame:
     seen = texts.select("l", "text").mapInArrow(common_words, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
     seen = stored(seen, "words-common")
     every = seen.filter("word = -1").select("count").first()
-    often = seen.filter((F.col("word") >= 0) & (F.col("count") * 2 * HOT >= (every[0] if every else 0)))  # 2 x HOT of them at most
-    hot = np.sort(np.array([r.word for r in often.collect()], np.int64))
+    every = every[0] if every else 0
+    often = seen.filter((F.col("word") >= 0) & (F.col("count") * 2 * FREQUENT >= every)).collect()  # 2 x FREQUENT of them at most
+    often = sorted((-r["count"], r.word) for r in often)
+    known = Frequent(np.array([w for _, w in often], np.int64), sum(-n * 2 * HOT >= every for n, _ in often))
+    words = spark.sparkContext.broadcast(known)
 
     schema = "bucket long, l long, chunk long, blob binary"
-    dealt = lambda with_docs: texts.mapInArrow(pairs_of(hot, buckets, with_docs), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "l")
-    told = dealt(False).mapInArrow(tell(hot), "l long, part long, blob binary").repartition("l", "part").sortWithinPartitions("l", "part")
-    told = stored(told.mapInArrow(add_up, f"l long, kind int, key long, {', '.join(f'{c} long' for c in STATS)}"), "words-sums")
-    by_tongue: dict[int, list] = {}
-    for r in told.collect():  # of each language CONTEXTS rows at most, two, and the common words'
-        by_tongue.setdefault(r.l, []).append(tuple(r))
-    sent = spark.sparkContext.broadcast({tongue: (Side(rows, 0), Side(rows, 1)) for tongue, rows in by_tongue.items()})
-    sums = dealt(True).mapInArrow(score(sent), "chunk long, blob binary").repartition("chunk").sortWithinPartitions("chunk")
+    dealt = lambda rows: rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "l")
+    told = stored(dealt(texts.mapInArrow(pairs_of(words, buckets, False), schema)).mapInArrow(tell(words, buckets), schema), "words-told")
+    sums = told.filter("bucket < 0").select("l", "bucket", "blob").repartition("l", "bucket").sortWithinPartitions("l", "bucket")
+    sums = sums.mapInArrow(add_up, f"l long, kind int, key long, {', '.join(f'{c} long' for c in STATS)}").collect()  # the frequent words', the common contexts', two of each language
+    sent = spark.sparkContext.broadcast(Model([tuple(r) for r in sums], known))
+    pairs = texts.mapInArrow(pairs_of(words, buckets, True), schema).unionAll(told.filter("bucket >= 0"))
+    sums = dealt(pairs).mapInArrow(score(sent, buckets), "chunk long, blob binary").repartition("chunk").sortWithinPartitions("chunk")
     per_row = sums.mapInArrow(gather, "row long, also long, log_sum double, n long")
     return per_row.groupBy("row", "also").agg((F.sum("log_sum") / F.sum("n")).alias("log_mean"))
