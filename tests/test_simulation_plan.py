@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,33 @@ def test_requests_of_one_id(spark, sent):
     known = spark.createDataFrame([("A",), ("B",), ("B",)], "airport string")
     got = sorted((r.path_id or 0, r.path, r.unknown_codes, r.is_valid) for r in M.validate_path(paths, known, sent).collect())
     assert got == [(0, ["Z", "A"], ["Z"], False), (1, ["A", "B"], [], True), (1, ["A", "X", "X"], ["X"], False), (1, ["Y", "A", "X"], ["X", "Y"], False), (2, [], [], False), (2, ["A", "B"], [], True)]
+
+
+def test_summaries_are_made_once_for_each_path(spark, sf_dir, tmp_path):
+    """Of 20 times the requests for the same paths as many stops come out, each as of the first copy, and hardly more is stored."""
+    copies, step = 20, 14_400  # after so many keys paths and start delays come again
+    for t in ("events", "nation", "region"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    keys.crossJoin(spark.range(copies)).select((F.col("c_custkey") + step * F.col("id")).alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+
+    def told(name, folder):
+        """Rows, and the bytes that were stored for them."""
+        before = set(getattr(spark, "_turnflow_stored", []))
+        rows = [r.asDict() for r in Q.QUERIES[name](spark, str(folder)).collect()]
+        return rows, sum(f.stat().st_size for path in set(spark._turnflow_stored) - before for f in Path(path).rglob("*.parquet"))
+
+    for name in ("summarize_stops", "fan_table", "fallback_hops"):
+        (few, small), (many, large) = told(name, sf_dir), told(name, tmp_path)
+        key = lambda rows: sorted(repr(sorted({**r, "path_id": r["path_id"] % step}.items())) for r in rows if name != "fan_table" or r["hop"])
+        assert few and key(many) == sorted(key(few) * copies)
+        assert large < 2 * small
+
+
+def test_summary_of_draws_and_of_percentiles(world):
+    """The same stops from the draws as from what the walk made of them, those of requests for one path included; stops with a missing draw are left out of both."""
+    paths, nodes, edges, net_n, net_e, _ = world
+    asked = paths.union(paths.withColumn("path_id", F.col("path_id") + 1000))
+    over = [d.filter("bucket != '60_plus'") for d in (net_n, net_e)]
+    key = lambda keep: sorted(map(repr, M.summarize_stops(M.simulate_paths(asked, nodes, edges, *over, 40, keep)).collect()))
+    assert len(key("draws")) > 400 and key("percentiles") == key("draws")

@@ -99,7 +99,7 @@ def simulate(spark: SparkSession, requests: DataFrame, folder: str, draws: int =
     rebuild_table(M.validate_path(asked, node), f"{folder}/path_checks")
     good = spark.read.parquet(f"{folder}/path_checks").filter("is_valid").select("path_id", "path", "start_delay")
     with stage_scope(spark):
-        simulated = stored(M.simulate_paths(good, node, edge, net_node, net_edge, draws), "simulated")
+        simulated = stored(M.simulate_paths(good, node, edge, net_node, net_edge, draws, "percentiles"), "simulated")
         rebuild_table(M.summarize_stops(simulated), f"{folder}/simulated_stops")
         stops = spark.read.parquet(f"{folder}/simulated_stops")
         rebuild_table(M.fan_table(simulated, stops), f"{folder}/simulated_fan")

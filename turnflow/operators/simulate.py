@@ -264,17 +264,21 @@ def simulate_paths(
 
 
 def summarize_stops(simulated: DataFrame, late_by: tuple[int, ...] = LATE_BY) -> DataFrame:
-    """One row per stop: percentiles, mean, chances of more than so many minutes, flags."""
-    flat = simulated.select("path_id", F.inline("stops")).filter("NOT exists(draws, x -> x IS NULL)")
-    flat = flat.withColumn("_sorted", F.array_sort("draws"))
-    n = F.size("draws")
-    total = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x)
-    over = lambda t: F.size(F.filter("draws", lambda x: x > t)) / n
-    return flat.select(
-        "path_id", "hop", "airport", "origin",
-        *[sorted_percentile(F.col("_sorted"), q / 100).alias(f"p{q}") for q in (10, 50, 90)],
-        (total / n).alias("mean"), *[over(t).alias(f"p_over_{t}") for t in late_by], "used_route_fallback", "used_thin_pool",
-    )
+    """One row per stop: percentiles, mean, chances of more than so many minutes, flags.
+
+    Of paths simulated with keep='percentiles' these are read from the stops, where they were made once for each path and start
+    bucket, however many requests share it; of draws they are made for each request.
+    """
+    flat = simulated.select("path_id", F.inline("stops"))
+    made = [*[f"p{q}" for q in (10, 50, 90)], "mean", *[f"p_over_{t}" for t in late_by]]
+    if "draws" in flat.columns:
+        flat = flat.filter("NOT exists(draws, x -> x IS NULL)").withColumn("_sorted", F.sort_array("draws"))
+        n = F.size("draws")
+        total = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x)
+        over = lambda t: F.size(F.filter("draws", lambda x: x > t)) / n
+        values = [*[sorted_percentile(F.col("_sorted"), q / 100) for q in (10, 50, 90)], total / n, *[over(t) for t in late_by]]
+        flat = flat.withColumns(dict(zip(made, values, strict=True)))
+    return flat.select("path_id", "hop", "airport", "origin", *made, "used_route_fallback", "used_thin_pool")
 
 
 def fan_table(simulated: DataFrame, summary: DataFrame) -> DataFrame:

@@ -122,10 +122,18 @@ class Tables:
     def simulated(self, paths: DataFrame, keep: str) -> DataFrame:
         return M.simulate_paths(paths, self.node_dist, self.edge_dist, self.nodes.network, self.edges.network, DRAWS, keep)
 
+    @property
+    def valid_paths(self) -> DataFrame:
+        return M.validate_path(self.paths, self.node_dist).filter("is_valid").select("path_id", "path", "start_delay")
+
     @property
     def requests(self) -> DataFrame:
-        good = M.validate_path(self.paths, self.node_dist).filter("is_valid").select("path_id", "path", "start_delay")
-        return self._once("simulated", lambda: stored(self.simulated(good, "draws"), "simulated"))
+        return self._once("simulated", lambda: stored(self.simulated(self.valid_paths, "draws"), "simulated"))
+
+    @property
+    def in_brief(self) -> DataFrame:
+        """Requests with the percentiles of their stops, of each path and start bucket once: no request carries draws."""
+        return self.simulated(self.valid_paths, "percentiles")
 
     @property
     def rotations(self) -> DataFrame:
@@ -206,8 +214,7 @@ def _stops(df: DataFrame) -> DataFrame:
 
 
 def _step(t: Tables, turn: bool) -> DataFrame:
-    good = M.validate_path(t.paths, t.node_dist).filter("is_valid").select("path_id", "path", "start_delay")
-    first = t.simulated(good, "turns").select("path_id", F.size("path").alias("n"), F.col("stops")[0].alias("s"))
+    first = t.simulated(t.valid_paths, "turns").select("path_id", F.size("path").alias("n"), F.col("stops")[0].alias("s"))
     if turn:
         return first.filter("n > 2").select("path_id", F.array_join(F.col("s.turned").cast("array<string>"), ",").alias("draws"))
     return first.select("path_id", F.array_join(F.col("s.draws").cast("array<string>"), ",").alias("draws"), "s.used_route_fallback")
@@ -217,6 +224,11 @@ def _simulated(t: Tables) -> DataFrame:
     return swap(t.requests.select("path_id", F.inline("stops")), joined("draws"))
 
 
+def _fan(t: Tables) -> DataFrame:
+    simulated = stored(t.in_brief, "simulated")  # read twice
+    return swap(M.fan_table(simulated, M.summarize_stops(simulated)), *[fixed(c) for c in ("p10", "p50", "p90", "p_over_15")])
+
+
 def _rotations(t: Tables) -> DataFrame:
     df = t.rotations.withColumn("actual", F.col("actual").cast("array<int>"))
     return swap(df, text("operating_day"), joined("path"), joined("actual")).select("Tail_Number", "operating_day", "path", "actual", "start_delay")
@@ -377,9 +389,9 @@ MAKE: dict[str, Callable[[Tables], DataFrame]] = {
     "simulate_paths": _simulated,
     "edge_step": lambda t: _step(t, False),
     "node_step": lambda t: _step(t, True),
-    "summarize_stops": lambda t: _stops(M.summarize_stops(t.requests)),
-    "fan_table": lambda t: swap(M.fan_table(t.requests, M.summarize_stops(t.requests)), *[fixed(c) for c in ("p10", "p50", "p90", "p_over_15")]),
-    "fallback_hops": lambda t: swap(M.fallback_hops(M.summarize_stops(t.requests)), joined("fallback_stops")),
+    "summarize_stops": lambda t: _stops(M.summarize_stops(t.in_brief)),
+    "fan_table": _fan,
+    "fallback_hops": lambda t: swap(M.fallback_hops(M.summarize_stops(t.in_brief)), joined("fallback_stops")),
     "sample_rotations": lambda t: swap(B.sample_rotations(t.propagation), text("operating_day")),
     "rotation_paths": _rotations,
     "usable_rotations": lambda t: B.usable_rotations(t.rotations, t.node_dist).select("Tail_Number", text("operating_day"), "is_usable"),
